@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith.llm.decontam import find_leaks, split_item
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
+from tabulith.llm.mixing import DIMENSIONS, mix
 from tabulith.llm.quality import quality_rules
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,6 +37,56 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles,
   least(s.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = s.doc_id), s.doc_id)) AS component_id FROM s
 """
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, its rate, and whether it is drawn."""
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"),
+                      F.round("weight", 6).alias("weight"), "drawn")
+
+
+def _op3_sql(rounds: int = 8, keep: float = 0.5, power: float = 0.5, seed: int = 7) -> str:
+    """Raking as a chain of common tables: one for the factors of a dimension after each step."""
+    symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "#*$%&|<>")
+    sql = rf"""
+WITH w AS (SELECT *, coalesce(text, '') AS t,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_tokens,
+    CASE WHEN n_tokens = 0 THEN 'empty' WHEN ({symbols}) * 10 > n_tokens THEN 'symbols' WHEN n_tokens < 100 THEN 'short'
+      WHEN n_tokens < 1000 THEN 'middle' ELSE 'long' END AS topic FROM w),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"""
+    now = {}
+    for x in DIMENSIONS:
+        sql += f""",
+target_{x} AS MATERIALIZED (SELECT {x}, sum(tokens) ** {power} / sum(sum(tokens) ** {power}) OVER () AS share FROM cells GROUP BY {x}),
+{x}_0 AS (SELECT DISTINCT {x}, CAST(1 AS DOUBLE) AS f_{x} FROM cells)"""
+        now[x] = f"{x}_0"
+    joined = lambda: "cells " + " ".join(f"JOIN {now[x]} USING ({x})" for x in DIMENSIONS)
+    rate = " * ".join(f"f_{x}" for x in DIMENSIONS)
+    for r in range(1, rounds + 1):
+        for x in DIMENSIONS:
+            sql += f""",
+{x}_{r} AS MATERIALIZED (SELECT {x}, CASE WHEN m > 0 THEN f_{x} * share * (SELECT sum(tokens) FROM cells) / m ELSE f_{x} END AS f_{x} FROM
+  (SELECT {x}, f_{x}, sum(tokens * {rate}) AS m FROM {joined()} GROUP BY {x}, f_{x}) JOIN target_{x} USING ({x}))"""
+            now[x] = f"{x}_{r}"
+    return sql + f""",
+rated AS (SELECT source, lang, topic, {keep} * {rate} AS r FROM {joined()})
+SELECT doc_id, source, lang, topic, n_tokens, round(least(1.0, r), 9) AS probability, round(greatest(1.0, r), 6) AS weight,
+  CAST('0x' || substr(md5('{seed}:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < least(1.0, r) AS drawn
+FROM d JOIN rated USING (source, lang, topic)
+"""
+
+
+def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as questions and answers."""
+    question, answer = split_item(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", question.alias("question"), answer.alias("answer"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a test item, with the item and how much of it."""
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), test_items(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines before, its dropped lines and the digest of the rest."""
     kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -67,10 +119,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_source_mixing": op3_source_mixing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
+    "op3_source_mixing": _op3_sql(),
     "op8_line_dedup": OP8_SQL,
 }
