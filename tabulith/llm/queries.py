@@ -12,6 +12,7 @@ from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import DIMENSIONS, mix
 from tabulith.llm.quality import quality_rules
+from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,6 +77,40 @@ FROM d JOIN rated USING (source, lang, topic)
 """
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets: counts and digest of the base spans, and all spans."""
+    out = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.filter("found", lambda x: x["rank"] < len(BASE))
+    count = lambda f: F.size(F.filter("found", f)).cast("long")
+    of_rank = lambda r: lambda x: x["rank"] == r
+    return out.select("doc_id", *(count(of_rank(r)).alias(f"n_{k}") for r, (k, *_) in enumerate(BASE)),
+                      F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"),
+                      count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
+
+
+def _op5_sql() -> str:
+    kinds = []
+    for rank, (kind, rx, group, least) in enumerate(BASE + ADDED):
+        rx = rx.replace("'", "''")
+        kinds.append(f"""
+  SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, {least} AS least, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(v) AS v,
+    unnest(list_transform(string_split_regex(t, '{rx}')[:len(m)], lambda x: length(x))) AS before
+  FROM (SELECT *, regexp_extract_all(t, '{rx}') AS m, regexp_extract_all(t, '{rx}', {group}) AS v FROM d)""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(kinds)}),
+s AS (SELECT *, CAST(sum(before + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM raw),
+f AS (SELECT doc_id, source, rank, v, e, e - length(m) AS b, kind || ':' || (e - length(m)) || ':' || e AS span FROM s WHERE length(v) >= least),
+o AS (SELECT v, count(DISTINCT source) < {EXAMPLE_OWNERS} AS live FROM f GROUP BY v),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {len(BASE)}), '') AS base, string_agg(span, ',' ORDER BY b, rank) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM f JOIN o USING (v) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items as questions and answers."""
     question, answer = split_item(F.col("text"))
@@ -120,6 +155,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
@@ -127,5 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_source_mixing": _op3_sql(),
+    "op5_secret_scan": _op5_sql(),
     "op8_line_dedup": OP8_SQL,
 }
