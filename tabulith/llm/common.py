@@ -94,7 +94,7 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, count: str, tot
 class WordHash(dict):
     """64-bit hashes of words, each computed once for a task."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -1,16 +1,17 @@
 """N-gram Jaccard self-join with token-combination prefixes, and the groups that its links make.
 
 Tokens are the distinct five-word shingles of a text. They get one global order: first those
-whose counter in a fixed-size table of counts is low, then by hash. Of a set of n tokens, a set
-with Jaccard similarity of 3/4 or more shares at least one token among the first
-p = n - ceil(3n/4) + 1, and at least k among the first p + k - 1 of both. So each set is posted
-under its first p + k - 1 tokens, with k = 2. Two similar sets then share either a posted token
-that is rare, or at least two that are frequent: rare tokens are followed one by one, frequent
-ones as pairs (:func:`_crossing`). Every candidate is verified on the whole sets.
-
-Copies don't multiply the work: texts with the same set are one node; within a posting list
-first one edge for each node is verified, to the node it shares most lists with, and then only
-pairs of nodes whose components still differ are followed. That loses no component.
+whose counter in a fixed-size table of counts is low, then by hash. A set of n tokens and one
+similar to it (Jaccard >= 3/4) share t = ceil(3n/4) tokens at least, so the first k of those
+they share are among the first n - t + k of each. Each set is posted under these, its extended
+prefix, with k = 1 + n/16: similar sets share min(k, k') posted tokens or more, which rules out
+most pairs that share a passage only. Rare tokens are followed one by one, frequent ones as
+pairs (:func:`_crossing`). Every candidate is verified on the whole sets.
+
+Copies don't multiply the work: texts with the same set are one node. In each of a few rounds,
+the posting lists whose nodes are in different components each name a leader, and each node
+is compared with the leader it meets most often. What is left are lists with few strays, and
+of these all pairs of nodes in different components are followed. That loses no component.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulith.llm.common import Scratch, WordHash, partitions, shingles
@@ -30,7 +31,13 @@ COUNTERS_LOG2 = 18
 #: A posting list of more nodes than this is that of a frequent token.
 FREQUENT = 64
 #: A frequent token is followed alone where one of its sets has more frequent tokens than this.
-MOST_COMBINED = 48
+MOST_COMBINED = 8
+#: Rounds of comparing nodes with the leaders of their lists, before all pairs of strays.
+ROUNDS = 2
+#: Texts whose postings go into one Arrow batch.
+POST_BATCH = 1000
+#: Nodes whose texts are picked by a broadcast of their ids; beyond, by a shuffle.
+BROADCAST_IDS = 200_000
 #: Rows of one posting list that one task may take before the list is split.
 LIST_SPLIT = 20_000
 
@@ -77,24 +84,26 @@ def _poster(counts):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table = WordHash(), counts.value
         low = np.uint64((1 << 32) - 1)
-        for batch in batches:
-            toks, fps, salts, seen = [], [], [], set()
-            for text in batch.column(0).to_pylist():
+        for texts in (b.column(0).slice(i, POST_BATCH).to_pylist() for b in batches for i in range(0, b.num_rows, POST_BATCH)):
+            toks, fps, sizes, salts, seen = [], [], [], [], set()
+            for text in texts:
                 s = shingles(text, cache)
                 if not len(s) or (fp := _fp(s)) in seen:
                     continue
                 seen.add(fp)
                 c = table[_slots(s)]
-                take = min(len(s), len(s) - -(-3 * len(s) // 4) + 2)
+                take = min(len(s), len(s) - -(-3 * len(s) // 4) + 1 + len(s) // 16)
                 rank = (c.astype(np.uint64) << np.uint64(32)) | (s & low)  # ties in order of the whole hash: s is sorted
                 first = np.argsort(rank, kind="stable")[:take]
                 toks.append(s[first])
                 fps.append(np.full(take, fp, np.int64))
+                sizes.append(np.full(take, len(s), np.int32))
                 parts = 1 + c[first] // LIST_SPLIT
                 salts.append(np.where(parts > 1, abs(fp) % parts, -1).astype(np.int32))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(salts)),
-                                                  pa.array(np.concatenate(fps))], ["token", "salt", "fp"])
+                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))],
+                                                 ["token", "salt", "fp", "n"])
 
     return post
 
@@ -124,36 +133,109 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. ``sets`` is bucketed by fp, so each side moves a set once at most."""
+def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, tokens), in buckets of fp: the whole sets of the nodes, made again from the text of one member each."""
+    rep = scratch.table(members.filter("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "rep")
+    rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
+    texts = docs.join(rep, docs.doc_id.eqNullSafe(rep.doc_id)).select("fp", "text")
+    return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary"), "sets", "fp", partitions(docs.sparkSession))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked. Only the set of ``a`` is moved."""
     left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked, "a long, b long")
+    return scratch.table(both.mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _least_shared(n: Column) -> Column:
+    """Posted tokens that a set of n tokens shares with any similar one, which has 3n/4 tokens at least."""
+    return 1 + F.floor(F.ceil(0.75 * n) / 16)
+
+
+def _prune(lists: DataFrame) -> DataFrame:
+    """``lists`` (token, fp, n) without nodes in too few lists to link with any, and lists of one node.
+
+    Adds ``central``: the share of a node's tokens that others have. It is highest for a text
+    that others are edited copies of.
+    """
+    enough = lists.groupBy("fp", "n").agg(F.count("*").alias("in_lists")).filter(F.col("in_lists") >= _least_shared(F.col("n")))
+    some = lists.join(enough.select("fp", (F.col("in_lists") / F.col("n")).alias("central")), "fp")
+    return some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "token", "left_semi")
+
+
+def _mixed(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(token, fp, n, comp) of the lists whose nodes are in different components."""
+    if comps is None:
+        return lists.withColumn("comp", F.col("fp"))
+    labelled = lists.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "token", "fp", "n", "central", F.coalesce("component", "fp").alias("comp"))
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+    return labelled.join(mixed, "token", "left_semi")
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, tokens) to (fp, n, token)."""
+    for batch in batches:
+        for fp, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            t = np.frombuffer(tokens.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), fp)), pa.array(np.full(len(t), len(t), np.int32)), pa.array(t)],
+                                             ["fp", "n", "token"])
+
+
+def _supported(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """``lists`` without the nodes of which under 3/4 of the whole set is in other nodes: they link with none."""
+    tokens = sets.join(lists.select("fp").distinct(), "fp", "left_semi").mapInArrow(_unpack, "fp long, n int, token long")
+    order = Window.partitionBy("token").orderBy("fp")
+    shared = tokens.withColumn("twin", F.coalesce(F.lag("fp").over(order), F.lead("fp").over(order)).isNotNull())
+    enough = shared.filter("twin").groupBy("fp", "n").agg(F.count("*").alias("c")).filter("4 * c >= 3L * n").select("fp")
+    return lists.join(enough, "fp", "left_semi")
+
+
+def _tries(lists: DataFrame, turn: int) -> DataFrame:
+    """For each node, the leader of another component that leads most of its lists: (a, b)."""
+    rank = F.struct(F.lit(0.0) if turn else -F.col("central"), F.xxhash64("fp", F.lit(turn)))
+    leaders = lists.groupBy("token").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l"))
+    met = lists.join(leaders, "token").filter("comp != l.comp AND 4L * n >= 3L * l.n AND 4L * l.n >= 3L * n")
+    shared = met.groupBy("fp", F.col("l.fp").alias("leader"), "n").agg(F.count("*").alias("shared"))
+    return shared.groupBy("fp").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")).withColumnRenamed("fp", "a")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(token, fp, comp, n) to (a, b, n, shared): pairs in different components, with sizes that allow a link."""
+    other = rows.select("token", F.col("fp").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    both = rows.select("token", F.col("fp").alias("a"), "comp", "n").join(other, "token").filter(
+        "a < b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n")
+    return both.groupBy("a", "b").agg(F.min(F.least("n", "n_b")).alias("n"), F.count("*").alias("shared"))
 
 
 def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of nodes in different components: (token, fp, comp) to distinct (a, b).
+    """Candidate pairs (a, b) of nodes in different components, from (token, fp, comp, n).
 
     Lists of up to FREQUENT nodes are followed as they are. The tokens of longer ones are
-    paired: similar sets that share no rare token share at least two of these. Where a set
-    has so many frequent tokens that pairs would cost more than the lists, its tokens are
-    followed alone like rare ones, so that each token is of one class for all sets.
+    paired: a pair of sets that meets in c combinations shares f of these tokens with
+    f(f - 1)/2 = c, and one that meets in none shares one at most. Where a set has so many
+    frequent tokens that combinations would cost more than the lists, its tokens are followed
+    alone like rare ones; each token is of one class for all sets. A candidate shares
+    1 + n/16 posted tokens at least, n the smaller size.
     """
-    n = lists.groupBy("token").agg(F.count("*").alias("size"))
-    sized = scratch.table(lists.join(n, "token"), "sized")
+    size = lists.groupBy("token").agg(F.count("*").alias("size"))
+    sized = scratch.table(lists.join(size, "token"), "sized")
     often = sized.filter(F.col("size") > FREQUENT)
     wide = (often.join(often.groupBy("fp").agg(F.count("*").alias("f")).filter(F.col("f") > MOST_COMBINED), "fp", "left_semi")
             .select("token").distinct())
     alone = sized.filter(F.col("size") <= FREQUENT).unionByName(often.join(wide, "token", "left_semi"))
     paired = often.join(wide, "token", "left_anti")
-    combos = (paired.groupBy("fp", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))  # up to MOST_COMBINED tokens
-              .select("fp", "comp", F.posexplode("t").alias("i", "one"), "t")
-              .select("fp", "comp", "one", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("two"))
-              .select(F.xxhash64("one", "two").alias("token"), "fp", "comp"))
-    rows = alone.select("token", "fp", "comp").unionByName(combos)
-    other = rows.select("token", F.col("fp").alias("b"), F.col("comp").alias("comp_b"))
-    return (rows.withColumnRenamed("fp", "a").join(other, "token")
-            .filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b").distinct())
+    combos = (paired.groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list("token")).alias("t"))  # MOST_COMBINED at most
+              .select("fp", "comp", "n", F.posexplode("t").alias("i", "one"), "t")
+              .select("fp", "comp", "n", "one", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("two"))
+              .select(F.xxhash64("one", "two").alias("token"), "fp", "comp", "n"))
+    rare = _pairs(alone).select("a", "b", "n", "shared", F.lit(0).cast("long").alias("combined"))
+    frequent = _pairs(combos).select("a", "b", "n", F.lit(0).cast("long").alias("shared"), F.col("shared").alias("combined"))
+    met = rare.unionByName(frequent).groupBy("a", "b").agg(
+        F.min("n").alias("n"), F.sum("shared").alias("shared"), F.sum("combined").alias("combined"))
+    together = F.when(F.col("combined") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("combined"))) / 2)).otherwise(1)
+    return met.filter(F.col("shared") + together >= 1 + F.floor(F.col("n") / 16)).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,35 +261,26 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1))
 
     # Posting lists with two nodes at least; lists of very frequent tokens are split by salt.
-    posted = docs.select("text").mapInArrow(_poster(table), "token long, salt int, fp long")
+    posted = docs.select("text").mapInArrow(_poster(table), "token long, salt int, fp long, n int")
     order = Window.partitionBy("token", "salt").orderBy("fp")
     once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
     ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("after", F.lead("fp").over(order)))
-    lists = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL")
-                          .select("token", "salt", "fp", "leader"), "lists")
-    heads = lists.groupBy("token", "salt").agg(F.min("leader").alias("fp"))
-    split = heads.join(heads.filter("salt >= 0").select("token").distinct(), "token", "left_semi")
-    top = split.groupBy("token").agg(F.min("fp").alias("leader"))
-    stars = (lists.select("fp", "leader").unionByName(split.join(top, "token").select("fp", "leader"))
-             .filter(F.col("fp") != F.col("leader")).groupBy("fp", "leader").agg(F.count("*").alias("shared")))
-
-    # The whole sets of all nodes that have a list, by node.
-    rep = members.filter(F.col("n") > 0).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    rep = rep.join(lists.select("fp").distinct(), "fp", "left_semi")
-    texts = docs.join(rep, docs.doc_id.eqNullSafe(rep.doc_id)).select("fp", "text")
-    sets = scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary"), "sets", "fp", partitions(spark))
-
-    best = stars.groupBy("fp").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("b")).withColumnRenamed("fp", "a")
-    links = scratch.table(_verify(best, sets), "links")
-    comps = components(links, scratch)
-    # Every list whose nodes are still in different components.
-    labelled = lists.select("token", "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "token", "fp", F.coalesce("component", "fp").alias("comp"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    crossing = scratch.table(_crossing(labelled.join(mixed, "token", "left_semi"), scratch), "crossing")
-    more = scratch.table(_verify(crossing, sets), "links")
-    comps = components(links.unionByName(more), scratch)
+    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "n"), "found")
+    lists = scratch.table(_prune(found), "lists")
+    sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
+
+    comps, links = None, None
+    for turn in range(ROUNDS):
+        mixed = scratch.table(_mixed(lists, comps), "mixed")
+        if turn:
+            lists = scratch.table(_supported(mixed, sets).drop("comp"), "supported")
+            mixed = scratch.table(_mixed(lists, comps), "mixed")
+        new = _verify(scratch.table(_tries(mixed, turn), "tries"), sets, scratch)
+        links = new if links is None else links.unionByName(new)
+        comps = components(links, scratch)
+    crossing = scratch.table(_crossing(_mixed(lists, comps), scratch), "crossing")
+    comps = components(links.unionByName(_verify(crossing, sets, scratch)), scratch)
 
     named = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     named = scratch.table(named.withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "fp"))), "named")
