@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith.llm.chat import CLOSE, OPEN, format_trees, linear, read_back
+from tabulith.llm.common import Scratch
 from tabulith.llm.decontam import find_leaks, split_item
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import DIMENSIONS, mix
 from tabulith.llm.quality import quality_rules
 from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
+from tabulith.llm.warc import read_records, write_archive
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -122,6 +125,53 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), test_items(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to an archive and read back."""
+    path = Scratch(spark, "archive").path
+    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_records(spark, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS x FROM p),
+b AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || substr(x, CAST(i * 10 + 1 AS BIGINT), 10) AS BIGINT)) AS w FROM d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((w[k // 8 + 1] >> CAST(5 * (7 - k % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified
+FROM b
+"""
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds control strings, formatted and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql("SELECT -7L AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text "
+                       "FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)")
+    read = read_back(format_trees(*linear(rows.unionByName(tricky))))
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join("learned", "")
+    return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _op10_sql() -> str:
+    safe = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss,
+  CAST(sum(length({safe('role')}) + length({safe('text')}) + {len(OPEN) + 1 + len(CLOSE)}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines before, its dropped lines and the digest of the rest."""
     kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -157,12 +207,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_source_mixing": _op3_sql(),
     "op5_secret_scan": _op5_sql(),
+    "op7_warc": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op10_chat_format": _op10_sql(),
 }
