@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulith.llm.chat import CLOSE, OPEN, format_trees, linear, read_back
 from tabulith.llm.common import Scratch
 from tabulith.llm.decontam import find_leaks, split_item
+from tabulith.llm.html_extract import extract
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import DIMENSIONS, mix
@@ -80,6 +81,11 @@ FROM d JOIN rated USING (source, lang, topic)
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its secrets: counts and digest of the base spans, and all spans."""
     out = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -205,6 +211,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc": op7_warc,
