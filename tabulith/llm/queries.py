@@ -16,11 +16,17 @@ from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import DIMENSIONS, mix
 from tabulith.llm.quality import quality_rules
 from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
+from tabulith.llm.substring_dedup import shared_passages
 from tabulith.llm.warc import read_records, write_archive
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a passage that several documents share."""
+    return shared_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -209,6 +215,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op4_html_extraction": op4_html_extraction,
