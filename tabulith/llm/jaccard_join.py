@@ -8,10 +8,12 @@ prefix, with k = 1 + n/16: similar sets share min(k, k') posted tokens or more,
 most pairs that share a passage only. Rare tokens are followed one by one, frequent ones as
 pairs (:func:`_crossing`). Every candidate is verified on the whole sets.
 
-Copies don't multiply the work: texts with the same set are one node. In each of a few rounds,
-the posting lists whose nodes are in different components each name a leader, and each node
-is compared with the leader it meets most often. What is left are lists with few strays, and
-of these all pairs of nodes in different components are followed. That loses no component.
+Copies don't multiply the work: texts with the same set are one node. First, each posting list
+names its most central node, and each node is compared with the centre it meets most often,
+which joins most edited copies of a text. Of the rest only pairs in different components are
+followed. Two nodes x, y of one centre c share |x n y| <= min(|x n c|, |y n c|) tokens of c at
+most, so where that isn't enough they must share tokens that c lacks, and are found by these:
+see :func:`_strays`. That loses no component.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ COUNTERS_LOG2 = 18
 FREQUENT = 64
 #: A frequent token is followed alone where one of its sets has more frequent tokens than this.
 MOST_COMBINED = 8
-#: Rounds of comparing nodes with the leaders of their lists, before all pairs of strays.
-ROUNDS = 2
 #: Texts whose postings go into one Arrow batch.
 POST_BATCH = 1000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond, by a shuffle.
@@ -133,6 +133,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, tokens of a, tokens of b) to (a, b, both): the tokens that they share."""
+    for batch in batches:
+        both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
+
+
+def _lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, tokens of a, tokens of b) to (fp, token): the tokens of a that b lacks."""
+    for batch in batches:
+        for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            own = np.setdiff1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), a)), pa.array(own)], ["fp", "token"])
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, tokens), in buckets of fp: the whole sets of the nodes, made again from the text of one member each."""
     rep = scratch.table(members.filter("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "rep")
@@ -141,11 +157,10 @@ def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratc
     return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary"), "sets", "fp", partitions(docs.sparkSession))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. Only the set of ``a`` is moved."""
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return scratch.table(both.mapInArrow(_linked, "a long, b long"), "links")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, tokens of a, tokens of b). Only the set of ``a`` is moved."""
+    left = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
+    return left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
 
 def _least_shared(n: Column) -> Column:
@@ -192,25 +207,43 @@ def _supported(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return lists.join(enough, "fp", "left_semi")
 
 
-def _tries(lists: DataFrame, turn: int) -> DataFrame:
-    """For each node, the leader of another component that leads most of its lists: (a, b)."""
-    rank = F.struct(F.lit(0.0) if turn else -F.col("central"), F.xxhash64("fp", F.lit(turn)))
-    leaders = lists.groupBy("token").agg(F.min_by(F.struct("fp", "n", "comp"), rank).alias("l"))
-    met = lists.join(leaders, "token").filter("comp != l.comp AND 4L * n >= 3L * l.n AND 4L * l.n >= 3L * n")
-    shared = met.groupBy("fp", F.col("l.fp").alias("leader"), "n").agg(F.count("*").alias("shared"))
+def _tries(lists: DataFrame) -> DataFrame:
+    """(a, b): each node with the central node that it meets in most of its lists."""
+    rank = F.struct(-F.col("central"), F.xxhash64("fp"))
+    leaders = lists.groupBy("token").agg(F.min_by(F.struct("fp", "n"), rank).alias("l"))
+    met = lists.join(leaders, "token").filter("fp != l.fp AND 4L * n >= 3L * l.n AND 4L * l.n >= 3L * n")
+    shared = met.groupBy("fp", F.col("l.fp").alias("leader")).agg(F.count("*").alias("shared"))
     return shared.groupBy("fp").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")).withColumnRenamed("fp", "a")
 
 
+#: Two nodes a, b of one centre can be similar by the centre's tokens alone.
+BY_CENTRE = "7L * least(o, o_b) >= 3L * (n + n_b)"
+
+
+def _strays(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of one centre that must share tokens the centre lacks, and share enough of them.
+
+    ``rows`` has fp, comp, n, centre and o, the tokens shared with the centre. Similar sets share
+    3/7 of the sum of their sizes; at most min(o, o_b) of these are the centre's.
+    """
+    own = _with_sets(rows.filter("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")), sets).mapInArrow(_lacking, "fp long, token long")
+    own = own.join(rows, "fp")
+    other = own.select("centre", "token", *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "o")))
+    met = own.join(other, ["centre", "token"]).filter(f"fp < fp_b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n AND NOT {BY_CENTRE}")
+    return met.groupBy(F.col("fp").alias("a"), F.col("fp_b").alias("b"), (3 * (F.col("n") + F.col("n_b")) - 7 * F.least("o", "o_b")).alias("need")).agg(
+        F.count("*").alias("shared")).filter("7 * shared >= need").select("a", "b")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
-    """(token, fp, comp, n) to (a, b, n, shared): pairs in different components, with sizes that allow a link."""
-    other = rows.select("token", F.col("fp").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    both = rows.select("token", F.col("fp").alias("a"), "comp", "n").join(other, "token").filter(
-        "a < b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n")
+    """(token, fp, comp, n, centre, o) to (a, b, n, shared): pairs that sizes, components and centres leave open."""
+    other = rows.select("token", F.col("fp").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("comp", "n", "centre", "o")))
+    both = rows.withColumnRenamed("fp", "a").join(other, "token").filter(
+        f"a < b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n AND (centre != centre_b OR {BY_CENTRE})")
     return both.groupBy("a", "b").agg(F.min(F.least("n", "n_b")).alias("n"), F.count("*").alias("shared"))
 
 
 def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of nodes in different components, from (token, fp, comp, n).
+    """Candidate pairs (a, b) of nodes in different components, from (token, fp, comp, n, centre, o).
 
     Lists of up to FREQUENT nodes are followed as they are. The tokens of longer ones are
     paired: a pair of sets that meets in c combinations shares f of these tokens with
@@ -226,11 +259,11 @@ def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
             .select("token").distinct())
     alone = sized.filter(F.col("size") <= FREQUENT).unionByName(often.join(wide, "token", "left_semi"))
     paired = often.join(wide, "token", "left_anti")
-    combos = (paired.groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list("token")).alias("t"))  # MOST_COMBINED at most
-              .select("fp", "comp", "n", F.posexplode("t").alias("i", "one"), "t")
-              .select("fp", "comp", "n", "one", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("two"))
-              .select(F.xxhash64("one", "two").alias("token"), "fp", "comp", "n"))
-    rare = _pairs(alone).select("a", "b", "n", "shared", F.lit(0).cast("long").alias("combined"))
+    combos = (paired.groupBy("fp", "comp", "n", "centre", "o").agg(F.array_sort(F.collect_list("token")).alias("t"))  # MOST_COMBINED at most
+              .select("fp", "comp", "n", "centre", "o", F.posexplode("t").alias("i", "one"), "t")
+              .select("fp", "comp", "n", "centre", "o", "one", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("two"))
+              .select(F.xxhash64("one", "two").alias("token"), "fp", "comp", "n", "centre", "o"))
+    rare = _pairs(alone.drop("size")).select("a", "b", "n", "shared", F.lit(0).cast("long").alias("combined"))
     frequent = _pairs(combos).select("a", "b", "n", F.lit(0).cast("long").alias("shared"), F.col("shared").alias("combined"))
     met = rare.unionByName(frequent).groupBy("a", "b").agg(
         F.min("n").alias("n"), F.sum("shared").alias("shared"), F.sum("combined").alias("combined"))
@@ -270,17 +303,20 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lists = scratch.table(_prune(found), "lists")
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
 
-    comps, links = None, None
-    for turn in range(ROUNDS):
-        mixed = scratch.table(_mixed(lists, comps), "mixed")
-        if turn:
-            lists = scratch.table(_supported(mixed, sets).drop("comp"), "supported")
-            mixed = scratch.table(_mixed(lists, comps), "mixed")
-        new = _verify(scratch.table(_tries(mixed, turn), "tries"), sets, scratch)
-        links = new if links is None else links.unionByName(new)
-        comps = components(links, scratch)
-    crossing = scratch.table(_crossing(_mixed(lists, comps), scratch), "crossing")
-    comps = components(links.unionByName(_verify(crossing, sets, scratch)), scratch)
+    tried = scratch.table(_with_sets(scratch.table(_tries(lists), "tries"), sets).mapInArrow(_overlaps, "a long, b long, both long"), "tried")
+    size = lists.select("fp", "n").distinct()
+    tried = tried.join(size.withColumnsRenamed({"fp": "a"}), "a").join(size.select(F.col("fp").alias("b"), F.col("n").alias("n_b")), "b")
+    links = scratch.table(tried.filter("7L * both >= 3L * (n + n_b)").select("a", "b"), "links")
+    comps = components(links, scratch)
+
+    # What is left: lists of several components, and of these the nodes that could link at all.
+    lists = scratch.table(_supported(_mixed(lists, comps), sets).drop("comp"), "supported")
+    centres = tried.select(F.col("a").alias("fp"), F.col("b").alias("centre"), F.col("both").alias("o"))
+    mixed = _mixed(lists, comps).drop("central").join(centres, "fp", "left")
+    mixed = scratch.table(mixed.withColumns({"centre": F.coalesce("centre", "fp"), "o": F.coalesce("o", "n")}), "mixed")
+    pairs = _crossing(mixed, scratch).unionByName(_strays(mixed.drop("token").distinct(), sets)).distinct()
+    more = scratch.table(_with_sets(scratch.table(pairs, "pairs"), sets).mapInArrow(_linked, "a long, b long"), "links")
+    comps = components(links.unionByName(more), scratch)
 
     named = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     named = scratch.table(named.withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "fp"))), "named")
