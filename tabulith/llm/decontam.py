@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulith.llm.common import ascii_lower, words
+
 #: Passages: words in each, and words from one to the next.
 PASSAGE, STRIDE = 96, 32
 K1, B = 1.2, 0.75
@@ -107,10 +109,10 @@ class Index:
     def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlap, question's overlap, answer's overlap) of the verified hits."""
         for d, blocks in self.open_blocks(texts).items():
-            words = texts[d]
+            text = texts[d]
             for b, places in blocks.items():
                 passages = {s for p in places for s in range(max(0, (p - PASSAGE) // STRIDE + 1), p // STRIDE + 1)}
-                bags = {s: set(words[s * STRIDE:s * STRIDE + PASSAGE]) for s in passages}
+                bags = {s: set(text[s * STRIDE:s * STRIDE + PASSAGE]) for s in passages}
                 for k in range(b * BLOCK_ITEMS, min((b + 1) * BLOCK_ITEMS, len(self.ids))):
                     w = self.weights[k]
                     scores = {s: sum(x for t, x in w.items() if t in bag) for s, bag in bags.items()}
@@ -121,7 +123,7 @@ class Index:
                     size = len(q) + len(a)
                     near: set[tuple[bytes, ...]] = set()
                     for s in good:  # the passage, and as much around it as the item is long
-                        part = words[max(0, s * STRIDE - size):s * STRIDE + PASSAGE + size]
+                        part = text[max(0, s * STRIDE - size):s * STRIDE + PASSAGE + size]
                         k5 = min(5, size)
                         near.update(tuple(part[i:i + k5]) for i in range(len(part) - k5 + 1))
                     whole = _shingles(q + a)
@@ -143,13 +145,13 @@ def _indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes of INDEX_BYTES of items each, with document frequencies over all items."""
     items = items.select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"),
                          F.coalesce("answer", F.lit("")).alias("answer")).distinct()
+    items = items.filter(F.concat("question", "answer").rlike(r"[^\x20\x09-\x0D]"))  # an item without words is in no text
     nbytes = F.octet_length("question") + F.octet_length("answer")
     n, size = items.agg(F.count("*"), F.sum(nbytes)).first()
     shards = -(-(size or 0) // INDEX_BYTES)
-    bag = F.split(F.lower(F.concat_ws(" ", "question", "answer")), r"[\x20\x09-\x0D]+")
+    bag = words(ascii_lower(F.concat_ws(" ", "question", "answer")))
     mean = items.agg(F.avg(F.size(bag))).first()[0] or 1.0
-    df_all = (items.select(F.explode(F.array_distinct(F.split(F.translate(F.concat_ws(" ", "question", "answer"),
-              "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"))).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+    df_all = items.select(F.explode(F.array_distinct(bag)).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     for k in range(shards):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "question", "answer")
         rows = [tuple(r) for r in part.collect()]  # INDEX_BYTES or so: the items are a test set, in shards
@@ -157,8 +159,7 @@ def _indexes(items: DataFrame) -> Iterator[Index]:
         if shards == 1:
             df = {r.t.encode(): r.df for r in df_all.collect()}
         else:
-            here = part.select(F.explode(F.split(F.translate(F.concat_ws(" ", "question", "answer"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                               "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("t")).distinct()
+            here = part.select(F.explode(bag).alias("t")).distinct()
             df = {r.t.encode(): r.df for r in df_all.join(here, "t", "left_semi").collect()}
         yield Index(rows, n, mean, {t: df.get(t, 1) for t in terms})
 
