@@ -707,7 +707,10 @@ def i5(spark, d):
     return rounded(utility.average_precision(predictions(spark, d)))
 
 
-IS_RARE = F.col("label") == "rare"
+def is_rare():
+    return F.col("label") == "rare"
+
+
 X_NUM, X_CAT = ["qty", "disc", "tax"], ["flag", "status"]
 
 
@@ -719,7 +722,7 @@ def split_real(spark, d):
 @query("i1_train_classifier")
 def i1(spark, d):
     s, _ = split_real(spark, d)
-    return rounded(utility.train_classifier(s.filter("part = 'train'"), s.filter("part = 'test'"), IS_RARE, X_NUM, X_CAT, "tree"))
+    return rounded(utility.train_classifier(s.filter("part = 'train'"), s.filter("part = 'test'"), is_rare(), X_NUM, X_CAT, "tree"))
 
 
 @query("i2_train_regressor")
@@ -731,7 +734,7 @@ def i2(spark, d):
 @query("i6_utility_gap")
 def i6(spark, d):
     s, syn = split_real(spark, d)
-    return rounded(utility.utility_gap(s, syn, IS_RARE, X_NUM, X_CAT, ["tree"]))
+    return rounded(utility.utility_gap(s, syn, is_rare(), X_NUM, X_CAT, ["tree"]))
 
 
 @query("i7_rare_event_recall")
