@@ -438,10 +438,12 @@ def e5(spark, d):
 
 
 _SLICED = dict(DRAWS, sl=f"SELECT row_key, feature, category, CAST(floor({u_sql(15, 'row_key')} * 64) AS INT) AS slice FROM cat WHERE side = 'real'",
-               numbered="SELECT *, row_number() OVER (PARTITION BY feature, category ORDER BY slice, row_key) AS k, count(*) OVER (PARTITION BY feature, category) AS total FROM sl")
+               numbered="SELECT *, row_number() OVER (PARTITION BY feature, category ORDER BY slice, row_key) AS k FROM sl",
+               sizes="SELECT feature, category, count(*) AS total FROM sl GROUP BY feature, category",
+               picked=f"SELECT draw, feature, category, CAST(floor({u_sql(11, 'draw')} * total) + 1 AS BIGINT) AS k FROM drawn JOIN sizes USING (feature, category)")
 
 
-@query("e6_conditional_rows", on_pair(f"SELECT draw, feature, category, row_key FROM drawn JOIN numbered USING (feature, category) WHERE k = floor({u_sql(11, 'draw')} * total) + 1", **_SLICED))
+@query("e6_conditional_rows", on_pair("SELECT draw, feature, category, row_key FROM picked JOIN numbered USING (feature, category, k)", **_SLICED))
 def e6(spark, d):
     real, conditions = drawn(spark, d)
     return sample.conditional_rows(real, conditions, CAT, seed=8)
