@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import Scratch
+from tabulith.llm.common import Scratch, let
 
 #: Marks of the template. No role or text holds a bare mark: control strings in them are escaped.
 OPEN, BREAK, CLOSE = "<|turn|>", "\n", "<|end|>\n"
@@ -115,7 +115,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     head = lambda s: F.substring_index(s, BREAK, 1)
     turn = lambda s: F.struct(unescape(head(s), ROLE_ESCAPES).alias("role"), unescape(F.substring(
         s, F.length(head(s)) + 2, F.length(s) - F.length(head(s)) - len(BREAK + CLOSE))).alias("text"))
-    learned = F.transform("loss", lambda x: unescape(F.substring(F.get("_s", x["turn"]), x["start"] - len(OPEN) + 1, x["end"] - x["start"])))
+    learned = let(F.col("_s"), lambda s: F.transform("loss", lambda x: unescape(
+        F.substring(F.get(s, x["turn"]), x["start"] - len(OPEN) + 1, x["end"] - x["start"]))))
     return rows.withColumns({"turns": F.transform("_s", turn), "learned": learned}).drop("_s")
 
 

@@ -21,7 +21,12 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also changes letters beyond ASCII)."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once: a column used inside a lambda may be inlined and computed for each element."""
+    return F.transform(F.array(value), f)[0]
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import Scratch, ascii_lower, join_on_hot_key, partitions
+from tabulith.llm.common import Scratch, ascii_lower, join_on_hot_key, let, partitions
 
 #: Stands for a null id: smaller than every other, and all null ids are one document.
 NO_ID = -(1 << 63)
@@ -21,7 +21,7 @@ NO_ID = -(1 << 63)
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -31,6 +31,12 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.filter(F.length("key") >= min_chars).select("d", "fp", "pos", F.md5("key").alias("line"))
 
 
+def _between(lines: Column, ends: Column) -> Column:
+    """The lines between those that go, as slices; ``ends`` has their places and the number of lines."""
+    start = lambda i: F.coalesce(F.get(ends, i - 1) + 1, F.lit(0))
+    return F.flatten(F.transform(ends, lambda e, i: F.slice(lines, start(i) + 1, e - start(i))))
+
+
 class LineRuns:
     """The runs of all batches so far, by level, in the shared folder."""
 
@@ -97,12 +103,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = join_on_hot_key(_lines(keyed, min_chars), shared, "line", "n_docs", held)
     gone = (found.filter(F.col("d") < F.col("last_doc")).groupBy("d", "fp")
             .agg(F.array_sort(F.collect_set("pos")).alias("gone")))
-    # The lines between those that go, as slices: linear in the lines of a text.
-    rows = keyed.join(gone, ["d", "fp"], "left").withColumn("lines", F.split("body", "\n")).withColumn(
-        "gone", F.coalesce("gone", F.array().cast("array<int>")))
-    rows = rows.withColumn("ends", F.concat("gone", F.array(F.size("lines"))))
-    rows = rows.withColumn("kept", F.expr(
-        "CASE WHEN size(gone) = 0 THEN body ELSE array_join(flatten(transform(ends, (e, i) -> "
-        "slice(lines, coalesce(get(ends, i - 1) + 2, 1), e - coalesce(get(ends, i - 1) + 1, 0)))), '\\n') END"))
+    rows = keyed.join(gone, ["d", "fp"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = rows.withColumn("n_lines", F.size(F.split("body", "\n")).cast("long"))
+    kept = let(F.split("body", "\n"), lambda x: let(F.concat("gone", F.array(F.size(x))), lambda ends: _between(x, ends)))
+    rows = rows.withColumn("kept", F.when(F.size("gone") == 0, F.col("body")).otherwise(F.array_join(kept, "\n")))
     return rows.select(*[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
-                       F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
+                       "n_lines", F.size("gone").cast("long").alias("n_dropped"))
