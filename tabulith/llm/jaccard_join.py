@@ -4,8 +4,8 @@ Tokens are the distinct five-word shingles of a text. They get one global order:
 whose counter in a fixed-size table of counts is low, then by hash. A set of n tokens and one
 similar to it (Jaccard >= 3/4) share t = ceil(3n/4) tokens at least, so the first k of those
 they share are among the first n - t + k of each. Each set is posted under these, its extended
-prefix, with k = 1 + n/16: similar sets share min(k, k') posted tokens or more, which rules out
-most pairs that share a passage only. Rare tokens are followed one by one, frequent ones as
+prefix, with k = 2 + n/16: similar sets share min(k, k') posted tokens or more (two different
+ones always share 3 at least), which rules out most pairs that share a passage only. Rare tokens are followed one by one, frequent ones as
 pairs (:func:`_crossing`). Every candidate is verified on the whole sets.
 
 Copies don't multiply the work: texts with the same set are one node. First, each posting list
@@ -92,7 +92,7 @@ def _poster(counts):
                     continue
                 seen.add(fp)
                 c = table[_slots(s)]
-                take = min(len(s), len(s) - -(-3 * len(s) // 4) + 1 + len(s) // 16)
+                take = min(len(s), len(s) - -(-3 * len(s) // 4) + 2 + len(s) // 16)
                 rank = (c.astype(np.uint64) << np.uint64(32)) | (s & low)  # ties in order of the whole hash: s is sorted
                 first = np.argsort(rank, kind="stable")[:take]
                 toks.append(s[first])
@@ -165,7 +165,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _least_shared(n: Column) -> Column:
     """Posted tokens that a set of n tokens shares with any similar one, which has 3n/4 tokens at least."""
-    return 1 + F.floor(F.ceil(0.75 * n) / 16)
+    return 2 + F.floor(F.ceil(0.75 * n) / 16)
 
 
 def _prune(lists: DataFrame) -> DataFrame:
@@ -247,10 +247,10 @@ def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
 
     Lists of up to FREQUENT nodes are followed as they are. The tokens of longer ones are
     paired: a pair of sets that meets in c combinations shares f of these tokens with
-    f(f - 1)/2 = c, and one that meets in none shares one at most. Where a set has so many
+    f(f - 1)/2 = c, and one that meets in none shares one at most, which is too few. Where a set has so many
     frequent tokens that combinations would cost more than the lists, its tokens are followed
     alone like rare ones; each token is of one class for all sets. A candidate shares
-    1 + n/16 posted tokens at least, n the smaller size.
+    2 + n/16 posted tokens at least, n the smaller size.
     """
     size = lists.groupBy("token").agg(F.count("*").alias("size"))
     sized = scratch.table(lists.join(size, "token"), "sized")
@@ -268,7 +268,7 @@ def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
     met = rare.unionByName(frequent).groupBy("a", "b").agg(
         F.min("n").alias("n"), F.sum("shared").alias("shared"), F.sum("combined").alias("combined"))
     together = F.when(F.col("combined") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("combined"))) / 2)).otherwise(1)
-    return met.filter(F.col("shared") + together >= 1 + F.floor(F.col("n") / 16)).select("a", "b")
+    return met.filter(F.col("shared") + together >= 2 + F.floor(F.col("n") / 16)).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

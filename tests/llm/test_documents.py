@@ -77,6 +77,14 @@ def test_jaccard_groups_equal_brute_force_on_families_of_edits(spark):
     assert got == brute_groups(rows)
 
 
+def test_jaccard_groups_of_short_texts_that_share_one_frequent_passage(spark):
+    passage = text_of(70, 13)
+    w = passage.split()
+    rows = [(0, passage), *((1 + i, f"{passage} {text_of(1000 + i, 3)}") for i in range(100)), *((200 + i, " ".join(w[i:i + 5])) for i in range(9))]
+    got = sorted((tuple(r) for r in jaccard_groups(frame(spark, rows)).collect()), key=str)
+    assert got == brute_groups(rows) and sum(c == 0 for _, _, c in got) == 101
+
+
 def test_jaccard_groups_of_nothing(spark):
     assert jaccard_groups(frame(spark, {})).count() == 0
 
