@@ -34,6 +34,8 @@ _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style head title noscript template svg math iframe object select option textarea button canvas audio video".split())
+#: Elements that may stand in a head, whose end tag may be left out: anything else closes it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("""html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption
  blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup center""".split())
@@ -89,7 +91,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             stack.pop()
             links -= tag == "a"
 
+    def end_head() -> None:
+        k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("head", "template")), 0)
+        if k and stack[k][0] == "head":
+            pop(k)
+
     def say(text: str) -> None:
+        if stack[-1][0] == "head" and text.strip():
+            end_head()
         if text and not stack[-1][2]:
             text, node = entities.unescape(text), stack[-1][1]
             pieces.append(text)
@@ -118,6 +127,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if k:
                 pop(k)
             continue
+        if tag == "body" or (stack[-1][0] == "head" and tag not in HEAD):
+            end_head()
         if tag == "br":
             say(" ")
         if tag in VOID:

@@ -23,6 +23,19 @@ def test_blocks_and_character_references():
     assert [t for _, t in runs] == ["a & b", "cd e f", "g", "tail <p>"]
 
 
+@pytest.mark.parametrize("rest", ["<body><p>a text</p>", "<p>a text</p>", "<noscript><link href=x></noscript><div>a text</div>", "<noscript><img src=x>no</noscript>\n<p>a text",
+                                  "<noscript><body><p>a text", "<template><div>no</div></template><p>a text", "a text", "<img src=x>a text", "</head><body>a text"])
+def test_a_head_without_an_end_tag_ends_at_the_first_content(rest):
+    _, runs = h.parse("<html><head><meta charset=utf-8>\n<title>no</title><style>no</style>" + rest)
+    assert [t for _, t in runs] == ["a text"]
+
+
+def test_text_of_a_page_without_an_end_of_head(trees):
+    page = "<html><head><title>T</title>{}<body><article><h1>Title here</h1><p>Some text, and more of it. And yet more.</p></article></body></html>"
+    open_head, closed = h.main_texts([page.format(""), page.format("</head>")], trees)
+    assert open_head == closed == "Title here\nSome text, and more of it. And yet more."
+
+
 @pytest.mark.parametrize("page", ["", "<", "<<<>>", "<p", "<script>", "<p class='", "</p></div>", "<!--", "a < b > c", "<b><i><p>x</b></i>", "&#0;&#x110000;&bogus;", "<div>" * 3000])
 def test_broken_pages_are_parsed(page, trees):
     assert isinstance(h.main_texts([page], trees)[0], str)
