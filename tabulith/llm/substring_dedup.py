@@ -1,8 +1,9 @@
 """Substring dedup: passages that several documents share.
 
 Paragraphs are found by MinHash banding over their five-word shingles: the bands are tuned for
-recall, colliding paragraphs are compared with the first of their band by exact Jaccard
-similarity, and the similar ones are clustered by connected components. A passage can also be
+recall, colliding paragraphs are compared by exact Jaccard similarity, and the similar ones are
+clustered by connected components: first each with one head of its bucket, then, as long as that
+pays, with other heads, and last all those of one bucket that are in different components. A passage can also be
 pasted into the middle of a paragraph; so the words of a text are cut as well where a word's hash
 is the least around it, which cuts a passage alike wherever it stands, and equal pieces
 collide in one band of their own. Touching units of a document that are shared make a passage.
@@ -27,6 +28,8 @@ MIN_PARAGRAPH, MIN_PASSAGE = 20, 20
 AROUND = 5
 #: Units whose texts are picked by a broadcast of their places; beyond, by a shuffle.
 BROADCAST_UNITS = 100_000
+#: Open pairs for each place in a bucket beyond which another head is tried before all pairs are compared.
+OPEN_PAIRS = 4
 UNIT = "key long, kind int, doc_id long, start int, end int, fp long"
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
@@ -103,6 +106,48 @@ def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The similar ones of the distinct pairs (a, b)."""
+    both = pairs.join(sets.withColumnsRenamed({"fp": "a", "tokens": "s"}), "a").join(
+        sets.withColumnsRenamed({"fp": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
+    return scratch.table(both.mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _settled(buckets: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) as if in each bucket (key, fp) every two paragraphs were compared; ``links`` are the pairs known.
+
+    Buckets of one component are done. While the rest has many pairs across components, each of
+    its buckets is compared with one more head, as long as that takes away a quarter of them.
+    What is left is then compared in full but for pairs whose sizes rule a link out.
+    """
+    sizes = sets.select(F.col("fp"), (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    buckets = scratch.table(buckets.join(sizes, "fp"), "buckets")
+    before, turn = None, 0
+    while True:
+        comps = components(links, scratch)
+        named = buckets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+        left = scratch.table(named.join(mixed, "key", "left_semi"), "open")
+        per = left.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(
+            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("places"))
+        pairs, places = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("places"), F.lit(0.0))).first()
+        if not pairs:
+            return comps
+        fits = "comp != comp_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n"
+        last = pairs <= OPEN_PAIRS * places or (before is not None and pairs > 0.75 * before)
+        other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("fp", "n", "comp")))
+        if not last:
+            turn += 1
+            pick = F.struct(F.xxhash64("fp_b", F.lit(turn)), "fp_b")
+            other = other.groupBy("key").agg(F.min_by(F.struct("fp_b", "n_b", "comp_b"), pick).alias("h")).select("key", "h.*")
+        met = left.join(other, "key").filter(f"{fits} AND fp < fp_b" if last else fits)
+        met = met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
+        links = links.unionByName(_verified(met, sets, scratch))
+        if last:
+            return components(links, scratch)
+        before = pairs
+
+
 def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
     """Passages of ``min_words`` words or more that stand in several documents, one row for each place.
 
@@ -121,20 +166,20 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     found = docs.mapInArrow(_unit_rows(bands, rows), UNIT)
     place = F.struct("doc_id", "start", "end", "fp")
-    heads = found.groupBy("key", "kind").agg(F.min(place).alias("head"), F.max("doc_id").alias("last"))
+    heads = found.groupBy("key", "kind").agg(
+        F.min(place).alias("head"), F.max("doc_id").alias("last"), (F.min("fp") != F.max("fp")).alias("differ"))
     heads = heads.filter(F.col("head.doc_id") != F.col("last")).drop("last")
-    met = scratch.table(found.join(heads, ["key", "kind"]).select("kind", "doc_id", "start", "end", "fp", "head"), "met")
+    met = scratch.table(found.join(heads, ["key", "kind"]).select(
+        F.when(F.expr("kind = 0 AND differ"), F.col("key")).alias("bucket"), "kind", "doc_id", "start", "end", "fp", "head"), "met")
 
-    # Paragraphs that only collide: exact similarity to the first of the band.
+    # Paragraphs that only collide: exact similarity, first to the first of the band.
     pairs = met.filter("kind = 0 AND fp != head.fp").select("fp", F.col("head.fp").alias("to"), place.alias("x"), F.col("head").alias("y"))
     pairs = scratch.table(pairs.groupBy(F.col("fp").alias("a"), F.col("to").alias("b")).agg(F.min("x").alias("x"), F.min("y").alias("y")), "pairs")
     need = scratch.table(pairs.select(F.col("x.*")).union(pairs.select(F.col("y.*"))).groupBy("fp").agg(F.min(place).alias("p")).select("p.*"), "need")
     need = F.broadcast(need) if need.count() <= BROADCAST_UNITS else need
     sets = scratch.table(docs.join(need, "doc_id").select("fp", "start", "end", "text").mapInArrow(_unit_sets, "fp long, tokens binary").dropDuplicates(["fp"]), "sets")
-    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"fp": "a", "tokens": "s"}), "a").join(
-        sets.withColumnsRenamed({"fp": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
-    links = scratch.table(both.mapInArrow(_linked, "a long, b long"), "links")
-    comps = components(links, scratch)
+    links = _verified(pairs.select("a", "b"), sets, scratch)
+    comps = _settled(met.filter("bucket IS NOT NULL").select(F.col("bucket").alias("key"), "fp").distinct(), links, sets, scratch)
 
     # Units whose cluster is in two documents at least, and the passages that they make.
     named = met.select("kind", "doc_id", "start", "end", "fp").distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(

@@ -9,14 +9,15 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import WordHash, shingles
+from tabulith.llm import substring_dedup
+from tabulith.llm.common import Scratch, WordHash, shingles
 from tabulith.llm.decontam import Index, drop_leaks, find_leaks, split_item
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import mix
 from tabulith.llm.quality import BUCKETS, quality_rules
 from tabulith.llm.secrets import scan_secrets, span_text
-from tabulith.llm.substring_dedup import shared_passages, tune_bands
+from tabulith.llm.substring_dedup import shared_passages, tune_bands, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean"
 
@@ -241,5 +242,41 @@ def test_shared_passages(spark):
     assert shared_passages(frame(spark, {})).count() == 0
 
 
+def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
+    rng, base, texts = random.Random(9), text_of(80, 30).split(), []
+    while len(texts) < 60:
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(len(w))] = text_of(rng.randrange(1 << 30), 1)
+        texts.append(" ".join(w))
+    bands, rows = tune_bands()
+    cache, keys = WordHash(), []
+    for t in texts:
+        keys.append({int(u[0][0]) for u in units(t, cache, bands, rows) if u[1][0] == 0})
+    sets = [set(shingles(t, cache).tolist()) for t in texts]
+    label = list(range(60))
+    for _ in label:
+        for i in range(60):
+            for j in range(60):
+                if keys[i] & keys[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    want = {frozenset(i for i in range(60) if label[i] == c) for c in set(label)}
+    found = spark.createDataFrame([(k, i) for i in range(60) for k in keys[i]], "key long, fp long")
+    packed = spark.createDataFrame([(i, bytearray(shingles(t, cache).tobytes())) for i, t in enumerate(texts)], "fp long, tokens binary")
+    for most in (4, 0):  # all pairs at once; more heads first
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substring_dedup, "OPEN_PAIRS", most)
+            comps = substring_dedup._settled(found, spark.createDataFrame([], "a long, b long"), packed, Scratch(spark, "settled")).collect()
+        got = {}
+        for r in comps:
+            got.setdefault(r.component, set()).add(r.node)
+        assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
+    whole = {r.doc_id: r for r in shared_passages(frame(spark, dict(enumerate(texts)))).collect() if r.n_words == 30}
+    by = {}
+    for d, r in whole.items():
+        by.setdefault(r.cluster, set()).add(d)
+    assert all(any(set(x) <= ds for ds in by.values()) for x in want if len(x) > 1)
+
+
 def test_digests_are_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest()[:4] == "4a99"
