@@ -106,6 +106,24 @@ def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
 
+def _places(shared: DataFrame) -> DataFrame:
+    """Shared units (doc_id, start, end, cluster, lo) to places: those that touch and have one first document lo.
+
+    Has start_word, end_word, clusters, and run_words: the words of the units that touch, whatever their first document.
+    """
+    def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("start", "end")
+        before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+        new = df.withColumn("new", (F.col("start") > before).cast("int"))
+        return new.withColumn(name, F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    run = Window.partitionBy("doc_id", "run")
+    runs = numbered(shared, "run", "doc_id").withColumn("run_words", F.max("end").over(run) - F.min("start").over(run))
+    return numbered(runs, "place", "doc_id", "lo").groupBy("doc_id", "lo", "place").agg(
+        F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.max("run_words").alias("run_words"),
+        F.collect_set("cluster").alias("clusters"))  # units of one document
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The similar ones of the distinct pairs (a, b)."""
     both = pairs.join(sets.withColumnsRenamed({"fp": "a", "tokens": "s"}), "a").join(
@@ -149,11 +167,14 @@ def _settled(buckets: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scr
 
 
 def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
-    """Passages of ``min_words`` words or more that stand in several documents, one row for each place.
+    """Passages that stand in several documents, one row for each place.
 
     Returns ``id_col`` (long), start_word, end_word (places in the text's words, end exclusive),
-    n_words (long), cluster (the least cluster of the units it is made of) and ``first``: whether
-    the document is the one of least id that holds all of its units, whose copy a removal keeps.
+    n_words (long), cluster (the least of the unit clusters that passages with a unit in common
+    reach) and ``first``: whether the document is the one of least id in the cluster, whose copy a
+    removal keeps. It holds all units of the cluster, as touching units whose first documents
+    differ are places of their own. Shared units that touch must have ``min_words`` words together,
+    so such a place can have fewer; the first document's places are given wherever another's are.
     Words are split at ASCII white space and A-Z lower-cased. The ends of a pasted passage may
     be cut by up to a piece, so a passage of 50 words shows with 20 or more.
 
@@ -186,11 +207,12 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "kind", "doc_id", "start", "end", F.coalesce("component", "fp").alias("cluster"))
     ends = named.groupBy("kind", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
     shared = named.join(ends, ["kind", "cluster"])
-    order = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    apart = shared.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(order), F.lit(-1))).cast("int"))
-    island = apart.withColumn("island", F.sum("new").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    out = island.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("cluster").alias("cluster"),
-                                                 F.max(F.col("lo") != F.col("doc_id")).alias("later"))
-    return out.filter(F.col("end_word") - F.col("start_word") >= min_words).select(
+    places = scratch.table(_places(shared), "places")
+    joined = components(places.select(F.array_min("clusters").alias("a"), F.explode("clusters").alias("b")), scratch)
+    out = places.withColumn("cluster", F.array_min("clusters")).join(joined.withColumnRenamed("node", "cluster"), "cluster", "left")
+    out = out.withColumns({"cluster": F.coalesce("component", "cluster"), "first": F.col("doc_id") == F.col("lo")})
+    long = out.filter(F.col("run_words") >= min_words)
+    kept = out.filter(F.col("first") & (F.col("run_words") < min_words)).join(long.select("cluster").distinct(), "cluster", "left_semi")
+    return long.unionByName(kept.select(long.columns)).select(
         F.col("doc_id").alias(id_col), F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"),
-        (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), "cluster", (~F.col("later")).alias("first"))
+        (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), "cluster", "first")

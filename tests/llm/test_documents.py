@@ -278,5 +278,22 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
     assert all(any(set(x) <= ds for ds in by.values()) for x in want if len(x) > 1)
 
 
+def test_touching_passages_keep_a_first_place_each(spark):
+    a, b = text_of(90, 40), text_of(91, 40)
+    rows = [(5, a + "\n" + b), (9, a), (3, b)]
+    got = {(r.doc_id, r.start_word): r for r in shared_passages(frame(spark, rows)).collect()}
+    assert {k: (r.end_word, r.first) for k, r in got.items()} == {(5, 0): (40, True), (9, 0): (40, False), (5, 40): (80, False), (3, 0): (40, True)}
+    assert got[(5, 0)].cluster == got[(9, 0)].cluster != got[(5, 40)].cluster == got[(3, 0)].cluster
+
+
+def test_each_cluster_of_passages_has_one_first_document(spark):
+    rng, parts = random.Random(4), [text_of(400 + i, 30) for i in range(8)]
+    rows = [(i, (" " if i % 2 else "\n").join([text_of(500 + i, 40), *rng.sample(parts, rng.randint(1, 3)), text_of(600 + i, 40)])) for i in range(30)]
+    by = {}
+    for r in shared_passages(frame(spark, rows)).collect():
+        by.setdefault(r.cluster, []).append(r)
+    assert by and all({r.doc_id for r in x if r.first} == {min(r.doc_id for r in x)} for x in by.values())
+
+
 def test_digests_are_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest()[:4] == "4a99"
