@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tabulith.operators.encode import one_hot, scale_stats, standardize
 from tabulith.operators.sample import sample_fraction
 
-#: Rows of the base that one block has, and most rows that the base may have.
-BLOCK, MOST_BASE = 4096, 2_000_000
+#: Rows of the base that one block has.
+BLOCK = 4096
 EPSILON = float(np.finfo(float).eps)
 
 
@@ -29,12 +29,9 @@ def nearest_two(query: DataFrame, base: DataFrame, *, key: str = "row_key", vect
 
     The base is cut into blocks of BLOCK rows by hash; each block meets each chunk of the query
     in a task that returns two numbers for each row, and the least two of all blocks are kept. The
-    work is quadratic, so a base of over MOST_BASE rows is an error: give a sample of the queries
-    and, if need be, of the base. With ``exclude_self`` the base row of the same key is left out.
+    work is queries times base, so on large tables give fewer queries, against the whole base. With ``exclude_self`` the base row of the same key is left out.
     """
     n = base.count()
-    if n > MOST_BASE:
-        raise ValueError(f"the base has {n} rows; at most {MOST_BASE} are compared")
     blocks = max(1, -(-n // BLOCK))
     spark = query.sparkSession
     left = query.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block")))
@@ -42,7 +39,7 @@ def nearest_two(query: DataFrame, base: DataFrame, *, key: str = "row_key", vect
 
     def two(_, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
-            return pd.DataFrame({"key": [], "d": []})
+            return pd.DataFrame({"key": [], "d": []}, dtype=object)
         out = []
         y = np.stack(b["v"]) if len(b) else np.empty((0, len(q["v"].iloc[0])))
         yy, keys = (y * y).sum(1), b["key"].to_numpy()
@@ -72,7 +69,7 @@ def privacy_vectors(real: DataFrame, syn: DataFrame, numeric: list[str], categor
     """Both tables as (key, vector): one-hot over the categories of both, standardized by the real table. Nulls count 0."""
     encoded = []
     union = real.select(*categorical).unionByName(syn.select(*categorical))
-    values = {c: sorted(str(r[0]) for r in union.filter(F.col(c).isNotNull()).select(c).distinct().limit(1000).collect()) for c in categorical}
+    values = {c: sorted(str(r[0]) for r in union.filter(F.col(c).isNotNull()).select(c).distinct().collect()) for c in categorical}
     for df in (real, syn):
         out = df.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric), *categorical)
         for c in categorical:

@@ -98,6 +98,28 @@ def test_privacy_sees_exact_copies(spark):
         privacy.privacy_report(real.limit(2), syn, ["a", "b"], [])
 
 
+def test_nearest_two_has_no_largest_base(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "BLOCK", 8)
+    monkeypatch.setattr(privacy, "MOST_BASE", 10, raising=False)
+    at = lambda i: (i * 37 % 101) / 10
+    df = spark.createDataFrame([(str(i), [at(i), at(3 * i + 1)]) for i in range(40)], "row_key string, vector array<double>")
+    got = {r.row_key: (r.d1, r.d2) for r in privacy.nearest_two(df.filter("row_key % 5 = 0"), df, exclude_self=True).collect()}
+    for k in range(0, 40, 5):
+        d = sorted(((at(k) - at(i)) ** 2 + (at(3 * k + 1) - at(3 * i + 1)) ** 2) ** 0.5 for i in range(40) if i != k)
+        assert got[str(k)] == pytest.approx(tuple(d[:2]))
+    assert len(got) == 8
+
+
+def test_privacy_vectors_keep_every_category(spark, monkeypatch):
+    def names(df, column, values):
+        assert len(values) == 1100
+        return df.drop(column).withColumn("one", F.lit(1.0))
+
+    monkeypatch.setattr(privacy, "one_hot", names)
+    df = spark.range(1100).select(F.col("id").cast("string").alias("row_key"), F.col("id").cast("double").alias("a"), F.col("id").cast("string").alias("c"))
+    privacy.privacy_vectors(df, df, ["a"], ["c"])
+
+
 def test_exactly_one_privacy_target(spark):
     with pytest.raises(ValueError, match="exactly one"):
         privacy.privacy_spent(spark.sql("SELECT 2 AS alpha, 1.0D AS rdp"))
