@@ -35,34 +35,52 @@ def shared_root(spark: SparkSession) -> str:
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm-scratch"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables of one run in the shared folder. Written tables cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.n, self.held, self.names = 0, {}, {}
+
+    def _place(self, name: str) -> str:
+        self.n += 1
+        return f"{self.path}/{self.n:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
-        self.n += 1
-        path = f"{self.path}/{self.n:03d}-{name}"
+        path = self._place(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[path] = out
+        return out
 
     def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
         """Write one row for each ``key``, in ``n`` buckets of it, so that joins on it don't shuffle again."""
-        self.n += 1
-        table = f"llm_{name}_{uuid.uuid4().hex[:12]}"
-        (df.repartition(n, key).dropDuplicates([key]).write.option("path", f"{self.path}/{self.n:03d}-{name}")
+        path, table = self._place(name), f"llm_{name}_{uuid.uuid4().hex[:12]}"
+        (df.repartition(n, key).dropDuplicates([key]).write.option("path", path)
            .bucketBy(n, key).sortBy(key).saveAsTable(table))
-        return self.spark.table(table)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table made by :meth:`table` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names[path] = table
+        self.held[path] = out = self.spark.table(table)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files and catalog entries of tables that nothing reads any more."""
+        for path in [p for p, x in self.held.items() if any(x is t for t in tables)]:
+            if path in self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
+            delete(self.spark, path)
+            del self.held[path]
+
+    def close(self, *keep: DataFrame) -> None:
+        """Drop all tables but those that a result still reads."""
+        self.drop(*(x for x in self.held.values() if not any(x is k for k in keep)))
 
 
 def partitions(spark: SparkSession) -> int:

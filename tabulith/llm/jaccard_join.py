@@ -4,20 +4,22 @@ Tokens are the distinct five-word shingles of a text. They get one global order:
 whose counter in a fixed-size table of counts is low, then by hash. A set of n tokens and one
 similar to it (Jaccard >= 3/4) share t = ceil(3n/4) tokens at least, so the first k of those
 they share are among the first n - t + k of each. Each set is posted under these, its extended
-prefix, with k = 2 + n/16: similar sets share min(k, k') posted tokens or more (two different
-ones always share 3 at least), which rules out most pairs that share a passage only. Rare tokens are followed one by one, frequent ones as
-pairs (:func:`_crossing`). Every candidate is verified on the whole sets.
+prefix, with k = 2 + n/16, and with the place of each token in it.
+
+Rare tokens are indexed one by one and frequent ones as pairs of near neighbours in the prefix
+(:func:`_crossing`). There sets that share a passage only are ruled out by their places: tokens of
+one's own are rarer and come first, so there are too many of them before those shared. Every
+candidate is verified on the whole sets.
 
 Copies don't multiply the work: texts with the same set are one node. First, each posting list
 names its most central node, and each node is compared with the centre it meets most often,
 which joins most edited copies of a text. Of the rest only pairs in different components are
-followed. Two nodes x, y of one centre c share |x n y| <= min(|x n c|, |y n c|) tokens of c at
-most, so where that isn't enough they must share tokens that c lacks, and are found by these:
-see :func:`_strays`. That loses no component.
+followed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from tabulith.llm.components import components
 COUNTERS_LOG2 = 18
 #: A posting list of more nodes than this is that of a frequent token.
 FREQUENT = 64
-#: A frequent token is followed alone where one of its sets has more frequent tokens than this.
-MOST_COMBINED = 8
+#: Frequent tokens are combined with those at most so many places further in a prefix.
+NEAR = 6
 #: Texts whose postings go into one Arrow batch.
 POST_BATCH = 1000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond, by a shuffle.
@@ -85,7 +87,7 @@ def _poster(counts):
         cache, table = WordHash(), counts.value
         low = np.uint64((1 << 32) - 1)
         for texts in (b.column(0).slice(i, POST_BATCH).to_pylist() for b in batches for i in range(0, b.num_rows, POST_BATCH)):
-            toks, fps, sizes, salts, seen = [], [], [], [], set()
+            toks, fps, sizes, places, salts, seen = [], [], [], [], [], set()
             for text in texts:
                 s = shingles(text, cache)
                 if not len(s) or (fp := _fp(s)) in seen:
@@ -98,12 +100,13 @@ def _poster(counts):
                 toks.append(s[first])
                 fps.append(np.full(take, fp, np.int64))
                 sizes.append(np.full(take, len(s), np.int32))
+                places.append(np.arange(take, dtype=np.int32))
                 parts = 1 + c[first] // LIST_SPLIT
                 salts.append(np.where(parts > 1, abs(fp) % parts, -1).astype(np.int32))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(salts)),
-                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))],
-                                                 ["token", "salt", "fp", "n"])
+                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)),
+                                                  pa.array(np.concatenate(places))], ["token", "salt", "fp", "n", "pos"])
 
     return post
 
@@ -133,22 +136,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, tokens of a, tokens of b) to (a, b, both): the tokens that they share."""
-    for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
-
-
-def _lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, tokens of a, tokens of b) to (fp, token): the tokens of a that b lacks."""
-    for batch in batches:
-        for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            own = np.setdiff1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), a)), pa.array(own)], ["fp", "token"])
-
-
 def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, tokens), in buckets of fp: the whole sets of the nodes, made again from the text of one member each."""
     rep = scratch.table(members.filter("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "rep")
@@ -163,50 +150,25 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def _least_shared(n: Column) -> Column:
-    """Posted tokens that a set of n tokens shares with any similar one, which has 3n/4 tokens at least."""
-    return 2 + F.floor(F.ceil(0.75 * n) / 16)
-
-
 def _prune(lists: DataFrame) -> DataFrame:
-    """``lists`` (token, fp, n) without nodes in too few lists to link with any, and lists of one node.
+    """``lists`` (token, fp, n, pos) without nodes in too few lists to link with any, and lists of one node.
 
-    Adds ``central``: the share of a node's tokens that others have. It is highest for a text
-    that others are edited copies of.
+    A node shares 2 + n'/16 posted tokens with any similar one, of n' >= 3n/4 tokens. Adds ``central``: the share of
+    a node's tokens that others have. It is highest for a text that others are edited copies of.
     """
-    enough = lists.groupBy("fp", "n").agg(F.count("*").alias("in_lists")).filter(F.col("in_lists") >= _least_shared(F.col("n")))
-    some = lists.join(enough.select("fp", (F.col("in_lists") / F.col("n")).alias("central")), "fp")
+    listed = lists.groupBy("fp", "n").agg(F.count("*").alias("listed")).filter("listed >= 2 + floor(ceil(0.75 * n) / 16)")
+    some = lists.join(listed.select("fp", (F.col("listed") / F.col("n")).alias("central")), "fp")
     return some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "token", "left_semi")
 
 
-def _mixed(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(token, fp, n, comp) of the lists whose nodes are in different components."""
-    if comps is None:
-        return lists.withColumn("comp", F.col("fp"))
+def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, fp, n, pos, comp) of the lists whose nodes are in different components."""
     labelled = lists.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "token", "fp", "n", "central", F.coalesce("component", "fp").alias("comp"))
+        "token", "fp", "n", "pos", F.coalesce("component", "fp").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
     return labelled.join(mixed, "token", "left_semi")
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, tokens) to (fp, n, token)."""
-    for batch in batches:
-        for fp, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = np.frombuffer(tokens.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), fp)), pa.array(np.full(len(t), len(t), np.int32)), pa.array(t)],
-                                             ["fp", "n", "token"])
-
-
-def _supported(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """``lists`` without the nodes of which under 3/4 of the whole set is in other nodes: they link with none."""
-    tokens = sets.join(lists.select("fp").distinct(), "fp", "left_semi").mapInArrow(_unpack, "fp long, n int, token long")
-    order = Window.partitionBy("token").orderBy("fp")
-    shared = tokens.withColumn("twin", F.coalesce(F.lag("fp").over(order), F.lead("fp").over(order)).isNotNull())
-    enough = shared.filter("twin").groupBy("fp", "n").agg(F.count("*").alias("c")).filter("4 * c >= 3L * n").select("fp")
-    return lists.join(enough, "fp", "left_semi")
-
-
 def _tries(lists: DataFrame) -> DataFrame:
     """(a, b): each node with the central node that it meets in most of its lists."""
     rank = F.struct(-F.col("central"), F.xxhash64("fp"))
@@ -216,59 +178,84 @@ def _tries(lists: DataFrame) -> DataFrame:
     return shared.groupBy("fp").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")).withColumnRenamed("fp", "a")
 
 
-#: Two nodes a, b of one centre can be similar by the centre's tokens alone.
-BY_CENTRE = "7L * least(o, o_b) >= 3L * (n + n_b)"
+def _largest(apart: Column, pos: Column) -> Column:
+    """Tokens of the largest set that may link with one of n tokens through its token at ``pos``, before which ``apart`` aren't shared.
+
+    Of sets of n and n' tokens that link, o = 3(n + n')/7 are shared at least, so that a set has n - o others at most.
+    The r-th shared token is among its first n - o + r; r is up to 2 + n/16 (see _crossing).
+    """
+    n = F.col("n").cast("long")
+    return F.floor(7 * (n - F.greatest(apart, pos - 1 - F.floor(n / 16))) / 3) - n
 
 
-def _strays(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of one centre that must share tokens the centre lacks, and share enough of them.
+def _met(both: DataFrame) -> DataFrame:
+    """Rows of two nodes (fp, n, rare; fp_b, n_b, rare_b) to a, n_a and b, n_b, the least first.
 
-    ``rows`` has fp, comp, n, centre and o, the tokens shared with the centre. Similar sets share
-    3/7 of the sum of their sizes; at most min(o, o_b) of these are the centre's.
+    Adds seen, their rows, and the greatest rare_a and rare_b of them.
     """
-    own = _with_sets(rows.filter("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")), sets).mapInArrow(_lacking, "fp long, token long")
-    own = own.join(rows, "fp")
-    other = own.select("centre", "token", *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "o")))
-    met = own.join(other, ["centre", "token"]).filter(f"fp < fp_b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n AND NOT {BY_CENTRE}")
-    return met.groupBy(F.col("fp").alias("a"), F.col("fp_b").alias("b"), (3 * (F.col("n") + F.col("n_b")) - 7 * F.least("o", "o_b")).alias("need")).agg(
-        F.count("*").alias("shared")).filter("7 * shared >= need").select("a", "b")
+    first = F.col("fp") < F.col("fp_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    both = both.select(pick("fp", "fp_b").alias("a"), pick("n", "n_b").alias("n_a"), pick("rare", "rare_b").alias("rare_a"),
+                       pick("fp_b", "fp").alias("b"), pick("n_b", "n").alias("n_b"), pick("rare_b", "rare").alias("rare_b"))
+    return both.groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("seen"), F.max("rare_a").alias("rare_a"), F.max("rare_b").alias("rare_b"))
+
 
+def _in_lists(rows: DataFrame) -> DataFrame:
+    """Pairs of one list, of (token, fp, comp, n, rare, most). One of the two at least may link with a set as large as itself."""
+    other = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "rare", "most")))
+    return _met(rows.filter("most >= n").join(other, "token").filter(
+        "comp != comp_b AND (fp < fp_b OR most_b < n_b) AND n_b <= most AND n <= most_b"))
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(token, fp, comp, n, centre, o) to (a, b, n, shared): pairs that sizes, components and centres leave open."""
-    other = rows.select("token", F.col("fp").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("comp", "n", "centre", "o")))
-    both = rows.withColumnRenamed("fp", "a").join(other, "token").filter(
-        f"a < b AND comp != comp_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n AND (centre != centre_b OR {BY_CENTRE})")
-    return both.groupBy("a", "b").agg(F.min(F.least("n", "n_b")).alias("n"), F.count("*").alias("shared"))
+
+def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """As _in_lists, for lists of any length: a set asks for smaller ones, by classes of size that grow by a tenth.
+
+    The component with most nodes in a list doesn't ask for its own. So a large group of linked
+    copies meets only nodes that are not in it, and copies that have too many tokens
+    of their own meet none of its size.
+    """
+    rows = scratch.table(rows, "combos")
+    top = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("token", "top")
+    rows = rows.join(top, "token")
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
+    least = F.ceil(0.75 * F.col("n"))
+    ask = rows.withColumn("upto", F.least("n", "most")).filter(F.col("upto") >= least).select(
+        "*", F.explode(F.sequence(size(least), size(F.col("upto")))).alias("size")).select(
+        "*", F.explode(F.when(F.col("comp") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_top"))
+    held = rows.filter("most >= n").select("token", size(F.col("n")).alias("size"), (F.col("comp") == F.col("top")).alias("in_top"),
+                                           *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "rare", "most")))
+    return _met(ask.join(held, ["token", "size", "in_top"]).filter(
+        "comp != comp_b AND n_b <= upto AND n <= most_b AND (n_b < n OR fp < fp_b)"))
 
 
 def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of nodes in different components, from (token, fp, comp, n, centre, o).
-
-    Lists of up to FREQUENT nodes are followed as they are. The tokens of longer ones are
-    paired: a pair of sets that meets in c combinations shares f of these tokens with
-    f(f - 1)/2 = c, and one that meets in none shares one at most, which is too few. Where a set has so many
-    frequent tokens that combinations would cost more than the lists, its tokens are followed
-    alone like rare ones; each token is of one class for all sets. A candidate shares
-    2 + n/16 posted tokens at least, n the smaller size.
+    """Candidate pairs (a, b) of nodes in different components, from (token, fp, comp, n, pos).
+
+    Two similar sets of n and n' tokens, n the smaller, share o = 3(n + n')/7 at least, so n - o at most of a set are
+    not shared. Both post the first k = 2 + n/16 shared ones. A token posted before one of
+    these is shared only if both post it, so there are n - o at most that are in no other list. If
+
+    - one of the k is rare, the pair is in its list. Before the last such one, all rare tokens are shared but n - o.
+    - all k are frequent, n - o tokens at most before the k-th are rare, and (n + n')/7 are not shared, in both sets.
+      So of the k - 1 pairs of neighbours among the k, (n + n')/(7 NEAR) at most are more than NEAR places
+      apart in either set; the others are combinations.
     """
-    size = lists.groupBy("token").agg(F.count("*").alias("size"))
-    sized = scratch.table(lists.join(size, "token"), "sized")
-    often = sized.filter(F.col("size") > FREQUENT)
-    wide = (often.join(often.groupBy("fp").agg(F.count("*").alias("f")).filter(F.col("f") > MOST_COMBINED), "fp", "left_semi")
-            .select("token").distinct())
-    alone = sized.filter(F.col("size") <= FREQUENT).unionByName(often.join(wide, "token", "left_semi"))
-    paired = often.join(wide, "token", "left_anti")
-    combos = (paired.groupBy("fp", "comp", "n", "centre", "o").agg(F.array_sort(F.collect_list("token")).alias("t"))  # MOST_COMBINED at most
-              .select("fp", "comp", "n", "centre", "o", F.posexplode("t").alias("i", "one"), "t")
-              .select("fp", "comp", "n", "centre", "o", "one", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("two"))
-              .select(F.xxhash64("one", "two").alias("token"), "fp", "comp", "n", "centre", "o"))
-    rare = _pairs(alone.drop("size")).select("a", "b", "n", "shared", F.lit(0).cast("long").alias("combined"))
-    frequent = _pairs(combos).select("a", "b", "n", F.lit(0).cast("long").alias("shared"), F.col("shared").alias("combined"))
-    met = rare.unionByName(frequent).groupBy("a", "b").agg(
-        F.min("n").alias("n"), F.sum("shared").alias("shared"), F.sum("combined").alias("combined"))
-    together = F.when(F.col("combined") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("combined"))) / 2)).otherwise(1)
-    return met.filter(F.col("shared") + together >= 2 + F.floor(F.col("n") / 16)).select("a", "b")
+    before = Window.partitionBy("fp").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # posted tokens of one text
+    sized = lists.join(lists.groupBy("token").agg(F.count("*").alias("size")), "token").withColumn("often", F.col("size") > FREQUENT)
+    sized = scratch.table(sized.withColumns({
+        "own": F.col("pos") - F.count("*").over(before), "rare": F.col("pos") - F.count_if("often").over(before)}), "sized")
+    open_ = 4 * F.col("most") >= 3 * F.col("n")
+    few = _in_lists(sized.filter("NOT often").withColumn("most", _largest(F.col("own"), F.col("pos"))).filter(open_).drop("pos", "own", "size", "often"))
+    few = few.filter(" AND ".join(f"7L * (n_{z} - rare_{z} + seen - 1) >= 3L * (n_a + n_b)" for z in "ab"))
+    some = sized.filter("often").groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "rare"))).alias("t"))  # of one text
+    near = lambda x, i: F.filter(F.slice("t", i + 2, F.lit(NEAR)), lambda y: y["pos"] - x["pos"] <= NEAR)
+    combined = F.flatten(F.transform("t", lambda x, i: F.transform(near(x, i), lambda y: F.struct(
+        F.xxhash64(x["token"], y["token"]).alias("token"), y["pos"].alias("pos"), y["rare"].alias("rare")))))
+    combos = some.select("fp", "comp", "n", F.explode(combined).alias("c")).select("c.token", "fp", "comp", "n", "c.rare", "c.pos")
+    combos = combos.withColumn("most", _largest(F.col("rare"), F.col("pos"))).filter(open_).drop("pos")
+    many = _in_crowds(combos, scratch).filter(f"seen >= 1 + div(least(n_a, n_b), 16) - div(n_a + n_b, {7 * NEAR})")
+    return few.unionByName(many).select("a", "b").distinct()
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,32 +281,27 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1))
 
     # Posting lists with two nodes at least; lists of very frequent tokens are split by salt.
-    posted = docs.select("text").mapInArrow(_poster(table), "token long, salt int, fp long, n int")
+    posted = docs.select("text").mapInArrow(_poster(table), "token long, salt int, fp long, n int, pos int")
     order = Window.partitionBy("token", "salt").orderBy("fp")
     once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
     ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("after", F.lead("fp").over(order)))
-    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "n"), "found")
+    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "n", "pos"), "found")
     lists = scratch.table(_prune(found), "lists")
+    scratch.drop(found)
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
 
-    tried = scratch.table(_with_sets(scratch.table(_tries(lists), "tries"), sets).mapInArrow(_overlaps, "a long, b long, both long"), "tried")
-    size = lists.select("fp", "n").distinct()
-    tried = tried.join(size.withColumnsRenamed({"fp": "a"}), "a").join(size.select(F.col("fp").alias("b"), F.col("n").alias("n_b")), "b")
-    links = scratch.table(tried.filter("7L * both >= 3L * (n + n_b)").select("a", "b"), "links")
+    tries = scratch.table(_tries(lists), "tries")
+    links = scratch.table(_with_sets(tries, sets).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links, scratch)
-
-    # What is left: lists of several components, and of these the nodes that could link at all.
-    lists = scratch.table(_supported(_mixed(lists, comps), sets).drop("comp"), "supported")
-    centres = tried.select(F.col("a").alias("fp"), F.col("b").alias("centre"), F.col("both").alias("o"))
-    mixed = _mixed(lists, comps).drop("central").join(centres, "fp", "left")
-    mixed = scratch.table(mixed.withColumns({"centre": F.coalesce("centre", "fp"), "o": F.coalesce("o", "n")}), "mixed")
-    pairs = _crossing(mixed, scratch).unionByName(_strays(mixed.drop("token").distinct(), sets)).distinct()
-    more = scratch.table(_with_sets(scratch.table(pairs, "pairs"), sets).mapInArrow(_linked, "a long, b long"), "links")
+    pairs = scratch.table(_crossing(scratch.table(_mixed(lists, comps), "mixed"), scratch), "pairs")
+    more = scratch.table(_with_sets(pairs, sets).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links.unionByName(more), scratch)
 
     named = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     named = scratch.table(named.withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "fp"))), "named")
+    scratch.close(named)
+    table.destroy()
     least = named.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.filter(F.col("group").isNotNull()).join(least, "group").select("doc_id", "n", F.col("least").alias("component_id"))
     alone = named.filter(F.col("group").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))

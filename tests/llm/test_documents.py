@@ -60,6 +60,21 @@ def brute_groups(rows):
     return sorted(out, key=str)
 
 
+def brute_groups_fast(rows):
+    """As brute_groups, for rows with ids of their own, by a search from each row."""
+    sets = [{tuple(w[i:i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} for w in (words(t) for _, t in rows)]
+    near = [[j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b)] if a else [i] for i, a in enumerate(sets)]
+    label = [None] * len(rows)
+    for i in range(len(rows)):
+        todo = [i] if label[i] is None else []
+        while todo:
+            k = todo.pop()
+            if label[k] is None:
+                label[k] = rows[i][0]
+                todo += near[k]
+    return sorted([(d, len(sets[i]), label[i]) for i, (d, _) in enumerate(rows)], key=str)
+
+
 def test_jaccard_groups_of_awkward_rows(spark):
     got = [tuple(r) for r in jaccard_groups(frame(spark, AWKWARD)).collect()]
     assert sorted(got, key=str) == brute_groups(AWKWARD)
@@ -86,6 +101,29 @@ def test_jaccard_groups_of_short_texts_that_share_one_frequent_passage(spark):
     assert got == brute_groups(rows) and sum(c == 0 for _, _, c in got) == 101
 
 
+def test_jaccard_groups_of_a_text_in_many_others_and_its_windows(spark):
+    common, w = text_of(71, 10), text_of(71, 10).split()
+    rows = [(0, common), *((1 + i, f"{text_of(2000 + i, 2)} {common}") for i in range(100)), *((200 + i, " ".join(w[i:i + 5])) for i in range(6))]
+    got = sorted((tuple(r) for r in jaccard_groups(frame(spark, rows)).collect()), key=str)
+    assert got == brute_groups(rows) and len({c for *_, c in got}) == 7
+
+
+def test_jaccard_groups_of_small_sets_with_long_lists(spark):
+    rng, rows = random.Random(12), []
+    parts = [text_of(900 + i, rng.choice((7, 12, 20, 45))) for i in range(4)]
+    for i in range(420):
+        w = parts[i % 4].split()
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.randint(0, 1)] = [rng.choice(("alpha", "beta", "gamma", text_of(rng.randrange(9000), 1)))] * rng.randint(0, 1)
+        rows.append((i, " ".join(w)))
+    from tabulith.llm import jaccard_join
+    for often in (64, 4):  # lists beyond this are combined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(jaccard_join, "FREQUENT", often)
+            assert sorted((tuple(r) for r in jaccard_groups(frame(spark, rows)).collect()), key=str) == brute_groups_fast(rows)
+
+
 def test_jaccard_groups_of_nothing(spark):
     assert jaccard_groups(frame(spark, {})).count() == 0
 
