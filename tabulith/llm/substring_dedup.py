@@ -3,10 +3,11 @@
 Paragraphs are found by MinHash banding over their five-word shingles: the bands are tuned for
 recall, colliding paragraphs are compared by exact Jaccard similarity, and the similar ones are
 clustered by connected components: first each with one head of its bucket, then, as long as that
-pays, with other heads, and last all those of one bucket that are in different components. A passage can also be
-pasted into the middle of a paragraph; so the words of a text are cut as well where a word's hash
-is the least around it, which cuts a passage alike wherever it stands, and equal pieces
-collide in one band of their own. Touching units of a document that are shared make a passage.
+pays, with other heads, and last all those of one bucket that are in different components and
+whose bitmaps let them be similar. A passage can also be pasted into the middle of a paragraph; so
+the words of a text are cut as well where a word's hash is the least around it, which cuts a
+passage alike wherever it stands, and equal pieces collide in one band of their own. Touching
+units of a document that are shared make a passage.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import _MULT, Scratch, WordHash, mix, shingles
+from tabulith.llm.common import _MULT, Scratch, WordHash, mix
 from tabulith.llm.components import components
 from tabulith.llm.jaccard_join import _linked
 
@@ -26,11 +27,11 @@ from tabulith.llm.jaccard_join import _linked
 MIN_PARAGRAPH, MIN_PASSAGE = 20, 20
 #: Words on each side among which a cut has the least hash.
 AROUND = 5
-#: Units whose texts are picked by a broadcast of their places; beyond, by a shuffle.
-BROADCAST_UNITS = 100_000
+#: Words of 64 bits in the bitmap of a paragraph's shingles.
+BITMAP = 4
 #: Open pairs for each place in a bucket beyond which another head is tried before all pairs are compared.
 OPEN_PAIRS = 4
-UNIT = "key long, kind int, doc_id long, start int, end int, fp long"
+UNIT = "key long, piece boolean, doc_id long, start int, end int, fp long"
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -42,8 +43,16 @@ def tune_bands(similarity: float = 0.75, recall: float = 0.98, most: int = 64) -
     return b, r
 
 
-def units(text: str | None, cache: WordHash, bands: int, rows: int) -> list[tuple[np.ndarray, ...]]:
-    """(key, kind, start, end, fp) columns of a text's paragraphs (kind 0, one row a band) and pieces (kind 1)."""
+def _shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles at each place of the words of hashes ``h``, five at least."""
+    s = np.full(len(h) - 4, 5, np.uint64)
+    for i in range(5):
+        s += h[i:len(h) - 4 + i] * _MULT[i]
+    return mix(s)
+
+
+def units(text: str | None, cache: WordHash, bands: int, rows: int, min_paragraph: int = MIN_PARAGRAPH) -> list[tuple[np.ndarray, ...]]:
+    """(key, piece, start, end, fp) columns of a text's paragraphs (one row a band) and pieces."""
     if not text:
         return []
     lines = [line.split() for line in text.encode().lower().split(b"\n")]
@@ -53,12 +62,9 @@ def units(text: str | None, cache: WordHash, bands: int, rows: int) -> list[tupl
         return []
     h = np.fromiter((cache[w] for line in lines for w in line), np.uint64, n)
     first = np.cumsum(size) - size
-    q = np.flatnonzero(size >= MIN_PARAGRAPH)
+    q = np.flatnonzero(size >= max(5, min_paragraph))
     if len(q):
-        s = np.full(n - 4, 5, np.uint64)
-        for i in range(5):
-            s += h[i:n - 4 + i] * _MULT[i]
-        s = mix(s)
+        s = _shingle_hashes(h)
         count = size[q] - 4
         begin = np.cumsum(count) - count
         s = s[np.repeat(first[q] - begin, count) + np.arange(count.sum())]
@@ -67,7 +73,7 @@ def units(text: str | None, cache: WordHash, bands: int, rows: int) -> list[tupl
             key = np.full(len(q), b + 1, np.uint64)
             for r in range(rows):
                 key = key * _MULT[0] + np.minimum.reduceat(mix(s ^ _POWERS[b * rows + r]), begin)
-            out.append((mix(key).view(np.int64), np.zeros(len(q), np.int32), first[q], first[q] + size[q], fp))
+            out.append((mix(key).view(np.int64), np.zeros(len(q), bool), first[q], first[q] + size[q], fp))
     v = mix(h)
     low = np.ones(n, bool)
     for d in range(1, AROUND + 1):
@@ -78,32 +84,49 @@ def units(text: str | None, cache: WordHash, bands: int, rows: int) -> list[tupl
     if len(cut) > 1:
         place = np.arange(cut[0], cut[-1]) - np.repeat(cut[:-1], np.diff(cut))
         fp = mix(np.add.reduceat(h[cut[0]:cut[-1]] * _POWERS[place % 4096], cut[:-1] - cut[0]) + np.diff(cut).astype(np.uint64)).view(np.int64)
-        out.append((fp, np.ones(len(fp), np.int32), cut[:-1], cut[1:], fp))
+        out.append((fp, np.ones(len(fp), bool), cut[:-1], cut[1:], fp))
     return out
 
 
-def _unit_rows(bands: int, rows: int):
+def _unit_rows(bands: int, rows: int, min_paragraph: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             got = [(d, u) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                   for u in units(t, cache, bands, rows)]
+                   for u in units(t, cache, bands, rows, min_paragraph)]
             if got:
-                key, kind, start, end, fp = (np.concatenate([u[i] for _, u in got]) for i in range(5))
+                key, piece, start, end, fp = (np.concatenate([u[i] for _, u in got]) for i in range(5))
                 doc = pa.array([d for d, _ in got], pa.int64()).take(pa.array(np.repeat(np.arange(len(got)), [len(u[0]) for _, u in got])))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), doc, pa.array(start.astype(np.int32)),
-                                                  pa.array(end.astype(np.int32)), pa.array(fp)], ["key", "kind", "doc_id", "start", "end", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(piece), doc, pa.array(start.astype(np.int32)),
+                                                  pa.array(end.astype(np.int32)), pa.array(fp)], ["key", "piece", "doc_id", "start", "end", "fp"])
 
     return run
 
 
+SETS = "fp long, tokens binary, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
+
+
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, start, end, text) to (fp, tokens): the shingles of the words from start to end."""
+    """(units, text), units of fp, start and end, to SETS: the shingles of the words from start to end, and their bitmap."""
     cache = WordHash()
-    for batch in batches:
-        sets = [shingles(b" ".join(t.encode().split()[s:e]).decode(), cache).tobytes()
-                for _, s, e, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "tokens"])
+    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        fps, sets, bits = [], [], []
+        for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = text.encode().lower().split() if text else []
+            for u in own:
+                part = w[u["start"]:u["end"]]
+                s = _shingle_hashes(np.fromiter((cache[x] for x in part), np.uint64, len(part))) if len(part) > 4 else np.zeros(1, np.uint64)
+                if int(mix(np.add.reduce(s, keepdims=True)).view(np.int64)[0]) != u["fp"]:
+                    continue  # another text of this id
+                s = np.unique(s)
+                map_ = np.zeros(64 * BITMAP, np.uint8)
+                map_[s % np.uint64(64 * BITMAP)] = 1
+                fps.append(u["fp"])
+                sets.append(s.tobytes())
+                bits.append(np.packbits(map_).view(np.int64))
+        bits = np.array(bits, np.int64).reshape(-1, BITMAP)
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(BITMAP))],
+                                         ["fp", "tokens", *(f"bits{i}" for i in range(BITMAP))])
 
 
 def _places(shared: DataFrame) -> DataFrame:
@@ -126,47 +149,56 @@ def _places(shared: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The similar ones of the distinct pairs (a, b)."""
-    both = pairs.join(sets.withColumnsRenamed({"fp": "a", "tokens": "s"}), "a").join(
-        sets.withColumnsRenamed({"fp": "b", "tokens": "t"}), "b").select("a", "b", "s", "t")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("s")), "a").join(
+        sets.select(F.col("fp").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
     return scratch.table(both.mapInArrow(_linked, "a long, b long"), "links")
 
 
-def _settled(buckets: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) as if in each bucket (key, fp) every two paragraphs were compared; ``links`` are the pairs known.
+#: Two sets of n and n' tokens with 7/4 similarity differ in (n + n')/7 tokens at most, and so do their bitmaps.
+ALIKE = "7 * (" + " + ".join(f"bit_count(bits{i} ^ bits{i}_b)" for i in range(BITMAP)) + ") <= n + n_b"
+FITS = f"comp != comp_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n AND {ALIKE}"
+
 
-    Buckets of one component are done. While the rest has many pairs across components, each of
-    its buckets is compared with one more head, as long as that takes away a quarter of them.
-    What is left is then compared in full but for pairs whose sizes rule a link out.
+def _settled(buckets: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) as if in each bucket (key, fp, copies) every two paragraphs were compared.
+
+    Each is compared with one head of its bucket, at first the one of most copies. Buckets of one
+    component are done. While the rest has many pairs across components, its buckets are
+    compared with one more head, as long as that takes away a quarter of them. What is left is
+    then compared but for pairs whose sizes and bitmaps rule a link out, which leaves few.
     """
-    sizes = sets.select(F.col("fp"), (F.octet_length("tokens") / 8).cast("long").alias("n"))
-    buckets = scratch.table(buckets.join(sizes, "fp"), "buckets")
-    before, turn = None, 0
+    bits = [f"bits{i}" for i in range(BITMAP)]
+    buckets = scratch.table(buckets.join(sets.select("fp", (F.octet_length("tokens") / 8).cast("long").alias("n"), *bits), "fp"), "buckets")
+    comps, links, before, turn = None, None, None, 0
     while True:
-        comps = components(links, scratch)
-        named = buckets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("comp"))
+        named = buckets.withColumn("comp", F.col("fp")) if comps is None else buckets.join(
+            comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
         left = scratch.table(named.join(mixed, "key", "left_semi"), "open")
         per = left.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(
             ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("places"))
         pairs, places = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("places"), F.lit(0.0))).first()
-        if not pairs:
+        if not pairs and comps is not None:
             return comps
-        fits = "comp != comp_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n"
         last = pairs <= OPEN_PAIRS * places or (before is not None and pairs > 0.75 * before)
-        other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("fp", "n", "comp")))
+        other = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("fp", "n", "comp", *bits)))
         if not last:
             turn += 1
-            pick = F.struct(F.xxhash64("fp_b", F.lit(turn)), "fp_b")
-            other = other.groupBy("key").agg(F.min_by(F.struct("fp_b", "n_b", "comp_b"), pick).alias("h")).select("key", "h.*")
-        met = left.join(other, "key").filter(f"{fits} AND fp < fp_b" if last else fits)
-        met = met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
-        links = links.unionByName(_verified(met, sets, scratch))
+            pick = F.struct(*([-F.col("copies")] if turn == 1 else []), F.xxhash64("fp", F.lit(turn)))
+            other = left.groupBy("key").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_b") for c in ("fp", "n", "comp", *bits))), pick).alias("h")).select("key", "h.*")
+        met = left.join(other, "key").filter(f"{FITS} AND fp < fp_b" if last else FITS)
+        met = scratch.table(met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct(), "met")
+        found = _verified(met, sets, scratch)
+        links = found if links is None else links.unionByName(found)
+        comps = components(links, scratch)
+        scratch.drop(left, met)
         if last:
-            return components(links, scratch)
+            return comps
         before = pairs
 
 
-def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
+def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE,
+                    min_paragraph: int = MIN_PARAGRAPH) -> DataFrame:
     """Passages that stand in several documents, one row for each place.
 
     Returns ``id_col`` (long), start_word, end_word (places in the text's words, end exclusive),
@@ -176,7 +208,8 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     differ are places of their own. Shared units that touch must have ``min_words`` words together,
     so such a place can have fewer; the first document's places are given wherever another's are.
     Words are split at ASCII white space and A-Z lower-cased. The ends of a pasted passage may
-    be cut by up to a piece, so a passage of 50 words shows with 20 or more.
+    be cut by up to a piece, so a passage of 50 words shows with 20 or more. Paragraphs of under
+    ``min_paragraph`` words (5 at least) aren't banded; their words are still in pieces.
 
     Null, empty and short texts give no rows. Rows with one id are one document, so repeats
     within it don't count; null ids are left out. Empty tables give an empty result; other columns
@@ -185,34 +218,33 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "passages")
     bands, rows = tune_bands()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    found = docs.mapInArrow(_unit_rows(bands, rows), UNIT)
-    place = F.struct("doc_id", "start", "end", "fp")
-    heads = found.groupBy("key", "kind").agg(
-        F.min(place).alias("head"), F.max("doc_id").alias("last"), (F.min("fp") != F.max("fp")).alias("differ"))
-    heads = heads.filter(F.col("head.doc_id") != F.col("last")).drop("last")
-    met = scratch.table(found.join(heads, ["key", "kind"]).select(
-        F.when(F.expr("kind = 0 AND differ"), F.col("key")).alias("bucket"), "kind", "doc_id", "start", "end", "fp", "head"), "met")
-
-    # Paragraphs that only collide: exact similarity, first to the first of the band.
-    pairs = met.filter("kind = 0 AND fp != head.fp").select("fp", F.col("head.fp").alias("to"), place.alias("x"), F.col("head").alias("y"))
-    pairs = scratch.table(pairs.groupBy(F.col("fp").alias("a"), F.col("to").alias("b")).agg(F.min("x").alias("x"), F.min("y").alias("y")), "pairs")
-    need = scratch.table(pairs.select(F.col("x.*")).union(pairs.select(F.col("y.*"))).groupBy("fp").agg(F.min(place).alias("p")).select("p.*"), "need")
-    need = F.broadcast(need) if need.count() <= BROADCAST_UNITS else need
-    sets = scratch.table(docs.join(need, "doc_id").select("fp", "start", "end", "text").mapInArrow(_unit_sets, "fp long, tokens binary").dropDuplicates(["fp"]), "sets")
-    links = _verified(pairs.select("a", "b"), sets, scratch)
-    comps = _settled(met.filter("bucket IS NOT NULL").select(F.col("bucket").alias("key"), "fp").distinct(), links, sets, scratch)
+    found = scratch.table(docs.mapInArrow(_unit_rows(bands, rows, min_paragraph), UNIT), "units")
+    shared = found.groupBy("key", "piece").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("key", "piece")
+    met = scratch.table(found.join(shared, ["key", "piece"], "left_semi"), "met")
+    scratch.drop(found)
+
+    # Paragraphs that collide and are not equal: their buckets, and their sets from one place of each.
+    whole = met.filter("NOT piece")
+    mixed = whole.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least != most").select("key")
+    buckets = scratch.table(whole.join(mixed, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")), "buckets")
+    need = whole.join(buckets.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
+    need = need.select("p.doc_id", F.struct("fp", "p.start", "p.end").alias("u")).groupBy("doc_id").agg(F.collect_list("u").alias("units"))  # of one document
+    sets = scratch.table(docs.join(need, "doc_id").select("units", "text").mapInArrow(_unit_sets, SETS).dropDuplicates(["fp"]), "sets")
+    comps = _settled(buckets, sets, scratch)
 
     # Units whose cluster is in two documents at least, and the passages that they make.
-    named = met.select("kind", "doc_id", "start", "end", "fp").distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "kind", "doc_id", "start", "end", F.coalesce("component", "fp").alias("cluster"))
-    ends = named.groupBy("kind", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
-    shared = named.join(ends, ["kind", "cluster"])
-    places = scratch.table(_places(shared), "places")
+    named = met.select("piece", "doc_id", "start", "end", "fp").distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "piece", "doc_id", "start", "end", F.coalesce("component", "fp").alias("cluster"))
+    named = scratch.table(named, "named")
+    ends = named.groupBy("piece", "cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
+    places = scratch.table(_places(named.join(ends, ["piece", "cluster"])), "places")
     joined = components(places.select(F.array_min("clusters").alias("a"), F.explode("clusters").alias("b")), scratch)
     out = places.withColumn("cluster", F.array_min("clusters")).join(joined.withColumnRenamed("node", "cluster"), "cluster", "left")
     out = out.withColumns({"cluster": F.coalesce("component", "cluster"), "first": F.col("doc_id") == F.col("lo")})
     long = out.filter(F.col("run_words") >= min_words)
     kept = out.filter(F.col("first") & (F.col("run_words") < min_words)).join(long.select("cluster").distinct(), "cluster", "left_semi")
-    return long.unionByName(kept.select(long.columns)).select(
+    out = scratch.table(long.unionByName(kept.select(long.columns)), "passages")
+    scratch.close(out)
+    return out.select(
         F.col("doc_id").alias(id_col), F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"),
         (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), "cluster", "first")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,7 +291,7 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
     bands, rows = tune_bands()
     cache, keys = WordHash(), []
     for t in texts:
-        keys.append({int(u[0][0]) for u in units(t, cache, bands, rows) if u[1][0] == 0})
+        keys.append({int(u[0][0]) for u in units(t, cache, bands, rows) if not u[1][0]})
     sets = [set(shingles(t, cache).tolist()) for t in texts]
     label = list(range(60))
     for _ in label:
@@ -299,12 +300,18 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
                 if keys[i] & keys[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
     want = {frozenset(i for i in range(60) if label[i] == c) for c in set(label)}
-    found = spark.createDataFrame([(k, i) for i in range(60) for k in keys[i]], "key long, fp long")
-    packed = spark.createDataFrame([(i, bytearray(shingles(t, cache).tobytes())) for i, t in enumerate(texts)], "fp long, tokens binary")
+    found = spark.createDataFrame([(k, i, 1) for i in range(60) for k in keys[i]], "key long, fp long, copies long")
+    maps = []
+    for x in sets:
+        bits = [0] * 256
+        for k in x:
+            bits[k % 256] = 1
+        maps.append(np.packbits(np.array(bits, np.uint8)).view(np.int64).tolist())
+    packed = spark.createDataFrame([(i, bytearray(shingles(t, cache).tobytes()), *maps[i]) for i, t in enumerate(texts)], substring_dedup.SETS)
     for most in (4, 0):  # all pairs at once; more heads first
         with pytest.MonkeyPatch.context() as m:
             m.setattr(substring_dedup, "OPEN_PAIRS", most)
-            comps = substring_dedup._settled(found, spark.createDataFrame([], "a long, b long"), packed, Scratch(spark, "settled")).collect()
+            comps = substring_dedup._settled(found, packed, Scratch(spark, "settled")).collect()
         got = {}
         for r in comps:
             got.setdefault(r.component, set()).add(r.node)
@@ -316,6 +323,36 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
     assert all(any(set(x) <= ds for ds in by.values()) for x in want if len(x) > 1)
 
 
+def test_most_similar_paragraphs_are_found(spark):
+    """Pairs of similar paragraphs against brute force; the bands are tuned to a recall of 0.98 at 0.75."""
+    rng, texts = random.Random(21), []
+    for family in range(12):
+        base = text_of(700 + family, rng.choice((24, 40, 90))).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = text_of(rng.randrange(1 << 30), 1)
+            texts.append(" ".join(w))
+    cache = WordHash()
+    sets = [set(shingles(t, cache).tolist()) for t in texts]
+    where = {}
+    for r in shared_passages(frame(spark, dict(enumerate(texts)))).collect():
+        where.setdefault(r.doc_id, set()).add(r.cluster)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    found = sum(bool(where.get(i, set()) & where.get(j, set())) for i, j in pairs)
+    assert len(pairs) > 100 and found >= 0.95 * len(pairs)
+    assert shared_passages(frame(spark, dict(enumerate(texts))), min_paragraph=200).count() > 0  # equal pieces alone
+
+
+def test_shared_passages_of_one_id_with_two_texts_and_long_texts(spark):
+    long = text_of(30, 20000)
+    rows = [(1, long), (2, text_of(31, 300) + "\n" + long), (3, text_of(32, 40)), (3, text_of(33, 40)), (4, text_of(32, 40)), (4, text_of(32, 40)), (5, None)]
+    got = {r.doc_id for r in shared_passages(frame(spark, rows)).collect()}
+    assert got == {1, 2, 3, 4}
+    extra = frame(spark, rows).withColumns({"cluster": F.lit(1), "first": F.lit(1), "key": F.lit(1), "piece": F.lit(1)})
+    assert {r.doc_id for r in shared_passages(extra).collect()} == got
+
+
 def test_touching_passages_keep_a_first_place_each(spark):
     a, b = text_of(90, 40), text_of(91, 40)
     rows = [(5, a + "\n" + b), (9, a), (3, b)]
