@@ -7,12 +7,16 @@ target marginals. The product of a cell's factors is the rate at which its docum
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.common import Scratch, words
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds of raking at most, and the relative change of the factors that ends them.
+ROUNDS, TOLERANCE = 12, 1e-4
 #: Cells that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -37,30 +41,34 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(total)).select(F.col(dim).alias("value"), (F.col("share") / F.col("_all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int) -> DataFrame:
-    """``cells`` (dimensions and tokens) with ``rate``, the product of the factors after ``rounds`` rounds.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``cells`` (dimensions and tokens) with ``rate``, the product of the factors, and the largest change of the last round.
 
-    Each step sums the cells by one dimension (partial sums first) and scales them by target
-    over sum, through a join on that dimension; each round ends in a table in the shared folder.
-    A value without a target share gets rate 0. Values without tokens keep their rate.
+    Each step sums the cells by one dimension (partial sums first), scales them by target over
+    sum, through a join on that dimension, and ends in a table in the shared folder. A round is
+    a step for each dimension; the rounds end when no factor moves by more than ``tolerance`` or after
+    ``rounds`` of them. A value without a target share gets rate 0. Values without tokens keep their rate.
     """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()[0]
-    now = cells.withColumn("rate", F.lit(1.0))
-    for k in range(rounds):
-        before = now
-        for d, share in targets.items():
+    now, moved = cells.withColumns({"rate": F.lit(1.0), "moved": F.lit(0.0)}), 0.0
+    for _ in range(rounds):
+        for k, (d, share) in enumerate(targets.items()):
             mass = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("rate")).alias("mass"))
             by = mass.join(share.withColumnRenamed("value", d), d, "left").select(
                 d, F.when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(1.0).alias("by"))
-            now = now.join(by, d).withColumn("rate", F.col("rate") * F.col("by")).drop("by")
-        now = scratch.table(now, "raked")
-        if k:
-            scratch.drop(before)
-    return now
+            change = F.abs(F.col("by") - 1)
+            after = now.join(by, d).withColumns({"rate": F.col("rate") * F.col("by"), "moved": F.greatest("moved", change) if k else change})
+            after = scratch.table(after.drop("by"), "raked")
+            scratch.drop(now)
+            now = after
+        moved = now.agg(F.coalesce(F.max("moved"), F.lit(0.0))).first()[0]
+        if moved <= tolerance:
+            break
+    return now.drop("moved"), moved
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5, power: float = 0.5,
-        targets: dict[str, DataFrame] | None = None, rounds: int = 8, seed: int = 7) -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
     """``docs`` with topic, n_tokens, rate, probability, weight and ``drawn``.
 
     A document is drawn with probability min(1, keep * rate) by a hash of its id, and weighs
@@ -79,9 +87,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep
         *names, "topic", "n_tokens", *(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"_{d}") for d in DIMENSIONS))
     cells = scratch.table(keyed.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens")), "cells")
     targets = targets or {d: scratch.table(tempered(cells, d, power), f"target-{d}") for d in DIMENSIONS}
-    rated = rake(cells, targets, scratch, rounds).select(
-        *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "rate")
-    rated = F.broadcast(rated) if cells.count() <= BROADCAST_CELLS else rated
+    raked, moved = rake(cells, targets, scratch, rounds)
+    if moved > TOLERANCE:
+        warnings.warn(f"raking ended after {rounds} rounds, with factors still moving by {moved:.2g}", stacklevel=2)
+    few = cells.count() <= BROADCAST_CELLS
+    scratch.close(raked_table := scratch.table(raked, "rates"))
+    rated = raked_table.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "rate")
+    rated = F.broadcast(rated) if few else rated
     out = keyed.join(rated, [f"_{d}" for d in DIMENSIONS], "left")
     chance = F.least(F.lit(1.0), F.col("rate") * keep)
     return out.select(*names, "topic", "n_tokens", "rate", chance.alias("probability"),

@@ -13,7 +13,7 @@ from tabulith.llm.decontam import find_leaks, split_item
 from tabulith.llm.html_extract import extract
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
-from tabulith.llm.mixing import DIMENSIONS, mix
+from tabulith.llm.mixing import DIMENSIONS, ROUNDS, TOLERANCE, mix
 from tabulith.llm.quality import quality_rules
 from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
 from tabulith.llm.substring_dedup import shared_passages
@@ -55,8 +55,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("weight", 6).alias("weight"), "drawn")
 
 
-def _op3_sql(rounds: int = 8, keep: float = 0.5, power: float = 0.5, seed: int = 7) -> str:
-    """Raking as a chain of common tables: one for the factors of a dimension after each step."""
+def _op3_sql(rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep: float = 0.5, power: float = 0.5, seed: int = 7) -> str:
+    """Raking as a chain of common tables: one for the factors of a dimension after each step, one for the end of each round."""
     symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "#*$%&|<>")
     sql = rf"""
 WITH w AS (SELECT *, coalesce(text, '') AS t,
@@ -71,14 +71,19 @@ cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE)
 target_{x} AS MATERIALIZED (SELECT {x}, sum(tokens) ** {power} / sum(sum(tokens) ** {power}) OVER () AS share FROM cells GROUP BY {x}),
 {x}_0 AS (SELECT DISTINCT {x}, CAST(1 AS DOUBLE) AS f_{x} FROM cells)"""
         now[x] = f"{x}_0"
-    joined = lambda: "cells " + " ".join(f"JOIN {now[x]} USING ({x})" for x in DIMENSIONS)
+    joined = lambda: "cells " + " ".join(f"JOIN (SELECT {x}, f_{x} FROM {now[x]}) USING ({x})" for x in DIMENSIONS)
     rate = " * ".join(f"f_{x}" for x in DIMENSIONS)
     for r in range(1, rounds + 1):
+        ended = f"(SELECT ended FROM round_{r - 1})" if r > 1 else "false"
         for x in DIMENSIONS:
             sql += f""",
-{x}_{r} AS MATERIALIZED (SELECT {x}, CASE WHEN m > 0 THEN f_{x} * share * (SELECT sum(tokens) FROM cells) / m ELSE f_{x} END AS f_{x} FROM
-  (SELECT {x}, f_{x}, sum(tokens * {rate}) AS m FROM {joined()} GROUP BY {x}, f_{x}) JOIN target_{x} USING ({x}))"""
+{x}_{r} AS MATERIALIZED (SELECT {x}, f_{x} * factor AS f_{x}, factor FROM (
+  SELECT {x}, f_{x}, CASE WHEN {ended} OR m <= 0 THEN CAST(1 AS DOUBLE) ELSE share * (SELECT sum(tokens) FROM cells) / m END AS factor FROM
+  (SELECT {x}, f_{x}, sum(tokens * {rate}) AS m FROM {joined()} GROUP BY {x}, f_{x}) JOIN target_{x} USING ({x})))"""
             now[x] = f"{x}_{r}"
+        sql += f""",
+round_{r} AS MATERIALIZED (SELECT coalesce(max(abs(factor - 1)), 0) <= {tolerance} AS ended FROM
+  ({" UNION ALL ".join(f"SELECT factor FROM {x}_{r}" for x in DIMENSIONS)}))"""
     return sql + f""",
 rated AS (SELECT source, lang, topic, {keep} * {rate} AS r FROM {joined()})
 SELECT doc_id, source, lang, topic, n_tokens, round(least(1.0, r), 9) AS probability, round(greatest(1.0, r), 6) AS weight,
