@@ -62,10 +62,9 @@ class Scratch:
         return out
 
     def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-        """Write one row for each ``key``, in ``n`` buckets of it, so that joins on it don't shuffle again."""
+        """Write ``df``, dealt by ``key`` before, in ``n`` sorted buckets of it, so that joins on it don't shuffle again."""
         path, table = self._place(name), f"llm_{name}_{uuid.uuid4().hex[:12]}"
-        (df.repartition(n, key).dropDuplicates([key]).write.option("path", path)
-           .bucketBy(n, key).sortBy(key).saveAsTable(table))
+        df.write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
         self.names[path] = table
         self.held[path] = out = self.spark.table(table)
         return out

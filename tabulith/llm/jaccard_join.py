@@ -141,7 +141,8 @@ def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratc
     rep = scratch.table(members.filter("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "rep")
     rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
     texts = docs.join(rep, docs.doc_id.eqNullSafe(rep.doc_id)).select("fp", "text")
-    return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary"), "sets", "fp", partitions(docs.sparkSession))
+    n = partitions(docs.sparkSession)
+    return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary").repartition(n, "fp").dropDuplicates(["fp"]), "sets", "fp", n)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

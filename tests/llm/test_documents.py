@@ -14,7 +14,7 @@ from tabulith.llm import substring_dedup
 from tabulith.llm.common import Scratch, WordHash, shingles
 from tabulith.llm.decontam import Index, drop_leaks, find_leaks, split_item
 from tabulith.llm.jaccard_join import jaccard_groups
-from tabulith.llm.line_dedup import dedup_lines
+from tabulith.llm.line_dedup import LineRuns, dedup_lines
 from tabulith.llm.mixing import mix
 from tabulith.llm.quality import BUCKETS, quality_rules
 from tabulith.llm.secrets import scan_secrets, span_text
@@ -157,6 +157,26 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(rows) and out.columns[:7] == frame(spark, {}).columns
 
 
+def test_line_runs_of_many_batches_are_compacted_and_not_shuffled(spark):
+    rng = random.Random(8)
+    lines = [text_of(40 + i, 6) for i in range(30)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(200)] + [(None, lines[0]), (7, lines[1])]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(frame(spark, rows), batches=20).collect()), key=str)
+    assert got == brute_lines(rows) == sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(frame(spark, rows), batches=1).collect()), key=str)
+    runs = LineRuns(spark, Scratch(spark, "runs"))
+    for b in range(20, 0, -1):
+        runs.add(spark.createDataFrame([(lines[rng.randrange(30)], 10 * b + i) for i in range(4)], "line string, d long"))
+    assert [r is not None for r in runs.levels] == [False, False, True, False, True]  # 20 = 4 + 16
+    a, b = (r for r in runs.levels if r is not None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    assert "Exchange" not in a.join(b, "line", "full")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.sql("SHOW TABLES").filter("tableName LIKE 'llm_run%'").count() == 2
+    assert runs.total().agg(F.sum("n_docs")).first()[0] > 60 and runs.total().count() == runs.total().select("line").distinct().count()
+    runs.scratch.close()
+    assert dedup_lines(frame(spark, {}), batches=3).count() == 0
+
+
 def brute_quality(rows, trusted):
     def grams(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
@@ -248,6 +268,21 @@ def test_mixing_meets_its_targets(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_a_drawn_sample_has_the_target_marginals(spark):
+    share = {"source": {"big": 0.5, "small": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"a": 0.3, "b": 0.7}}
+    rows = [(i, text_of(i % 40, 30 + i % 7), ("en", "de")[i % 5 == 0], ("big", "big", "small")[i % 3], ("a", "b")[i % 7 < 4], i) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, rate long")
+    targets = {d: spark.createDataFrame(list(x.items()), "value string, share double") for d, x in share.items()}
+    out = mix(docs, keep=0.4, targets=targets)
+    assert out.columns.count("rate") == 1
+    total = out.agg(F.sum("n_tokens")).first()[0]
+    drawn = out.filter("drawn")
+    assert abs(drawn.agg(F.sum(F.col("n_tokens") * F.col("weight"))).first()[0] / (0.4 * total) - 1) < 0.05
+    for d, x in share.items():
+        got = {r[0]: r[1] for r in drawn.groupBy(d).agg(F.sum(F.col("n_tokens") * F.col("weight")) / (0.4 * total)).collect()}
+        assert all(abs(got[v] - s) < 0.04 for v, s in x.items()), (d, got)
+
+
 def test_secret_spans_equal_plain_regular_expressions(spark):
     kinds = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
              ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16))
