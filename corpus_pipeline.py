@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import shared_root
+from tabulith.llm.common import delete, shared_root
 from tabulith.llm.decontam import drop_leaks
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
@@ -27,10 +27,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of the least id. Rows without an id stay."""
-    others = jaccard_groups(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(others, "doc_id", "left_anti")
-    return rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id IS NULL"))
+    """One document of each group of linked ones: that of the least id (null last), of several texts of one id that of least hash.
+
+    Rows of one id and one text are one document; rows of one id and different texts are judged each for itself.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_groups(keyed, id_col="_row").select("_row", "component_id").distinct()
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("order")).distinct()
+    stay = groups.join(ids, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row")).select("_row")
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    """All stages over ``documents``, each written to the shared folder, read by the next and then deleted."""
     docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
+        if k:
+            delete(spark, f"{root}/{k - 1}")
     return docs
