@@ -194,7 +194,8 @@ def brute_quality(rows, trusted):
             if d in trusted:
                 target[g] = target.get(g, 0) + 1
     r, n = sum(raw.values()), sum(target.values())
-    weight = {g: round(math.log(((target.get(g, 0) + 1) / (n + BUCKETS)) / ((raw[g] + 1) / (r + BUCKETS))) * 1e6) for g in raw}
+    q = {g: (raw[g] + 1) / (r + BUCKETS) for g in raw}
+    weight = {g: round(math.log((target.get(g, 0) + BUCKETS * q[g]) / (n + BUCKETS) / q[g]) * 1e6) for g in raw}
     out = {}
     for d, t in rows:
         g = grams(t)
@@ -210,7 +211,8 @@ def brute_quality(rows, trusted):
 def test_quality_counts_and_scores_equal_brute_force(spark):
     rows = [(0, None), (1, ""), (2, "a b c a b c a b c\n\n x \n x \n##|<>"), (3, text_of(3, 120)), (4, text_of(3, 60) + " " + text_of(3, 60)), (5, "é è " * 30),
             (6, "*** %%% " * 40), (7, "no no no")]
-    want = brute_quality(rows, {3, 4})
+    held = {r.d for r in spark.sql("SELECT id AS d FROM range(9) WHERE pmod(xxhash64(id, 1), 5) = 0").collect()}
+    want = brute_quality(rows, {3, 4} - held)
     got = {r.doc_id: r for r in quality_rules(frame(spark, rows), spark.sql("SELECT explode(array(3L, 4L)) AS doc_id")).collect()}
     for d, (n, chars, symbols, dup, repeat, score) in want.items():
         g = got[d]
@@ -218,9 +220,18 @@ def test_quality_counts_and_scores_equal_brute_force(spark):
         assert g.score == score if score is None else abs(g.score - score) <= 1
         assert g.base_failed == (n < 50 or 100 * repeat > 50 * n) and (not g.kept or not g.base_failed)
     assert got[3].kept and not got[6].kept
+    assert all(r.kept != r.base_failed and r.score in (0, None) for r in quality_rules(frame(spark, rows), spark.sql("SELECT 1L AS doc_id WHERE false")).collect())
     assert quality_rules(frame(spark, {}), spark.sql("SELECT 1L AS doc_id")).count() == 0
 
 
+def test_few_trusted_documents_reject_no_clean_one(spark):
+    rng, usual = random.Random(6), text_of(3000, 300).split()
+    rows = [(i, " ".join(rng.choice(usual[:rng.choice((20, 300))]) for _ in range(150))) for i in range(80)] + [(500 + i, " ".join(f"zq{(i * 7 + k * k) % 97}x" for k in range(150))) for i in range(5)]
+    for trusted in (range(12), range(60)):
+        out = quality_rules(frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+        assert sum(r.kept for r in out if r.doc_id < 80) >= 78
+
+
 def test_leaks_equal_brute_force(spark):
     items = [(i, text_of(200 + i, 30) + ". " + text_of(300 + i, 8) + ".") for i in range(40)] + [(90, None), (91, ""), (92, "too short")]
     docs = [(0, None), (1, ""), (2, text_of(4, 300)), (3, text_of(5, 100) + " " + items[7][1].upper() + " " + text_of(6, 400)), (4, items[8][1]),
