@@ -33,7 +33,7 @@ from tabulith.llm.components import components
 #: Counters in the table of token counts; it is broadcast, 4 bytes for each.
 COUNTERS_LOG2 = 18
 #: A posting list of more nodes than this is that of a frequent token.
-FREQUENT = 64
+FREQUENT = 128
 #: Frequent tokens are combined with those at most so many places further in a prefix.
 NEAR = 6
 #: Texts whose postings go into one Arrow batch.
@@ -87,7 +87,7 @@ def _poster(counts):
         cache, table = WordHash(), counts.value
         low = np.uint64((1 << 32) - 1)
         for texts in (b.column(0).slice(i, POST_BATCH).to_pylist() for b in batches for i in range(0, b.num_rows, POST_BATCH)):
-            toks, fps, sizes, places, salts, seen = [], [], [], [], [], set()
+            toks, fps, places, salts, seen = [], [], [], [], set()
             for text in texts:
                 s = shingles(text, cache)
                 if not len(s) or (fp := _fp(s)) in seen:
@@ -99,14 +99,12 @@ def _poster(counts):
                 first = np.argsort(rank, kind="stable")[:take]
                 toks.append(s[first])
                 fps.append(np.full(take, fp, np.int64))
-                sizes.append(np.full(take, len(s), np.int32))
                 places.append(np.arange(take, dtype=np.int32))
                 parts = 1 + c[first] // LIST_SPLIT
                 salts.append(np.where(parts > 1, abs(fp) % parts, -1).astype(np.int32))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(salts)),
-                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)),
-                                                  pa.array(np.concatenate(places))], ["token", "salt", "fp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(salts)), pa.array(np.concatenate(toks).view(np.int64)),
+                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(places))], ["salt", "token", "fp", "pos"])
 
     return post
 
@@ -151,14 +149,15 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def _prune(lists: DataFrame) -> DataFrame:
-    """``lists`` (token, fp, n, pos) without nodes in too few lists to link with any, and lists of one node.
+def _prune(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """``lists`` (token, fp, pos) with n, without nodes in too few lists to link with any, and lists of one node.
 
     A node shares 2 + n'/16 posted tokens with any similar one, of n' >= 3n/4 tokens. Adds ``central``: the share of
     a node's tokens that others have. It is highest for a text that others are edited copies of.
     """
-    listed = lists.groupBy("fp", "n").agg(F.count("*").alias("listed")).filter("listed >= 2 + floor(ceil(0.75 * n) / 16)")
-    some = lists.join(listed.select("fp", (F.col("listed") / F.col("n")).alias("central")), "fp")
+    sizes = members.groupBy("fp").agg(F.max("n").cast("int").alias("n"))
+    listed = lists.groupBy("fp").agg(F.count("*").alias("listed")).join(sizes, "fp").filter("listed >= 2 + floor(ceil(0.75 * n) / 16)")
+    some = lists.join(listed.select("fp", "n", (F.col("listed") / F.col("n")).alias("central")), "fp")
     return some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "token", "left_semi")
 
 
@@ -209,7 +208,7 @@ def _in_lists(rows: DataFrame) -> DataFrame:
 
 
 def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """As _in_lists, for lists of any length: a set asks for smaller ones, by classes of size that grow by a tenth.
+    """As _in_lists, for lists of any length: a set asks for smaller ones, by classes of size that grow by a quarter.
 
     The component with most nodes in a list doesn't ask for its own. So a large group of linked
     copies meets only nodes that are not in it, and copies that have too many tokens
@@ -219,11 +218,12 @@ def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
     top = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("token", "top")
     rows = rows.join(top, "token")
-    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.25)).cast("int")
     least = F.ceil(0.75 * F.col("n"))
     ask = rows.withColumn("upto", F.least("n", "most")).filter(F.col("upto") >= least).select(
         "*", F.explode(F.sequence(size(least), size(F.col("upto")))).alias("size")).select(
         "*", F.explode(F.when(F.col("comp") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_top"))
+    ask = ask.drop("most", "top")
     held = rows.filter("most >= n").select("token", size(F.col("n")).alias("size"), (F.col("comp") == F.col("top")).alias("in_top"),
                                            *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "rare", "most")))
     return _met(ask.join(held, ["token", "size", "in_top"]).filter(
@@ -282,13 +282,13 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1))
 
     # Posting lists with two nodes at least; lists of very frequent tokens are split by salt.
-    posted = docs.select("text").mapInArrow(_poster(table), "token long, salt int, fp long, n int, pos int")
+    posted = docs.select("text").mapInArrow(_poster(table), "salt int, token long, fp long, pos int")
     order = Window.partitionBy("token", "salt").orderBy("fp")
     once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
     ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("after", F.lead("fp").over(order)))
-    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "n", "pos"), "found")
-    lists = scratch.table(_prune(found), "lists")
+    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "pos"), "found")
+    lists = scratch.table(_prune(found, members), "lists")
     scratch.drop(found)
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
 
