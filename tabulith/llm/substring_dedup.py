@@ -28,7 +28,9 @@ MIN_PARAGRAPH, MIN_PASSAGE = 20, 20
 #: Words on each side among which a cut has the least hash.
 AROUND = 5
 #: Words of 64 bits in the bitmap of a paragraph's shingles.
-BITMAP = 4
+BITMAP = 8
+#: Characters of text that are cut into units at a time.
+TEXT_CHARS = 1 << 20
 #: Open pairs for each place in a bucket beyond which another head is tried before all pairs are compared.
 OPEN_PAIRS = 4
 UNIT = "key long, piece boolean, doc_id long, start int, end int, fp long"
@@ -51,54 +53,64 @@ def _shingle_hashes(h: np.ndarray) -> np.ndarray:
     return mix(s)
 
 
-def units(text: str | None, cache: WordHash, bands: int, rows: int, min_paragraph: int = MIN_PARAGRAPH) -> list[tuple[np.ndarray, ...]]:
-    """(key, piece, start, end, fp) columns of a text's paragraphs (one row a band) and pieces."""
-    if not text:
-        return []
-    lines = [line.split() for line in text.encode().lower().split(b"\n")]
-    size = np.array([len(w) for w in lines], np.int64)
-    n, out = int(size.sum()), []
-    if n < 5:
-        return []
-    h = np.fromiter((cache[w] for line in lines for w in line), np.uint64, n)
+def units(texts: list[str | None], cache: WordHash, bands: int, rows: int, min_paragraph: int = MIN_PARAGRAPH) -> tuple[np.ndarray, ...]:
+    """(key, piece, text, start, end, fp) columns of the paragraphs (one row a band) and pieces of texts, given by their places in the list."""
+    lines = [(d, line.split()) for d, t in enumerate(texts) if t for line in t.encode().lower().split(b"\n")]
+    size, doc = np.array([len(w) for _, w in lines], np.int64), np.array([d for d, _ in lines], np.int64)
+    n = int(size.sum())
+    out = [(np.zeros(0, np.int64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(4)))]
+    h = np.fromiter((cache[w] for _, line in lines for w in line), np.uint64, n)
     first = np.cumsum(size) - size
+    words = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)  # of each text
+    base = np.cumsum(words) - words
     q = np.flatnonzero(size >= max(5, min_paragraph))
     if len(q):
-        s = _shingle_hashes(h)
         count = size[q] - 4
         begin = np.cumsum(count) - count
-        s = s[np.repeat(first[q] - begin, count) + np.arange(count.sum())]
-        fp = mix(np.add.reduceat(s, begin)).view(np.int64)
+        s = _shingle_hashes(h)[np.repeat(first[q] - begin, count) + np.arange(count.sum())]
+        fp, start = mix(np.add.reduceat(s, begin)).view(np.int64), first[q] - base[doc[q]]
         for b in range(bands):
             key = np.full(len(q), b + 1, np.uint64)
             for r in range(rows):
                 key = key * _MULT[0] + np.minimum.reduceat(mix(s ^ _POWERS[b * rows + r]), begin)
-            out.append((mix(key).view(np.int64), np.zeros(len(q), bool), first[q], first[q] + size[q], fp))
-    v = mix(h)
-    low = np.ones(n, bool)
+            out.append((mix(key).view(np.int64), np.zeros(len(q), bool), doc[q], start, start + size[q], fp))
+    v, low = mix(h), np.ones(n, bool)
     for d in range(1, AROUND + 1):
         low[d:] &= v[d:] < v[:-d]
         low[:-d] &= v[:-d] <= v[d:]
     cut = np.flatnonzero(low)
-    cut = cut[(cut >= AROUND) & (cut < n - AROUND)]
+    own = np.repeat(np.arange(len(texts)), words)[cut]
+    inside = (cut - base[own] >= AROUND) & (cut - base[own] < words[own] - AROUND)  # all words around it are of its text
+    cut, own = cut[inside], own[inside]
     if len(cut) > 1:
         place = np.arange(cut[0], cut[-1]) - np.repeat(cut[:-1], np.diff(cut))
         fp = mix(np.add.reduceat(h[cut[0]:cut[-1]] * _POWERS[place % 4096], cut[:-1] - cut[0]) + np.diff(cut).astype(np.uint64)).view(np.int64)
-        out.append((fp, np.ones(len(fp), bool), cut[:-1], cut[1:], fp))
-    return out
+        one = np.flatnonzero(own[:-1] == own[1:])
+        at = base[own[one]]
+        out.append((fp[one], np.ones(len(one), bool), own[one], cut[one] - at, cut[one + 1] - at, fp[one]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _unit_rows(bands: int, rows: int, min_paragraph: int):
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+        """Ids and texts of TEXT_CHARS together, or one text."""
+        ids, texts, held = [], [], 0
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(i)
+            texts.append(t.as_py())
+            held += len(texts[-1] or "")
+            if held >= TEXT_CHARS:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            got = [(d, u) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                   for u in units(t, cache, bands, rows, min_paragraph)]
-            if got:
-                key, piece, start, end, fp = (np.concatenate([u[i] for _, u in got]) for i in range(5))
-                doc = pa.array([d for d, _ in got], pa.int64()).take(pa.array(np.repeat(np.arange(len(got)), [len(u[0]) for _, u in got])))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(piece), doc, pa.array(start.astype(np.int32)),
-                                                  pa.array(end.astype(np.int32)), pa.array(fp)], ["key", "piece", "doc_id", "start", "end", "fp"])
+        for ids, texts in (g for batch in batches for g in groups(batch)):
+            key, piece, text, start, end, fp = units(texts, cache, bands, rows, min_paragraph)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(piece), pa.array(np.array(ids, np.int64)[text]), pa.array(start.astype(np.int32)),
+                                              pa.array(end.astype(np.int32)), pa.array(fp)], ["key", "piece", "doc_id", "start", "end", "fp"])
 
     return run
 

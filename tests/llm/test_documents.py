@@ -337,7 +337,7 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
     bands, rows = tune_bands()
     cache, keys = WordHash(), []
     for t in texts:
-        keys.append({int(u[0][0]) for u in units(t, cache, bands, rows) if not u[1][0]})
+        keys.append({int(k) for k, piece in zip(*units([t], cache, bands, rows)[:2], strict=True) if not piece})
     sets = [set(shingles(t, cache).tolist()) for t in texts]
     label = list(range(60))
     for _ in label:
@@ -349,9 +349,9 @@ def test_paragraphs_of_one_bucket_are_joined_whatever_its_head(spark):
     found = spark.createDataFrame([(k, i, 1) for i in range(60) for k in keys[i]], "key long, fp long, copies long")
     maps = []
     for x in sets:
-        bits = [0] * 256
+        bits = [0] * 512
         for k in x:
-            bits[k % 256] = 1
+            bits[k % 512] = 1
         maps.append(np.packbits(np.array(bits, np.uint8)).view(np.int64).tolist())
     packed = spark.createDataFrame([(i, bytearray(shingles(t, cache).tobytes()), *maps[i]) for i, t in enumerate(texts)], substring_dedup.SETS)
     for most in (4, 0):  # all pairs at once; more heads first
