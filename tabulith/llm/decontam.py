@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,11 +180,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                            *(T.StructField(c, T.DoubleType()) for c in ("score", "overlap", "question_overlap", "answer_overlap"))])
     out = spark.createDataFrame([], schema)
     for index in _indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = cloudpickle.loads(shared.value)
             for batch in batches:
-                rows = list(shared.value.search([_words(t) for t in batch.column(1).to_pylist()]))
+                rows = list(held.search([_words(t) for t in batch.column(1).to_pylist()]))
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()),
@@ -196,11 +198,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in whose text :func:`find_leaks` finds an item. Nothing is shuffled."""
     for index in _indexes(items):
-        shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+        shared, at = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index)), docs.columns.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            held = cloudpickle.loads(shared.value)
             for batch in batches:
-                bad = {r[0] for r in shared.value.search([_words(t) for t in batch.column(at).to_pylist()])}
+                bad = {r[0] for r in held.search([_words(t) for t in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

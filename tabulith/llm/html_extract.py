@@ -32,11 +32,14 @@ _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style head title noscript template svg math iframe object select option textarea button canvas audio video".split())
+#: Elements whose content is no text of the page. (Fallback content of media and formulas is text.)
+SILENT = frozenset("script style head title noscript template svg iframe select option textarea button".split())
+#: Open elements at most; a deeper one takes the place of the innermost. Tags broken by a quote before quotes are ignored.
+MAX_DEPTH, MAX_BROKEN = 512, 50
 #: Elements that may stand in a head, whose end tag may be left out: anything else closes it.
 HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 BLOCK = frozenset("""html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption
  blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup center""".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dt dd summary".split())
@@ -72,7 +75,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     stack: list[tuple[str, Node, bool]] = [("root", root, False)]  # open elements: tag, its block, whether silent
     runs: list[tuple[Node, str]] = []
     pieces: list[str] = []
-    links = at = n = 0
+    links = at = n = broken = 0
+    last, count = page.rfind(">"), Counter()  # the end of the last tag; open elements by tag
 
     def flush() -> None:
         nonlocal pieces
@@ -89,6 +93,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag in BLOCK:
                 flush()
             stack.pop()
+            count[tag] -= 1
             links -= tag == "a"
 
     def end_head() -> None:
@@ -109,10 +114,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     while at < len(page):
         lt = page.find("<", at)
-        if lt < 0:
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):  # what is left has no tag
             say(page[at:])
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        m = _TAG.match(page, lt) if broken < MAX_BROKEN or page.startswith("<!", lt) else None
+        if not m:
+            broken += 1
+            m = _LOOSE.match(page, lt)
         if not m:
             say(page[at:lt + 1])
             at = lt + 1
@@ -123,9 +131,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
-                pop(k)
+            if count[tag] > 0:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "body" or (stack[-1][0] == "head" and tag not in HEAD):
             end_head()
@@ -133,7 +140,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             say(" ")
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and count["p"] > 0:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "div", "td", "li", "article", "section", "body")), 0)
             if k and stack[k][0] == "p":
                 pop(k)
@@ -143,9 +150,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 pop(k)
         silent = stack[-1][2] or tag in SILENT
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = len(page) if not end else (page.find(">", end.start()) + 1 or len(page))
             continue
+        if len(stack) >= MAX_DEPTH:
+            pop(MAX_DEPTH - 1)
+            silent = stack[-1][2] or tag in SILENT
+        count[tag] += 1
         if tag in BLOCK:
             flush()
             n += 1
@@ -323,12 +334,14 @@ def extract(pages: DataFrame, *, trees: Trees | None = None) -> DataFrame:
     results, and an empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(trees or fit(spark))
+    trees = trees or fit(spark)
+    shared = spark.sparkContext.broadcast((trees.trees, trees.weights))  # plain arrays
     rows = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Trees(*shared.value)
         for batch in (b.slice(i, PAGES_AT_ONCE) for b in batches for i in range(0, b.num_rows, PAGES_AT_ONCE)):
-            texts = main_texts(batch.column(2).to_pylist(), shared.value)
+            texts = main_texts(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -17,7 +17,7 @@ from tabulith.llm.mixing import DIMENSIONS, ROUNDS, TOLERANCE, mix
 from tabulith.llm.quality import quality_rules
 from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
 from tabulith.llm.substring_dedup import shared_passages
-from tabulith.llm.warc import read_records, write_archive
+from tabulith.llm.warc import base32, payload_of, read_records, write_archive
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -146,8 +146,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to an archive and read back."""
     path = Scratch(spark, "archive").path
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_records(spark, path, payload=False).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    records = read_records(spark, path)
+    body = payload_of(F.col("record"), F.col("header_bytes"))
+    return records.select("page_id", F.octet_length(body).cast("long").alias("payload_bytes"), base32(F.sha1(body)).alias("payload_digest"),
+                          "record_type", "refers_to", "verified")
 
 
 OP7_SQL = """

@@ -73,12 +73,17 @@ def _header(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
+def payload_of(record: Column, header_bytes: Column) -> Column:
+    """The payload bytes of a whole record: what follows its header block, without the two line ends of the record."""
+    return F.substring(record, header_bytes + 1, F.octet_length(record) - header_bytes - len(END + END))
+
+
 def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """The records of an archive, from its header blocks, joined to what their payloads are.
 
     Returns page_id, url, record_type, payload_digest, content_length, refers_to, payload_bytes,
     verified (the stored payload has the digests and the length that the header block and the
-    archive give) and, unless ``payload`` is False, record: the bytes of the whole record.
+    archive give), header_bytes and, unless ``payload`` is False, record: the bytes of the whole record.
     Payloads are digested where they are stored, once each, before the join.
     """
     heads = spark.read.parquet(f"{path}/headers")
@@ -93,4 +98,5 @@ def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> Dat
         "page_id", _header("WARC-Target-URI").alias("url"), _header("WARC-Type").alias("record_type"), digest.alias("payload_digest"),
         length.alias("content_length"), _header("X-Refers-To-Page").cast("long").alias("refers_to"), "payload_bytes",
         (F.col("intact") & (F.col("stored_digest") == digest) & (F.col("payload_bytes") == length)).alias("verified"),
+        F.octet_length("header").alias("header_bytes"),
         *([F.concat(F.col("header").cast("binary"), F.col("payload"), F.lit(END + END).cast("binary")).alias("record")] if payload else []))

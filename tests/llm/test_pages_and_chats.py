@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulith.llm import html_extract as h
 from tabulith.llm.chat import best_paths, format_trees, linear, read_back
 from tabulith.llm.common import Scratch
-from tabulith.llm.warc import read_records, write_archive
+from tabulith.llm.warc import payload_of, read_records, write_archive
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,23 @@ def test_long_chains_take_few_rounds(spark):
     df = spark.range(300).select(F.lit(1).alias("tree"), F.col("id").alias("msg"), (F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
     path = best_paths(df, Scratch(spark, "t")).collect()
     assert sorted(r.msg for r in path) == list(range(300)) and {r.msg: r.up for r in path}[0] == 299
+
+
+def test_parsing_is_linear_in_broken_pages():
+    import time
+
+    from tabulith.llm.html_extract import parse
+    for page in ("<a " * 350_000, "<b>" * 40_000 + "</i>" * 40_000, '<a "' * 250_000 + ">", "<!" * 200_000, "<script " * 100_000 + "<p>x"):
+        began = time.time()
+        parse(page)
+        assert time.time() - began < 5
+    assert [t for _, t in parse("<p>Euler: <math><mi>e</mi></math> holds.</p><object>fallback</object>")[1]] == ["Euler: e holds.", "fallback"]
+
+
+def test_records_are_put_together_with_their_payloads(spark, tmp_path):
+    rows = [(1, "http://a/\u0420\u0420", "x\r\n\r\ny"), (2, None, "x\r\n\r\ny"), (3, "u", None), (None, "u", "z")]
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: bytes(r.body) for r in read_records(spark, str(tmp_path / "w")).select("page_id", payload_of(F.col("record"), F.col("header_bytes")).alias("body")).collect()}
+    assert got == {i: (h or "").encode() for i, _, h in rows}
+    write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
+    assert read_records(spark, str(tmp_path / "none")).count() == 0
