@@ -15,7 +15,7 @@ from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
 from tabulith.llm.mixing import DIMENSIONS, ROUNDS, TOLERANCE, mix
 from tabulith.llm.quality import quality_rules
-from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets, span_text
+from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, EXAMPLE_REPOS, scan_secrets, span_text
 from tabulith.llm.substring_dedup import shared_passages
 from tabulith.llm.warc import base32, payload_of, read_records, write_archive
 
@@ -121,7 +121,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS
 raw AS ({" UNION ALL ".join(kinds)}),
 s AS (SELECT *, CAST(sum(before + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM raw),
 f AS (SELECT doc_id, source, rank, v, e, e - length(m) AS b, kind || ':' || (e - length(m)) || ':' || e AS span FROM s WHERE length(v) >= least),
-o AS (SELECT v, count(DISTINCT source) < {EXAMPLE_OWNERS} AS live FROM f GROUP BY v),
+o AS (SELECT v, count(DISTINCT source) < {EXAMPLE_OWNERS} AND count(DISTINCT doc_id) < {EXAMPLE_REPOS} AS live FROM f GROUP BY v),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {len(BASE)}), '') AS base, string_agg(span, ',' ORDER BY b, rank) AS spans,
   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM f JOIN o USING (v) GROUP BY doc_id)

@@ -310,6 +310,9 @@ def test_copied_values_are_examples(spark):
     rows = [(i, f"token = 'examplevalue{'x' if i < 4 else i}yz'", "en", f"s{i}", 0, 1, True) for i in range(6)]
     live = {r.doc_id: r.found[0]["live"] for r in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert live == {0: False, 1: False, 2: False, 3: False, 4: True, 5: True}
+    many = [(f"a:{i}", f"token = 'manycopies{'x' if i < 12 else i}yz'", "s1") for i in range(14)]
+    got = scan_secrets(spark.createDataFrame(many, "doc_id string, text string, source string")).collect()
+    assert {r.doc_id: (r.found[0]["live"], r.found[0]["n_repos"]) for r in got} == {f"a:{i}": (False, 12) if i < 12 else (True, 1) for i in range(14)}
 
 
 def test_shared_passages(spark):
