@@ -83,8 +83,8 @@ def standardize(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFram
 
 
 def range_scale(value: Column, lo: Column, hi: Column) -> Column:
-    """To [-1, 1]."""
-    return 2 * (value - lo) / (hi - lo) - 1
+    """To [-1, 1]; 0 where the range is a point."""
+    return F.when(hi > lo, 2 * F.try_divide(value - lo, hi - lo) - 1).when(value.isNotNull(), 0.0)
 
 
 def range_invert(value: Column, lo: Column, hi: Column) -> Column:

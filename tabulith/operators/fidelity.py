@@ -49,7 +49,7 @@ def wasserstein(both: DataFrame, columns: list[str], parts: int = 64) -> DataFra
                                                 F.min(F.when(F.col("r") > 0, F.col("v"))).alias("rlo"), F.max(F.when(F.col("r") > 0, F.col("v"))).alias("rhi"))
     rows = points.join(F.broadcast(sums), ["run", "feature"]).withColumn(
         "part", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).otherwise(0))
-    diff = F.col("r") / F.col("nr") - F.col("s") / F.col("ns")
+    diff = F.try_divide("r", "nr") - F.try_divide("s", "ns")
     in_order = Window.partitionBy("run", "feature", "part").orderBy("v")
     rows = rows.withColumn("d", F.sum(diff).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("v").over(in_order))
     ranges = rows.groupBy("run", "feature", "part").agg(F.sum(diff).alias("sum"), F.min("v").alias("first"))
@@ -122,7 +122,6 @@ def support_coverage(both: DataFrame, numeric: list[str], categorical: list[str]
     subsets, out = support_subsets(names, k, most), None
     for i in range(0, len(subsets), SETS_AT_ONCE):
         part = subsets[i:i + SETS_AT_ONCE]
-        sets = distinct.groupingSets([["side", "run", *s] for s in part], "side", "run", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("_g"))
         combo = F.concat_ws("|", *(F.coalesce(c, F.lit("*")) for c in names))
         subset = F.concat_ws("+", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in names))
         sets = distinct.groupingSets([["side", "run", *s] for s in part], "side", "run", *names).agg(F.sum("n").alias("n"), subset.alias("subset")).select(
@@ -148,11 +147,15 @@ def support_summary(coverage: DataFrame) -> DataFrame:
 def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str], by: list[str]) -> DataFrame:
     """(by, a, b, value) for a < b: Pearson for numbers, Cramer's V (bias-corrected) for categories, correlation ratio for mixed pairs.
 
-    Rows with a null in a pair are left out for numbers; a null category is a category.
+    Rows with a null in a pair are left out for numbers; a null category is a category. Null where it
+    isn't defined: a column that is constant or empty. Without a pair of columns there are no rows.
     """
     cats = df.withColumns({c: or_missing(F.col(c).cast("string")) for c in categorical})
-    pearson = cats.groupBy(*by).agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(sorted(numeric), 2)))
-    out = pearson.unpivot(by, [f"{a}|{b}" for a, b in combinations(sorted(numeric), 2)], "pair", "value")
+    pairs = [(a, b, f"{a}|{b}") for a, b in combinations(sorted(numeric), 2)]
+    out = cats.select(*by, F.lit("").alias("pair"), F.lit(None).cast("double").alias("value")).filter("false")
+    if pairs:
+        pearson = cats.groupBy(*by).agg(*(F.corr(a, b).alias(name) for a, b, name in pairs))
+        out = out.unionByName(pearson.unpivot(by, [name for *_, name in pairs], "pair", "value"))
     tables = None
     for a, b in combinations(sorted(categorical), 2):  # contingency tables from one reduced table
         t = cats.groupBy(*by, F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
@@ -162,14 +165,16 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
         t = tables.withColumns({"nx": F.sum("n").over(w("x")), "ny": F.sum("n").over(w("y")), "nn": F.sum("n").over(w())})
         g = t.groupBy(*by, "pair").agg((F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))) - 1).alias("phi2"), F.max("nn").alias("nn"),
                                        F.count_distinct("x").alias("r"), F.count_distinct("y").alias("c"))
-        phi = F.greatest(F.lit(0.0), F.col("phi2") - (F.col("r") - 1) * (F.col("c") - 1) / (F.col("nn") - 1))
-        rc, cc = (F.col(x) - F.pow(F.col(x) - 1, F.lit(2)) / (F.col("nn") - 1) for x in ("r", "c"))
+        phi = F.greatest(F.lit(0.0), F.col("phi2") - F.try_divide((F.col("r") - 1) * (F.col("c") - 1), F.col("nn") - 1))
+        rc, cc = (F.col(x) - F.try_divide(F.pow(F.col(x) - 1, F.lit(2)), F.col("nn") - 1) for x in ("r", "c"))
         least = F.least(rc, cc) - 1
         out = out.unionByName(g.select(*by, "pair", F.when(least > 0, F.sqrt(phi / least)).otherwise(0.0).alias("value")))
-    for c in categorical:
+    for c in categorical if numeric else []:
         groups = cats.groupBy(*by, c).agg(*(x for v in numeric for x in (F.count(v).alias(f"n_{v}"), F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q_{v}"))))
-        eta = lambda v: F.sqrt(F.greatest(F.lit(0.0), (F.sum(F.when(F.col(f"n_{v}") > 0, F.col(f"s_{v}") * F.col(f"s_{v}") / F.col(f"n_{v}"))) - F.pow(F.sum(f"s_{v}"), F.lit(2)) / F.sum(f"n_{v}"))
-                                          / (F.sum(f"q_{v}") - F.pow(F.sum(f"s_{v}"), F.lit(2)) / F.sum(f"n_{v}"))))
+        mean = lambda v: F.try_divide(F.pow(F.sum(f"s_{v}"), F.lit(2)), F.sum(f"n_{v}"))
+        among = lambda v: F.sum(F.try_divide(F.col(f"s_{v}") * F.col(f"s_{v}"), F.col(f"n_{v}"))) - mean(v)
+        share = lambda v: F.try_divide(among(v), F.sum(f"q_{v}") - mean(v))
+        eta = lambda v: F.when(share(v).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), share(v))))
         names = {v: "|".join(sorted((v, c))) for v in numeric}
         rows = groups.groupBy(*by).agg(*(eta(v).alias(names[v]) for v in numeric))
         out = out.unionByName(rows.unpivot(by, list(names.values()), "pair", "value"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tabulith.operators.encode import one_hot, scale_stats, standardize
 from tabulith.operators.sample import sample_fraction
 
-#: Rows of the base that one block has.
-BLOCK = 4096
+#: Rows of the base that one block has, and of the queries that meet it in one task.
+BLOCK, CHUNK = 4096, 16384
 EPSILON = float(np.finfo(float).eps)
 
 
@@ -40,20 +40,23 @@ def nearest_two(query: DataFrame, base: DataFrame, *, key: str = "row_key", vect
     def two(_, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
             return pd.DataFrame({"key": [], "d": []}, dtype=object)
-        out = []
+        keep, dist = [], []
         y = np.stack(b["v"]) if len(b) else np.empty((0, len(q["v"].iloc[0])))
         yy, keys = (y * y).sum(1), b["key"].to_numpy()
         for i in range(0, len(q), 1024):
             x = np.stack(q["v"].iloc[i:i + 1024])
             d = np.maximum((x * x).sum(1)[:, None] + yy - 2 * x @ y.T, 0.0)
             near = np.argsort(d, axis=1)[:, :3] if d.shape[1] <= 3 else np.argpartition(d, 2, axis=1)[:, :3]
-            for row, k, js in zip(x, q["key"].iloc[i:i + 1024], near, strict=True):
-                js = [j for j in js if not (exclude_self and keys[j] == k)]
-                out.append((k, sorted(np.sqrt(((row - y[j]) ** 2).sum()) for j in js)[:2]))
-        return pd.DataFrame(out, columns=["key", "d"])
-
-    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, blocks)))
-    left, right = left.withColumn("chunk", chunk), right.crossJoin(F.broadcast(spark.range(blocks).select(F.col("id").alias("chunk"))))
+            exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(2))
+            if exclude_self:
+                exact[keys[near] == q["key"].iloc[i:i + 1024].to_numpy()[:, None]] = np.nan
+            keep.append(q["key"].iloc[i:i + 1024])
+            dist += [row[~np.isnan(row)][:2] for row in np.sort(exact, axis=1)]  # NaN last
+        return pd.DataFrame({"key": pd.concat(keep), "d": dist})
+
+    chunks = max(1, -(-query.count() // CHUNK))
+    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(chunks))
+    left, right = left.withColumn("chunk", chunk), right.crossJoin(F.broadcast(spark.range(chunks).select(F.col("id").alias("chunk"))))
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(two, f"key {dict(query.dtypes)[key]}, d array<double>")
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, 2).alias("d"))  # two numbers a block
     return best.select(F.col("key").alias(key), F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
@@ -84,19 +87,18 @@ def privacy_report(real: DataFrame, syn: DataFrame, numeric: list[str], categori
                    unique_only: bool = False, seed: int = 0) -> DataFrame:
     """(direction, dcr, nndr, n, n_copies, fraction) for real to syn, syn to real, real to real and syn to syn.
 
-    All rows by default: on samples of both sides most copies go unseen, so a ``fraction`` is a
-    choice that the result records. n_copies counts rows at distance 0. Under three rows is an error.
+    All rows by default. With a ``fraction``, which the result records, that share of each side, by a hash of the
+    key, is asked for its neighbours among all rows. n_copies counts rows at distance 0. Under three rows is an error.
     """
     names = [*numeric, *categorical]
     if unique_only:
         real, syn = drop_all_duplicates(real, names), drop_all_duplicates(syn, names)
-    if fraction is not None:
-        real, syn = (sample_fraction(x, fraction, seed=seed, key=key) for x in (real, syn))
     if min(real.limit(3).count(), syn.limit(3).count()) < 3:
         raise ValueError("a side has under three rows")
     r, s = privacy_vectors(real, syn, numeric, categorical, key)
     out = None
     for name, q, b, same in (("real_syn", r, s, False), ("syn_real", s, r, False), ("real_real", r, r, True), ("syn_syn", s, s, True)):
+        q = q if fraction is None else sample_fraction(q, fraction, seed=seed, key=key)
         near = nearest_two(q, b, key=key, exclude_self=same)
         ratio = F.col("d1") / F.greatest(F.col("d2"), F.lit(EPSILON))
         row = near.agg(F.percentile("d1", 0.05).alias("dcr"), F.percentile(ratio, 0.05).alias("nndr"), F.count("*").alias("n"),
@@ -110,16 +112,17 @@ def rdp_compose(ledger: DataFrame, orders: list[int]) -> DataFrame:
 
     Equal steps are grouped first, so the work follows the number of kinds of steps. For a
     sampling rate q in (0, 1) the moment is a sum over binomial terms, summed as logarithms.
+    A step without noise spends without bound.
     """
     kinds = ledger.groupBy("q", (F.col("noise_stddev") / F.col("l2_bound")).alias("z")).agg(F.count("*").alias("steps"))
     # orders and their terms: a table of a fixed, small size
     terms = [(a, i, float(_log_binomial(a, i))) for a in orders for i in range(a + 1)]
     table = ledger.sparkSession.createDataFrame(terms, "alpha int, i int, log_binomial double")
     t = kinds.crossJoin(F.broadcast(table)).withColumn("term", F.col("log_binomial") + F.when(F.col("i") > 0, F.col("i") * F.log("q")).otherwise(0.0) + F.when(
-        F.col("i") < F.col("alpha"), (F.col("alpha") - F.col("i")) * F.log1p(-F.col("q"))).otherwise(0.0) + (F.col("i") * F.col("i") - F.col("i")) / (2 * F.col("z") * F.col("z")))
+        F.col("i") < F.col("alpha"), (F.col("alpha") - F.col("i")) * F.log1p(-F.col("q"))).otherwise(0.0) + F.try_divide(F.col("i") * F.col("i") - F.col("i"), 2 * F.col("z") * F.col("z")))
     most = t.groupBy("q", "z", "steps", "alpha").agg(F.max("term").alias("m"), F.collect_list("term").alias("ts"))  # alpha + 1 terms
     log_a = F.col("m") + F.log(F.aggregate("ts", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m"))))
-    rdp = F.when(F.col("q") == 0, 0.0).when(F.col("q") == 1, F.col("alpha") / (2 * F.col("z") * F.col("z"))).otherwise(log_a / (F.col("alpha") - 1))
+    rdp = F.when(F.col("q") == 0, 0.0).when(F.col("z") == 0, float("inf")).when(F.col("q") == 1, F.try_divide(F.col("alpha"), 2 * F.col("z") * F.col("z"))).otherwise(log_a / (F.col("alpha") - 1))
     return most.groupBy("alpha").agg(F.sum(rdp * F.col("steps")).alias("rdp"))
 
 

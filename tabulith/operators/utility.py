@@ -31,30 +31,33 @@ def _rank_counts(pred: DataFrame, parts: int = 256) -> DataFrame:
 
 
 def classification_metrics(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(accuracy, auc, f1) of (label 0/1, prob in [0, 1]): percent right, exact AUC with ties as halves, mean F1 of both classes."""
+    """(accuracy, auc, f1) of (label 0/1, prob in [0, 1]): percent right, exact AUC with ties as halves, mean F1 of both classes.
+
+    The AUC is null with one class only, and all are null without rows but F1, which is 0.
+    """
     hit = (F.col("prob") >= threshold).cast("int")
     count = lambda a, b: F.sum(((F.col("label") == a) & (hit == b)).cast("bigint"))
     c = pred.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
     f1 = lambda t, a, b: F.when(2 * F.col(t) + F.col(a) + F.col(b) > 0, 2 * F.col(t) / (2 * F.col(t) + F.col(a) + F.col(b))).otherwise(0.0)
-    auc = _rank_counts(pred).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = _rank_counts(pred).agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return c.crossJoin(F.broadcast(auc)).select((100 * (F.col("tp") + F.col("tn")) / n).alias("accuracy"), "auc",  # one row each
+    return c.crossJoin(F.broadcast(auc)).select(F.try_divide(100 * (F.col("tp") + F.col("tn")), n).alias("accuracy"), "auc",  # one row each
                                                 ((f1("tp", "fp", "fn") + f1("tn", "fn", "fp")) / 2).alias("f1"))
 
 
 def regression_metrics(pred: DataFrame) -> DataFrame:
-    """(mape, explained_variance, r2) of (y, y_hat)."""
+    """(mape, explained_variance, r2) of (y, y_hat). The last two are null where y is constant."""
     y, e = F.col("y"), F.col("y") - F.col("y_hat")
-    return pred.agg(F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPSILON))).alias("mape"), (1 - F.var_pop(e) / F.var_pop(y)).alias("explained_variance"),
-                    (1 - F.avg(e * e) / F.var_pop(y)).alias("r2"))
+    return pred.agg(F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPSILON))).alias("mape"), (1 - F.try_divide(F.var_pop(e), F.var_pop(y))).alias("explained_variance"),
+                    (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"))
 
 
 def average_precision(pred: DataFrame) -> DataFrame:
-    """(ap): the sum of precision times gain in recall, over distinct scores from the top."""
+    """(ap): the sum of precision times gain in recall, over distinct scores from the top. Null without positives."""
     r = _rank_counts(pred)
     total = r.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     rows = r.crossJoin(F.broadcast(total)).withColumn("tp", F.col("p") - F.col("pos_below")).withColumn("fp", F.col("n") - F.col("neg_below"))
-    return rows.agg(F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
+    return rows.agg(F.sum(F.try_divide("pos", "p") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).alias("ap"))
 
 
 def _encoder(train: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
@@ -132,7 +135,7 @@ def rare_event_recall(split: DataFrame, syn: DataFrame, label: str, numeric: lis
         train = train.withColumn("_w", F.when(is_rare, balance.n / (2.0 * max(balance.r or 0, 1))).otherwise(balance.n / (2.0 * max(balance.n - (balance.r or 0), 1))))
         pred = train_classifier(train, test, is_rare, numeric, categorical, "forest", "_w")
         row = pred.filter("label = 1").agg(F.count("*").alias("n_rare"), F.sum((F.col("prob") >= 0.5).cast("bigint")).alias("n_hit")).select(
-            F.lit(arm).alias("arm"), "n_rare", "n_hit", (F.col("n_hit") / F.col("n_rare")).alias("recall"))
+            F.lit(arm).alias("arm"), "n_rare", "n_hit", F.try_divide("n_hit", "n_rare").alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -149,8 +152,8 @@ def detector(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: l
 def detector_importance(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], *, seed: int = 0) -> DataFrame:
     """(feature, weight): what the detector's AUC loses when a column is shuffled among the held-out rows.
 
-    A column is shuffled by giving each row the value of the row whose hash rank, in one of 64
-    slices of the hash, is its own under another seed. One model serves all columns.
+    A column is shuffled by giving each row the value of the row whose rank by one hash, in one of 256
+    slices of the rows, is its own by another hash: every row gets one. One model serves all columns.
     """
     both = real.withColumn("_syn", F.lit(False)).unionByName(syn.withColumn("_syn", F.lit(True)))
     values = impute_values(both, numeric, [])
@@ -160,8 +163,8 @@ def detector_importance(real: DataFrame, syn: DataFrame, numeric: list[str], cat
     enc = _encoder(train, numeric, categorical)
     model = CLASSIFIERS["forest"](0).fit(enc.transform(train))
     score = lambda df: _auc_row(model.transform(enc.transform(df)).select(F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("prob")))
-    slot = lambda s: (F.substring(hash_order(s, "row_key"), 1, 1), F.row_number().over(
-        Window.partitionBy(F.substring(hash_order(s, "row_key"), 1, 1)).orderBy(hash_order(s, "row_key"))))
+    part = F.substring(hash_order(seed + 1, "row_key"), 1, 2)
+    slot = lambda s: (part, F.row_number().over(Window.partitionBy(part).orderBy(hash_order(s, "row_key"), "row_key")))
     rows, base = None, score(test).withColumnRenamed("auc", "base")
     for c in [*numeric, *categorical]:
         a, b = slot(seed + 1), slot(seed + 2)

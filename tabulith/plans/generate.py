@@ -16,6 +16,10 @@ from tabulith.operators.encode import mode_arrays, mode_fit
 from tabulith.operators.sample import condition_tables, draw_conditions
 
 
+#: Stands between a class and a column or a category in a name.
+BETWEEN = "\x1f"
+
+
 @dataclass(frozen=True)
 class Sampler:
     """What :func:`fit_sampler` learned: tables with a row for each class, class and column, or category."""
@@ -32,13 +36,13 @@ class Sampler:
 def fit_sampler(real: DataFrame, label: str, numeric: list[str], categorical: list[str]) -> Sampler:
     """Class frequencies, and for each class the modes of its numbers and the frequencies of its categories."""
     wide = real.select(F.col(label).alias("_class"), *numeric)
-    long = wide.unpivot(["_class"], numeric, "name", "v").select(F.concat_ws("|", "_class", "name").alias("f"), "v")
-    names = [r.f for r in long.select("f").distinct().limit(10_000).collect()]  # classes times columns
-    per_class = real.select(*(F.when(F.col(label) == n.split("|")[0], F.col(n.split("|")[1])).alias(n) for n in names))
+    long = wide.unpivot(["_class"], numeric, "name", "v").select(F.concat_ws(BETWEEN, "_class", "name").alias("f"), "v")
+    names = [r.f for r in long.select("f").distinct().collect()]  # classes times columns
+    per_class = real.select(*(F.when(F.col(label) == n.split(BETWEEN)[0], F.col(n.split(BETWEEN)[1])).alias(n) for n in names))
     modes = mode_arrays(mode_fit(per_class, names))
-    cats = real.select(*(F.concat_ws("|", F.col(label), F.coalesce(c, F.lit("__MISSING__"))).alias(c) for c in categorical))
-    options = condition_tables(cats, categorical).select("feature", F.substring_index("category", "|", 1).alias("class"),
-                                                         F.substring_index("category", "|", -1).alias("category"), "n")
+    cats = real.select(*(F.concat_ws(BETWEEN, F.col(label), F.coalesce(c, F.lit("__MISSING__"))).alias(c) for c in categorical))
+    options = condition_tables(cats, categorical).select("feature", F.substring_index("category", BETWEEN, 1).alias("class"),
+                                                         F.substring_index("category", BETWEEN, -1).alias("category"), "n")
     row = real.agg(*(f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max)))).first()
     return Sampler(label, tuple(numeric), tuple(categorical), condition_tables(real, [label]), modes, options,
                    {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in numeric})
@@ -49,7 +53,7 @@ def _draw(s: Sampler, n: int, seed: int) -> DataFrame:
     rows = draw_conditions(spark, n, s.classes, [s.label], seed=seed).select("draw", F.col("category").alias(s.label))
     for k, c in enumerate(s.numeric):
         base = seed + 10 * (k + 1)
-        modes = s.modes.filter(F.substring_index("feature", "|", -1) == c).select(F.substring_index("feature", "|", 1).alias(s.label), "modes")
+        modes = s.modes.filter(F.substring_index("feature", BETWEEN, -1) == c).select(F.substring_index("feature", BETWEEN, 1).alias(s.label), "modes")
         rows = rows.join(F.broadcast(modes), s.label)  # a row for each class
         upto = F.transform("modes", lambda m: F.aggregate(F.filter("modes", lambda x: x["mode"] <= m["mode"]), F.lit(0.0), lambda a, x: a + x["weight"]))
         u0, u1, u2 = (uniform(base + i, "draw") for i in range(3))

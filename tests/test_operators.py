@@ -137,3 +137,39 @@ def test_detector_cannot_tell_halves_of_one_table_but_sees_a_shift(spark):
     auc = lambda x: utility.classification_metrics(utility.detector(half, x, ["a", "b"], [], model="tree")).first()["auc"]
     assert 0.35 < auc(other) < 0.65
     assert auc(other.withColumn("a", F.col("a") + 5)) > 0.95
+
+
+def test_constant_empty_and_one_class_inputs_give_null_not_errors(spark):
+    both = spark.createDataFrame([("real", 0, 1.0, 2.0, "a"), ("real", 0, 1.0, 3.0, "a"), ("syn", 1, None, 4.0, None)], "side string, run int, k double, v double, c string")
+    w = {r.feature: r.value for r in fidelity.wasserstein(both, ["k", "v"]).collect()}
+    assert w["k"] is None and w["v"] is not None
+    m = {(r.a, r.b): r.value for r in fidelity.association_matrix(both.filter("side = 'real'"), ["k"], ["c"], ["side"]).collect()}
+    assert m == {("c", "k"): None}
+    assert fidelity.association_matrix(both, ["k"], [], ["side"]).count() == 0 == fidelity.association_matrix(both, [], ["c"], ["side"]).count()
+    assert {(r.a, r.b) for r in fidelity.association_matrix(both, [], ["c", "side"], ["run"]).collect()} == {("c", "side")}
+    pred = spark.createDataFrame([(0, 0.2, 1.0, 1.5), (0, 0.7, 1.0, 0.5)], "label int, prob double, y double, y_hat double")
+    got = utility.classification_metrics(pred).first()
+    assert got.auc is None and got.accuracy == 50
+    assert utility.average_precision(pred).first().ap is None
+    assert utility.regression_metrics(pred).first().r2 is None
+    assert utility.classification_metrics(pred.limit(0)).first().accuracy is None
+    scaled = pred.select(encode.range_scale(F.col("y"), F.lit(1.0), F.lit(1.0)).alias("z")).first().z
+    assert scaled == 0.0
+    ledger = spark.createDataFrame([(0.01, 0.0, 1.0), (0.01, 1.0, 1.0)], "q double, noise_stddev double, l2_bound double")
+    assert {r.rdp for r in privacy.rdp_compose(ledger, [2, 4]).collect()} == {float("inf")}
+
+
+def test_many_categories_and_nearest_two_equal_brute_force(spark):
+    import numpy as np
+
+    rows = [(f"k{i}", float(i % 50), str(i % 300)) for i in range(1500)]
+    real = spark.createDataFrame(rows, "row_key string, v double, c string")
+    a, _ = privacy.privacy_vectors(real, real.limit(5), ["v"], ["c"])
+    assert len(a.first().vector) == 301
+    rng = np.random.RandomState(3)
+    x = rng.rand(300, 4)
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "row_key string, vector array<double>")
+    got = {r.row_key: (r.d1, r.d2) for r in privacy.nearest_two(df, df, exclude_self=True).collect()}
+    for i in range(300):
+        d = np.sort(np.delete(np.sqrt(((x - x[i]) ** 2).sum(1)), i))
+        assert np.allclose(got[f"k{i}"], d[:2])
