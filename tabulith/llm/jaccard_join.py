@@ -208,26 +208,24 @@ def _in_lists(rows: DataFrame) -> DataFrame:
 
 
 def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """As _in_lists, for lists of any length: a set asks for smaller ones, by classes of size that grow by a quarter.
+    """As _in_lists, for lists of any length: a set asks for others by classes of size that grow by a quarter.
 
-    The component with most nodes in a list doesn't ask for its own. So a large group of linked
-    copies meets only nodes that are not in it, and copies that have too many tokens
-    of their own meet none of its size.
+    The component with most nodes in a list doesn't ask: the others ask for its sets of any fitting
+    size, and among themselves for smaller ones. So a large group of linked copies is only
+    looked up, by nodes that are not in it, and copies that have too many tokens of
+    their own meet none of its size.
     """
     rows = scratch.table(rows, "combos")
     top = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("token", "top")
-    rows = rows.join(top, "token")
+    rows = rows.join(top, "token").withColumn("in_top", F.col("comp") == F.col("top")).drop("top")
     size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.25)).cast("int")
-    least = F.ceil(0.75 * F.col("n"))
-    ask = rows.withColumn("upto", F.least("n", "most")).filter(F.col("upto") >= least).select(
-        "*", F.explode(F.sequence(size(least), size(F.col("upto")))).alias("size")).select(
-        "*", F.explode(F.when(F.col("comp") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_top"))
-    ask = ask.drop("most", "top")
-    held = rows.filter("most >= n").select("token", size(F.col("n")).alias("size"), (F.col("comp") == F.col("top")).alias("in_top"),
-                                           *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "rare", "most")))
+    least, own, any_ = F.ceil(0.75 * F.col("n")), F.least("n", "most"), F.least(F.floor(4 * F.col("n") / 3), F.col("most"))
+    classes = lambda upto, of_top: F.transform(F.sequence(size(least), size(upto)), lambda c: F.struct(c.alias("size"), F.lit(of_top).alias("in_top")))
+    ask = rows.filter(~F.col("in_top") & (F.col("most") >= least)).drop("in_top").select("*", F.inline(F.concat(classes(own, False), classes(any_, True))))
+    held = rows.select("token", size(F.col("n")).alias("size"), "in_top", *(F.col(c).alias(f"{c}_b") for c in ("fp", "comp", "n", "rare", "most")))
     return _met(ask.join(held, ["token", "size", "in_top"]).filter(
-        "comp != comp_b AND n_b <= upto AND n <= most_b AND (n_b < n OR fp < fp_b)"))
+        "comp != comp_b AND n_b <= most AND n <= most_b AND 4L * n >= 3L * n_b AND 4L * n_b >= 3L * n AND (in_top OR n_b < n OR (n_b = n AND fp < fp_b))"))
 
 
 def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
