@@ -156,8 +156,8 @@ def _prune(lists: DataFrame, members: DataFrame) -> DataFrame:
     a node's tokens that others have. It is highest for a text that others are edited copies of.
     """
     sizes = members.groupBy("fp").agg(F.max("n").cast("int").alias("n"))
-    listed = lists.groupBy("fp").agg(F.count("*").alias("listed")).join(sizes, "fp").filter("listed >= 2 + floor(ceil(0.75 * n) / 16)")
-    some = lists.join(listed.select("fp", "n", (F.col("listed") / F.col("n")).alias("central")), "fp")
+    counted = lists.withColumn("listed", F.count("*").over(Window.partitionBy("fp"))).join(sizes, "fp")  # posted tokens of one text
+    some = counted.filter("listed >= 2 + floor(ceil(0.75 * n) / 16)").select("token", "fp", "pos", "n", (F.col("listed") / F.col("n")).alias("central"))
     return some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "token", "left_semi")
 
 
