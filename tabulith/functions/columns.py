@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 MISSING = "__MISSING__"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once; a column named inside a lambda may be inlined and computed for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def uniform(seed: int, key: Column | str) -> Column:
     """A number in [0, 1) from the first 52 bits of md5(seed|key): the same under any partitioning."""
     key = F.col(key) if isinstance(key, str) else key

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.functions.columns import canonical, or_missing, uniform
+from tabulith.functions.columns import canonical, let, or_missing, uniform
 
 
 def column_metadata(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -33,6 +33,26 @@ def category_slots(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.withColumn("slot", (F.row_number().over(rank) - 1).cast("int"))
 
 
+def slot_encode(long: DataFrame, slots: DataFrame) -> DataFrame:
+    """(.., feature, category) with ``hot``: 0/1 for each slot of the feature; zeros everywhere for unknown categories."""
+    sized = slots.select("feature", "category", "slot").join(slots.groupBy("feature").agg(F.count("*").cast("int").alias("n_slots")), "feature")
+    sizes = sized.select("feature", "n_slots").distinct()
+    found = long.join(F.broadcast(sizes), "feature").join(sized.drop("n_slots"), ["feature", "category"], "left")  # a row for each column
+    return found.withColumn("hot", _hot(F.col("slot"), F.col("n_slots"))).drop("slot", "n_slots")
+
+
+def slot_decode(encoded: DataFrame, slots: DataFrame) -> DataFrame:
+    """(.., feature, hot) with ``decoded``: the category of the greatest entry, the first of equals; null without one above 0."""
+    best = F.when(F.array_max("hot") > 0, F.array_position("hot", F.array_max("hot")).cast("int") - 1)
+    names = slots.select("feature", F.col("slot").alias("_slot"), F.col("category").alias("decoded"))
+    return encoded.withColumn("_slot", best).join(names, ["feature", "_slot"], "left").drop("_slot")
+
+
+def _hot(slot: Column, size: Column) -> Column:
+    """``size`` entries, 1 at ``slot`` and 0 elsewhere; a null slot has no 1."""
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce((i == slot).cast("int"), F.lit(0)))
+
+
 def log_apply(value: Column, least: Column) -> Column:
     """ln x for a positive minimum, ln(x + 1) for 0, ln(x - minimum + 1) below."""
     return F.when(least > 0, F.log(value)).when(least == 0, F.log(value + 1)).otherwise(F.log(value - least + 1))
@@ -56,6 +76,12 @@ def label_encode(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame
     return df.withColumn("_k", key).join(dictionary.select(F.col("category").alias("_k"), F.col("code").alias(f"{column}_code")), "_k", "left").drop("_k")
 
 
+def label_decode(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """Adds ``<column>_label`` for the codes in ``<column>_code``; codes that the dictionary lacks, and null, get null."""
+    names = dictionary.select(F.col("code").alias(f"{column}_code"), F.col("category").alias(f"{column}_label"))
+    return df.join(names, f"{column}_code", "left")
+
+
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """A 0/1 column for each of the fitted categories; unknown ones give zeros everywhere."""
     key = or_missing(canonical(F.col(column), dict(df.dtypes)[column]))
@@ -168,19 +194,25 @@ def mode_apply(long: DataFrame, arrays: DataFrame, *, key: str = "row_key", seed
     (value - mean) / (4 std), clipped to 0.99.
     """
     rows = long.join(F.broadcast(arrays), "feature")  # a row for each column
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     density = F.transform("modes", lambda m: m["weight"] / m["std"] * F.exp(-0.5 * F.pow((F.col("value") - m["mean"]) / m["std"], F.lit(2))))
-    rows = rows.withColumn("_p", density)
-    rows = rows.withColumn("_t", F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
-    rows = rows.withColumn("_p", F.transform("_p", lambda x: F.when(F.col("_t") > 0, x / F.col("_t")).otherwise(0.0) + 1e-6))
-    rows = rows.withColumn("_t", F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
-    rows = rows.withColumn("_u", uniform(seed, F.concat_ws("|", key, "feature")) * F.col("_t"))
-    before = F.transform("_p", lambda x, i: F.aggregate(F.slice(F.col("_p"), F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y))
-    rows = rows.withColumn("mode", F.least(F.size(F.filter(before, lambda c: c <= F.col("_u"))), F.size("modes") - 1).cast("int"))
+    shares = let(density, lambda p: let(total(p), lambda t: F.transform(p, lambda x: F.when(t > 0, x / t).otherwise(0.0) + 1e-6)))
+    draw = uniform(seed, F.concat_ws("|", key, "feature"))
+    passed = let(shares, lambda p: let(draw * total(p), lambda u: F.aggregate(  # modes whose running sum the draw passes
+        p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+        lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + (s["sum"] + x <= u).cast("int")).alias("n")), lambda s: s["n"])))
+    rows = rows.withColumn("mode", F.least(passed, F.size("modes") - 1).cast("int"))
     m = F.element_at("modes", F.col("mode") + 1)
     u = (F.col("value") - m["mean"]) / (4 * m["std"])
     return rows.select(key, "feature", "mode", F.greatest(F.lit(-0.99), F.least(F.lit(0.99), u)).alias("u"))
 
 
+def mode_one_hot(encoded: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(.., feature, mode) with ``hot``: 0/1 for each mode of the feature."""
+    sizes = arrays.select("feature", F.size("modes").alias("_n"))
+    return encoded.join(F.broadcast(sizes), "feature").withColumn("hot", _hot(F.col("mode"), F.col("_n"))).drop("_n")
+
+
 def mode_invert(encoded: DataFrame, arrays: DataFrame) -> DataFrame:
     """(.., feature, mode, u) with ``value`` = 4 std u + mean of the mode."""
     rows = encoded.join(F.broadcast(arrays), "feature")
@@ -203,6 +235,50 @@ def mixed_fit(df: DataFrame, modal: dict[str, tuple[float, ...]], **options) ->
     return mode_fit(rest, list(modal), **options)
 
 
+def mixed_apply(long: DataFrame, modal: dict[str, tuple[float, ...]], rest: DataFrame, whole: DataFrame, *, key: str = "row_key", seed: int = 0) -> DataFrame:
+    """(key, feature, value) to (key, feature, slot, u): point masses have the first slots, the modes of ``rest`` those after.
+
+    A point mass is scaled by the nearest mode (least distance to its mean, the first of equals) of ``whole``, the
+    mixture over all values; other values as in :func:`mode_apply`. Both are mode arrays. Null values give no row.
+    """
+    split = mixed_split(long.filter("value IS NOT NULL"), modal)
+    modes = mode_apply(split.filter("point IS NULL").drop("point"), rest, key=key, seed=seed)
+    nearest = F.array_min(F.transform("modes", lambda m: F.struct(F.abs(F.col("value") - m["mean"]).alias("far"), m["mode"].alias("mode"),
+                                                                 m["mean"].alias("mean"), m["std"].alias("std"))))
+    points = split.filter("point IS NOT NULL").join(F.broadcast(whole), "feature").withColumn("_m", nearest)
+    u = (F.col("value") - F.col("_m.mean")) / (4 * F.col("_m.std"))
+    points = points.select(key, "feature", F.col("point").alias("slot"), F.greatest(F.lit(-0.99), F.least(F.lit(0.99), u)).alias("u"))
+    return points.unionByName(modes.select(key, "feature", (F.col("mode") + _points(modal)).cast("int").alias("slot"), "u"))
+
+
+def mixed_invert(encoded: DataFrame, modal: dict[str, tuple[float, ...]], rest: DataFrame) -> DataFrame:
+    """(.., feature, slot, u) with ``value``: the point mass of its slot, or 4 std u + mean of the mode."""
+    point = F.lit(None).cast("double")
+    for c, values in modal.items():
+        for i, v in enumerate(values):
+            point = F.when((F.col("feature") == c) & (F.col("slot") == i), F.lit(float(v))).otherwise(point)
+    m = F.get("modes", F.col("slot") - _points(modal))
+    return encoded.join(F.broadcast(rest), "feature").withColumn("value", F.coalesce(point, F.col("u") * 4 * m["std"] + m["mean"])).drop("modes")
+
+
+def _points(modal: dict[str, tuple[float, ...]]) -> Column:
+    """How many point masses the row's feature has."""
+    n = F.lit(0)
+    for c, values in modal.items():
+        n = F.when(F.col("feature") == c, len(values)).otherwise(n)
+    return n
+
+
+def mode_permute(encoded: DataFrame, order: DataFrame) -> DataFrame:
+    """(.., feature, mode) with ``mode`` replaced by its slot in the stored ``order`` of :func:`mode_reorder`; null if it has none."""
+    return encoded.join(F.broadcast(order.select("feature", "mode", "slot")), ["feature", "mode"], "left").drop("mode")
+
+
+def mode_restore(permuted: DataFrame, order: DataFrame) -> DataFrame:
+    """The inverse: (.., feature, slot) with the mode that has this slot."""
+    return permuted.join(F.broadcast(order.select("feature", "mode", "slot")), ["feature", "slot"], "left").drop("slot")
+
+
 def mode_reorder(encoded: DataFrame) -> DataFrame:
     """(feature, mode, slot): slots of the modes in descending use, ties by mode. Computed once, when fitting."""
     rank = Window.partitionBy("feature").orderBy(F.desc("n"), "mode")

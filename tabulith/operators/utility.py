@@ -18,16 +18,38 @@ from tabulith.operators.profile import rare_class, weighted_rollup
 EPSILON = 2.220446049250313e-16
 
 
-def _rank_counts(pred: DataFrame, parts: int = 256) -> DataFrame:
-    """(score, pos, neg, pos_upto, neg_upto): counts of each distinct score and of scores below it, in two passes."""
-    by = pred.groupBy(F.col("prob").alias("score")).agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.sum(1 - F.col("label").cast("bigint")).alias("neg"))
+def _rank_counts(pred: DataFrame, parts: int = 256, by_class: list[str] | None = None) -> DataFrame:
+    """(score, pos, neg, pos_below, neg_below): counts of each distinct score and of scores below it, in two passes; for each ``by_class``."""
+    own = by_class or []
+    by = pred.groupBy(*own, F.col("prob").alias("score")).agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.sum(1 - F.col("label").cast("bigint")).alias("neg"))
     by = by.withColumn("part", F.floor(F.col("score") * parts))
-    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    sums = by.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # at most parts + 1 rows
-    order = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("part", F.coalesce(F.sum("p").over(order), F.lit(0)).alias("pb"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("nb"))
+    inside = Window.partitionBy(*own, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy(*own, "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # at most parts + 1 rows a class
+    order = Window.partitionBy(*(own or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*own, "part", F.coalesce(F.sum("p").over(order), F.lit(0)).alias("pb"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("nb"))
     rows = by.withColumn("pi", F.coalesce(F.sum("pos").over(inside), F.lit(0))).withColumn("ni", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    return rows.join(F.broadcast(sums), "part").select("score", "pos", "neg", (F.col("pi") + F.col("pb")).alias("pos_below"), (F.col("ni") + F.col("nb")).alias("neg_below"))
+    return rows.join(F.broadcast(sums), [*own, "part"]).select(*own, "score", "pos", "neg", (F.col("pi") + F.col("pb")).alias("pos_below"), (F.col("ni") + F.col("nb")).alias("neg_below"))
+
+
+def multiclass_metrics(pred: DataFrame, key: str = "row_id") -> DataFrame:
+    """(accuracy, auc, f1) of (key, class, truth, prob), a row for each key and class: percent right, AUC and F1 weighted by support.
+
+    The class of greatest probability is the guess (ties: the first by name). AUC is one class against the rest,
+    exact with ties as halves, over the classes that have rows of both kinds. All are null without rows.
+    """
+    rows = pred.withColumn("label", (F.col("class") == F.col("truth")).cast("int"))
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
+    aucs = _rank_counts(rows, by_class=["class"]).groupBy("class").agg(area.alias("a"), F.sum("pos").alias("s"))
+    auc = aucs.filter("a IS NOT NULL").agg(F.try_divide(F.sum(F.col("a") * F.col("s")), F.sum("s")).alias("auc"))
+    guess = pred.groupBy(key).agg(F.min_by("class", F.struct(-F.col("prob"), F.col("class"))).alias("guess"), F.first("truth").alias("truth"))  # one truth a key
+    cells = guess.groupBy("guess", "truth").agg(F.count("*").alias("n"))  # a row for each pair of classes
+    hit = F.when(F.col("guess") == F.col("truth"), F.col("n")).otherwise(0)
+    sides = cells.select(F.col("truth").alias("class"), F.col("n").alias("support"), F.lit(0).alias("guessed"), hit.alias("hit")).unionByName(
+        cells.select(F.col("guess").alias("class"), F.lit(0).alias("support"), F.col("n").alias("guessed"), F.lit(0).alias("hit")))
+    per = sides.groupBy("class").agg(*(F.sum(c).alias(c) for c in ("support", "guessed", "hit")))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hit"), F.col("support") + F.col("guessed")), F.lit(0.0))
+    return per.agg(F.try_divide(100 * F.sum("hit"), F.sum("support")).alias("accuracy"), F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("f1")).crossJoin(
+        F.broadcast(auc)).select("accuracy", "auc", "f1")  # one row each
 
 
 def classification_metrics(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -110,9 +132,10 @@ def train_regressor(train: DataFrame, test: DataFrame, target: str, numeric: lis
 
 
 def utility_gap(split: DataFrame, syn: DataFrame, label: F.Column, numeric: list[str], categorical: list[str], models: list[str]) -> DataFrame:
-    """(model, run, accuracy, auc, f1): trained on real (run 0) and on each synthetic run, all tested on the same held-out real rows.
+    """(model, run, accuracy, auc, f1, gap_accuracy, gap_auc, gap_f1): trained on real (run 0) and on each synthetic run, all tested on the same held-out real rows.
 
     ``split`` is the real table with ``part``; its test rows must be unknown to the generator.
+    A gap is what the model trained on real rows has more than this one; 0 for run 0.
     """
     test, out = split.filter("part = 'test'"), None
     runs = [r.run for r in syn.select("run").distinct().orderBy("run").collect()]  # a row for each file
@@ -122,7 +145,8 @@ def utility_gap(split: DataFrame, syn: DataFrame, label: F.Column, numeric: list
             row = classification_metrics(train_classifier(train, test, label, numeric, categorical, m)).select(
                 F.lit(m).alias("model"), F.lit(run).cast("int").alias("run"), "*")
             out = row if out is None else out.unionByName(row)
-    return out
+    real = F.max_by(F.struct("accuracy", "auc", "f1"), F.when(F.col("run") == 0, 1)).over(Window.partitionBy("model"))  # a row for each run
+    return out.withColumn("_real", real).select("model", "run", "accuracy", "auc", "f1", *((F.col(f"_real.{c}") - F.col(c)).alias(f"gap_{c}") for c in ("accuracy", "auc", "f1")))
 
 
 def rare_event_recall(split: DataFrame, syn: DataFrame, label: str, numeric: list[str], categorical: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.functions.columns import round_half_even, to_numeric, uniform
+from tabulith.functions.columns import or_missing, round_half_even, to_numeric, uniform
 from tabulith.operators import clean, encode, fidelity, privacy, profile, sample, utility
 from tabulith.sources import tables as t
 from tabulith.sources.tables import CATEGORIES, NUMERIC, ledger, pair, predictions
@@ -41,7 +41,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def on_pair(select: str, **ctes: str) -> str:
     """SQL over the pair fixture, with further common tables."""
-    parts = "".join(f", {name} AS ({sql})" for name, sql in ctes.items())
+    parts = "".join(f", {name} AS MATERIALIZED ({sql})" for name, sql in ctes.items())
     return f"WITH pair AS ({t.PAIR_SQL}){parts} {select}"
 
 
@@ -271,6 +271,13 @@ def d3(spark, d):
     return clean.target_last(encode.label_encode(p, "flag", F.broadcast(encode.label_dictionary(p, "flag"))), "flag_code")
 
 
+@query("d3_label_decode", on_pair("SELECT row_key, CAST(dense_rank() OVER (ORDER BY coalesce(flag, '__MISSING__')) - 1 AS INT) AS flag_code, coalesce(flag, '__MISSING__') AS flag_label FROM pair"))
+def d3b(spark, d):
+    p = pair(spark, d).select("row_key", "flag")
+    known = encode.label_dictionary(p, "flag")
+    return encode.label_decode(encode.label_encode(p, "flag", known).drop("flag"), "flag", known).select("row_key", "flag_code", "flag_label")
+
+
 @query("d4_integer_round", on_pair("SELECT row_key, round_even(qty / 2, 0) AS half FROM pair"))
 def d4(spark, d):
     return pair(spark, d).select("row_key", round_half_even(F.col("qty") / 2).alias("half"))
@@ -344,6 +351,12 @@ def d11(spark, d):
     return rounded(encode.mode_invert(encoded_pair(spark, d), encode.mode_arrays(fixed_modes(spark))).select("row_key", "feature", "mode", "u", "value"))
 
 
+@query("d10_mode_one_hot", on_pair("SELECT row_key, feature, CASE mode WHEN 0 THEN '10' ELSE '01' END AS hot FROM enc", **_ENC))
+def d10b(spark, d):
+    hot = encode.mode_one_hot(encoded_pair(spark, d), encode.mode_arrays(fixed_modes(spark)))
+    return hot.select("row_key", "feature", F.array_join("hot", "").alias("hot"))
+
+
 @query("d12_mixed_fit")
 def d12(spark, d):
     return rounded(encode.mixed_fit(pair(spark, d).filter("side = 'real'"), {"disc": (0.0,), "capped": (40.0,)}))
@@ -356,6 +369,43 @@ def d12b(spark, d):
     return encode.mixed_split(long, {"disc": (0.0,), "capped": (40.0,)}).groupBy("feature", "point").agg(F.count("*").alias("n"))
 
 
+#: Point masses of the mixed columns; their other values use FIXED_MODES, which also stand in for the mixture over all values.
+MODAL = {"disc": (0.0, 0.05), "qty": (10.0,)}
+_POINT = "CASE WHEN feature = 'disc' AND v = 0 THEN 0 WHEN feature = 'disc' AND v = 0.05 THEN 1 WHEN feature = 'qty' AND v = 10 THEN 0 END"
+_FIRST = "CASE feature WHEN 'disc' THEN 2 ELSE 1 END"
+_MIXED = dict(_ENC, near="SELECT row_key, feature, v, arg_min(mu, abs(v - mu)) AS mu, arg_min(sd, abs(v - mu)) AS sd FROM num JOIN modes USING (feature) GROUP BY row_key, feature, v",
+              mixed=f"SELECT row_key, feature, CASE WHEN {_POINT} IS NULL THEN mode + {_FIRST} ELSE {_POINT} END AS slot, CASE WHEN {_POINT} IS NULL THEN u "
+                    f"ELSE greatest(-0.99, least(0.99, (v - mu) / (4 * sd))) END AS u, {_POINT} AS point, v FROM enc JOIN near USING (row_key, feature)")
+
+
+def mixed_pair(spark, d):
+    long = pair(spark, d).unpivot(["row_key"], ["disc", "qty"], "feature", "value").select("row_key", "feature", F.col("value").cast("double").alias("value"))
+    arrays = encode.mode_arrays(fixed_modes(spark))
+    return encode.mixed_apply(long, MODAL, arrays, arrays, seed=5)
+
+
+@query("d12_mixed_apply", on_pair("SELECT row_key, feature, CAST(slot AS INT) AS slot, round(u, 6) AS u FROM mixed", **_MIXED))
+def d12c(spark, d):
+    return rounded(mixed_pair(spark, d))
+
+
+@query("d12_mixed_invert", on_pair(f"SELECT row_key, feature, CAST(slot AS INT) AS slot, round(CASE WHEN point IS NULL THEN u * 4 * sd + mu ELSE v END, 6) AS value "
+                                   f"FROM mixed LEFT JOIN (SELECT feature, mode + {_FIRST} AS slot, mu, sd FROM modes) USING (feature, slot)", **_MIXED))
+def d12d(spark, d):
+    back = encode.mixed_invert(mixed_pair(spark, d), MODAL, encode.mode_arrays(fixed_modes(spark)))
+    return rounded(back.select("row_key", "feature", "slot", "value"))
+
+
+@query("d13_one_hot_and_back", on_pair("SELECT row_key, feature, category AS decoded, repeat('0', slot) || '1' || repeat('0', CAST(n_slots - slot - 1 AS INT)) AS hot FROM cat JOIN "
+                                       "(SELECT *, count(*) OVER (PARTITION BY feature) AS n_slots FROM slots) USING (feature, category)", cat=LONG_CAT, slots=SLOTS))
+def d13b(spark, d):
+    p = pair(spark, d)
+    slots = encode.category_slots(p, CAT)
+    long = p.select("row_key", *(or_missing(F.col(c)).alias(c) for c in CAT)).unpivot(["row_key"], CAT, "feature", "category")
+    back = encode.slot_decode(encode.slot_encode(long, slots).drop("category"), slots)
+    return back.select("row_key", "feature", "decoded", F.array_join("hot", "").alias("hot"))
+
+
 @query("d13_category_slots", on_pair(SLOTS, cat=LONG_CAT))
 def d13(spark, d):
     return encode.category_slots(pair(spark, d), CAT)
@@ -366,6 +416,15 @@ def d14(spark, d):
     return encode.mode_reorder(encoded_pair(spark, d))
 
 
+@query("d14_permute_and_back", on_pair("SELECT row_key, feature, mode, slot FROM pick JOIN (SELECT feature, mode, CAST(row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, mode) - 1 AS INT) AS slot "
+                                       "FROM pick GROUP BY feature, mode) USING (feature, mode)", **_ENC))
+def d14b(spark, d):
+    encoded = encoded_pair(spark, d)
+    order = encode.mode_reorder(encoded)
+    permuted = encode.mode_permute(encoded, order).withColumn("kept", F.col("slot"))
+    return encode.mode_restore(permuted, order).select("row_key", "feature", "mode", F.col("kept").alias("slot"))
+
+
 @query("d15_reject_out_of_range", on_pair("SELECT count(*) AS n_rows, count(*) FILTER (NOT (qty BETWEEN 1 AND 50 AND coalesce(price BETWEEN 0 AND 90000, true))) AS n_rejected FROM pair"))
 def d15(spark, d):
     return encode.reject_out_of_range(pair(spark, d), {"qty": (1.0, 50.0), "price": (0.0, 90000.0)})[1]
@@ -701,6 +760,24 @@ def i3(spark, d):
     return rounded(utility.classification_metrics(predictions(spark, d)))
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+_MULTI = "WITH m AS (" + " UNION ALL ".join(f"SELECT event_id AS row_id, '{c}' AS class, event_type AS truth, CAST((event_id * {31 + 6 * i}) % 101 AS DOUBLE) / 100 + CASE WHEN event_type = '{c}' THEN 0.25 ELSE 0 END AS prob FROM events"
+                                            for i, c in enumerate(EVENT_TYPES)) + ")"
+
+
+@query("i3_multiclass_metrics", _MULTI + ", r AS (SELECT class, truth, rank() OVER (PARTITION BY class ORDER BY prob) + (count(*) OVER (PARTITION BY class, prob) - 1) / 2.0 AS rk FROM m), "
+       "a AS (SELECT class, CAST(count(*) FILTER (class = truth) AS DOUBLE) AS s, (sum(rk) FILTER (class = truth) - s * (s + 1) / 2) / (s * (count(*) - s)) AS auc FROM r GROUP BY class), "
+       "g AS (SELECT row_id, truth, class AS guess FROM m QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY prob DESC, class) = 1), "
+       "f AS (SELECT class, (SELECT count(*) FROM g WHERE truth = class) AS s, (SELECT count(*) FROM g WHERE guess = class) AS q, (SELECT count(*) FROM g WHERE guess = class AND truth = class) AS h FROM a) "
+       "SELECT round(100.0 * (SELECT sum(h) / sum(s) FROM f), 6) AS accuracy, round((SELECT sum(auc * s) / sum(s) FROM a), 6) AS auc, round((SELECT sum(2.0 * h / (s + q) * s) / sum(s) FROM f), 6) AS f1")
+def i3b(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("event_id").alias("row_id"), F.col("event_type").alias("truth"), F.inline(F.array(*(F.struct(
+        F.lit(c).alias("class"), (((F.col("event_id") * (31 + 6 * i)) % 101).cast("double") / 100 + F.when(F.col("event_type") == c, 0.25).otherwise(0.0)).alias("prob"))
+        for i, c in enumerate(EVENT_TYPES)))))
+    return rounded(utility.multiclass_metrics(rows))
+
+
 @query("i4_regression_metrics", _PRED + " SELECT round(avg(abs(y - y_hat) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape, round(1 - var_pop(y - y_hat) / var_pop(y), 6) AS explained_variance, round(1 - avg((y - y_hat) ** 2) / var_pop(y), 6) AS r2 FROM pred")
 def i4(spark, d):
     return rounded(utility.regression_metrics(predictions(spark, d)))
