@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, or_missing
-from tabulith.operators.profile import null_count, null_profile
+from tabulith.operators.profile import exact_quantiles, null_count, null_profile
 
 #: Sentinels of exported tables. Inside the library a missing value is always null.
 NUMBER_SENTINEL, CATEGORY_SENTINEL = -9999999.0, "empty"
@@ -101,8 +101,8 @@ def missing_category(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_values(train: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, object]:
     """Medians and most frequent categories (ties: the smaller) of the training rows."""
-    row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in numeric)).first() if numeric else None
-    out: dict[str, object] = {c: row[c] for c in numeric}
+    medians = exact_quantiles(train, numeric, [0.5]).collect() if numeric else []  # a row for each column
+    out: dict[str, object] = {r["feature"]: r["quantiles"][0] if r["quantiles"] else None for r in medians}
     for c in categorical:  # one row comes back
         top = train.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
         out[c] = top[0] if top else None

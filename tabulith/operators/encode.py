@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, let, or_missing, uniform
+from tabulith.operators.profile import exact_quantiles
 
 
 def column_metadata(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -129,8 +130,7 @@ def reject_out_of_range(df: DataFrame, bounds: dict[str, tuple[float, float]]) -
 def quantile_edges(real: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """(feature, edges): the distinct quantiles of each column, linearly interpolated and exact."""
     steps = [i / bins for i in range(bins + 1)]
-    one = real.agg(*(F.array_distinct(F.percentile(c, steps)).alias(c) for c in columns))
-    return one.unpivot([], columns, "feature", "edges")
+    return exact_quantiles(real, columns, steps).select("feature", F.array_distinct("quantiles").alias("edges"))
 
 
 def bin_by_edges(value: Column, edges: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.columns import or_missing
 from tabulith.operators.encode import bin_by_edges, quantile_edges
-from tabulith.operators.profile import metric_summary, value_distribution
+from tabulith.operators.profile import exact_quantiles, metric_summary, value_distribution
 
 #: Sets of one grouping-sets query.
 SETS_AT_ONCE = 40
@@ -70,7 +70,7 @@ def tail_divergence(both: DataFrame, columns: list[str], *, tau: float = 0.9, gr
     grid cells and only these are summed, so nothing is sorted.
     """
     real = both.filter("side = 'real'")
-    edge = real.agg(*(F.struct(F.percentile(c, tau).alias("q"), F.max(c).alias("top")).alias(c) for c in columns)).unpivot([], columns, "feature", "e").select("feature", "e.*")
+    edge = exact_quantiles(real, columns, [tau, 1.0]).select("feature", F.col("quantiles")[0].alias("q"), F.col("quantiles")[1].alias("top"))
     long = both.select("side", "run", *columns).unpivot(["side", "run"], columns, "feature", "v").filter("v IS NOT NULL").join(F.broadcast(edge), "feature")
     step = (F.col("top") - F.col("q")) / (grid - 1)
     cell = F.when(F.col("top") > F.col("q"), F.greatest(F.lit(0), F.ceil(F.round((F.col("v") - F.col("q")) / step, 9)))).otherwise(0).cast("int")

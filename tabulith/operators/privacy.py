@@ -107,6 +107,17 @@ def privacy_report(real: DataFrame, syn: DataFrame, numeric: list[str], categori
     return out.withColumn("fraction", F.lit(fraction).cast("double"))
 
 
+def combine_noise(sources: DataFrame, key: str = "step_id") -> DataFrame:
+    """(key, q, noise_stddev, l2_bound) for steps with a row for each source of noise: one row a step, of bound 1.
+
+    Sources of one step count as one: its inverse square noise multiplier is the sum of theirs.
+    A source without noise leaves the step without.
+    """
+    z = F.col("noise_stddev") / F.col("l2_bound")
+    whole = F.when(F.min(z) > 0, 1 / F.sqrt(F.sum(F.try_divide(F.lit(1.0), z * z)))).otherwise(0.0)
+    return sources.groupBy(key, "q").agg(whole.alias("noise_stddev"), F.lit(1.0).alias("l2_bound"))
+
+
 def rdp_compose(ledger: DataFrame, orders: list[int]) -> DataFrame:
     """(alpha, rdp): Renyi differential privacy of a ledger (q, noise_stddev, l2_bound) at integer orders.
 
@@ -139,5 +150,5 @@ def privacy_spent(rdp: DataFrame, *, delta: float | None = None, epsilon: float
     if delta is not None:
         eps = F.col("rdp") - F.log(F.lit(delta)) / (F.col("alpha") - 1)
         return rdp.agg(F.min(eps).alias("epsilon"), F.min_by("alpha", eps).alias("best_alpha")).select("epsilon", F.lit(delta).alias("delta"), "best_alpha")
-    d = F.exp((F.col("rdp") - epsilon) * (F.col("alpha") - 1))
-    return rdp.agg(F.least(F.lit(1.0), F.min(d)).alias("delta"), F.min_by("alpha", d).alias("best_alpha")).select(F.lit(epsilon).alias("epsilon"), "delta", "best_alpha")
+    x = (F.col("rdp") - epsilon) * (F.col("alpha") - 1)
+    return rdp.agg(F.exp(F.least(F.lit(0.0), F.min(x))).alias("delta"), F.min_by("alpha", x).alias("best_alpha")).select(F.lit(epsilon).alias("epsilon"), "delta", "best_alpha")

@@ -42,6 +42,11 @@ def rows_with_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.agg(F.count("*").alias("n_rows"), F.sum(hit).alias("n_with_null"), F.round(100.0 * F.sum(hit) / F.count("*"), 6).alias("pct"))
 
 
+def sample_with_null(df: DataFrame, key: str, n: int, columns: list[str] | None = None) -> DataFrame:
+    """The ``n`` rows of least key that have a missing cell, with ``n_missing``: a look at them, as the count is :func:`rows_with_null`."""
+    return df.withColumn("n_missing", null_count(df, columns)).filter("n_missing > 0").orderBy(key).limit(n)
+
+
 def peek(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """First and last ``n`` rows by a key, with ``at``: 'head' or 'tail'."""
     return df.orderBy(key).limit(n).withColumn("at", F.lit("head")).unionByName(
@@ -102,6 +107,24 @@ def running_counts(df: DataFrame, columns: list[str], by: list[str] | None = Non
         *by, "feature", "value", "n", (F.col("_in") + F.col("_before")).alias("upto"), "total")
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(feature, quantiles): exact quantiles of each column, interpolated linearly between neighbours; null without values.
+
+    The ranks come from :func:`running_counts`, and only the two values next to each quantile are
+    gathered, so no task holds the distinct values of a column.
+    """
+    counts = running_counts(df, columns)
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for i, p in enumerate(shares)))
+    here = lambda at: (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))
+    near = counts.select("feature", "value", "n", "upto", F.inline(F.filter(wanted, lambda w: here(F.floor(w["at"])) | here(F.ceil(w["at"])))))
+    two = near.groupBy("feature", "i").agg(F.max(F.when(here(F.floor("at")), F.col("value"))).alias("a"), F.max(F.when(here(F.ceil("at")), F.col("value"))).alias("b"),
+                                           F.max(F.col("at") - F.floor("at")).alias("over"))  # two rows at most
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("over"))
+    found = two.select("feature", F.struct("i", value.alias("v")).alias("q")).groupBy("feature").agg(F.array_sort(F.collect_list("q"))["v"].alias("quantiles"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(found, "feature", "left")
+
+
 def ecdf(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, feature, value, f): the share of values up to each value."""
     return running_counts(df, columns, by).withColumn("f", F.col("upto") / F.col("total"))

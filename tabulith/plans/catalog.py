@@ -186,6 +186,11 @@ def c3(spark, d):
     return profile.rows_with_null(pair(spark, d), PROFILED)
 
 
+@query("c3_sample_rows", on_pair(f"SELECT row_key, price, flag, CAST({NULLS} AS INT) AS n_missing FROM pair WHERE {NULLS} > 0 ORDER BY row_key LIMIT 20"))
+def c3b(spark, d):
+    return profile.sample_with_null(pair(spark, d), "row_key", 20, PROFILED).select("row_key", "price", "flag", "n_missing")
+
+
 @query("c4_filter_by_null_count", on_pair(f"SELECT row_key, qty FROM pair WHERE {NULLS} <= 0"))
 def c4(spark, d):
     return clean.filter_by_null_count(pair(spark, d), PROFILED, min_present=len(PROFILED)).select("row_key", "qty")
@@ -742,12 +747,25 @@ def h6(spark, d):
     return rounded(privacy.rdp_compose(ledger(spark, d), ALPHAS))
 
 
+@query("h6_combined_noise", "SELECT o_orderkey AS step_id, round(1 / sqrt(1 / z ** 2 + 1 / (2 * z) ** 2), 6) AS noise_stddev FROM "
+       "(SELECT o_orderkey, 1 + CAST(o_orderkey % 10 AS DOUBLE) / 10 AS z FROM orders)")
+def h6b(spark, d):
+    steps = ledger(spark, d)
+    both = steps.unionByName(steps.withColumn("noise_stddev", F.col("noise_stddev") * 2))
+    return rounded(privacy.combine_noise(both).select("step_id", "noise_stddev"))
+
+
 @query("h7_privacy_spent", _RDP + "SELECT round(min(rdp - ln(1e-5) / (alpha - 1)), 6) AS epsilon, CAST(1e-5 AS DOUBLE) AS delta, arg_min(alpha, rdp - ln(1e-5) / (alpha - 1)) AS best_alpha FROM rdp")
 def h7(spark, d):
     out = privacy.privacy_spent(privacy.rdp_compose(ledger(spark, d), ALPHAS), delta=1e-5)
     return out.withColumn("epsilon", F.round("epsilon", 6))
 
 
+@query("h7_delta_of_epsilon", _RDP + "SELECT CAST(4000 AS DOUBLE) AS epsilon, round(exp(least(0, min((rdp - 4000) * (alpha - 1)))), 6) AS delta, arg_min(alpha, (rdp - 4000) * (alpha - 1)) AS best_alpha FROM rdp")
+def h7b(spark, d):
+    return rounded(privacy.privacy_spent(privacy.rdp_compose(ledger(spark, d), ALPHAS), epsilon=4000.0))
+
+
 # ---- I: utility ----------------------------------------------------------------------------
 
 _PRED = f"WITH pred AS ({t.PREDICTIONS_SQL})"

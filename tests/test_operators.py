@@ -173,3 +173,50 @@ def test_many_categories_and_nearest_two_equal_brute_force(spark):
     for i in range(300):
         d = np.sort(np.delete(np.sqrt(((x - x[i]) ** 2).sum(1)), i))
         assert np.allclose(got[f"k{i}"], d[:2])
+
+
+def test_quantiles_of_ties_nulls_and_constants(spark):
+    import numpy as np
+
+    values = [1.0, 1.0, 2.0, None, 5.0, 100.0, None]
+    df = spark.createDataFrame([(v, 3.0, None) for v in values], "a double, b double, c double")
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.feature: r.quantiles for r in profile.exact_quantiles(df, ["a", "b", "c"], shares).collect()}
+    assert np.allclose(got["a"], np.quantile([v for v in values if v is not None], shares))
+    assert got["b"] == [3.0] * 5 and got["c"] is None
+    assert {r.feature: r.quantiles for r in profile.exact_quantiles(df.limit(0), ["a"], shares).collect()} == {"a": None}
+
+
+def test_slots_and_labels_of_unknown_categories(spark):
+    fit = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "c string")
+    slots = encode.category_slots(fit, ["c"])
+    long = spark.createDataFrame([(1, "c", "x"), (2, "c", "new"), (3, "c", None)], "k int, feature string, category string")
+    back = {r.k: (r.hot, r.decoded) for r in encode.slot_decode(encode.slot_encode(long, slots), slots).collect()}
+    assert back == {1: ([1, 0, 0], "x"), 2: ([0, 0, 0], None), 3: ([0, 0, 0], None)}
+    codes = encode.label_dictionary(fit, "c")
+    rows = spark.createDataFrame([(0,), (9,), (None,)], "c_code int")
+    assert sorted(((r.c_code, r.c_label) for r in encode.label_decode(rows, "c", codes).collect()), key=str) == [(0, "__MISSING__"), (9, None), (None, None)]
+
+
+def test_mixed_values_come_back(spark):
+    modal = {"a": (0.0, 7.0)}
+    modes = spark.createDataFrame([("a", 0, 0.5, 10.0, 2.0), ("a", 1, 0.5, 50.0, 5.0)], encode.MODES)
+    arrays = encode.mode_arrays(modes)
+    long = spark.createDataFrame([("p", "a", 0.0), ("q", "a", 7.0), ("r", "a", 11.0), ("s", "a", 52.0), ("t", "a", None)], "row_key string, feature string, value double")
+    there = encode.mixed_apply(long, modal, arrays, arrays)
+    slots = {r.row_key: (r.slot, round(r.u, 6)) for r in there.collect()}
+    assert slots["p"] == (0, -0.99) and slots["q"] == (1, -0.375) and slots["r"][0] == 2 and slots["s"][0] == 3 and "t" not in slots
+    back = {r.row_key: round(r.value, 6) for r in encode.mixed_invert(there, modal, arrays).collect()}
+    assert back == {"p": 0.0, "q": 7.0, "r": 11.0, "s": 52.0}
+    assert encode.mixed_apply(long.limit(0), modal, arrays, arrays).count() == 0
+
+
+def test_metrics_of_one_class_and_no_rows(spark):
+    one = spark.createDataFrame([(1, "a", "a", 0.9), (1, "b", "a", 0.1), (2, "a", "a", 0.5), (2, "b", "a", 0.5)], "row_id int, class string, truth string, prob double")
+    assert tuple(utility.multiclass_metrics(one).first()) == (100.0, None, 1.0)
+    assert tuple(utility.multiclass_metrics(one.limit(0)).first()) == (None, None, None)
+
+
+def test_noise_sources_of_a_step(spark):
+    steps = spark.createDataFrame([(1, 0.1, 3.0, 1.0), (1, 0.1, 4.0, 1.0), (2, 0.1, 2.0, 2.0), (3, 0.1, 0.0, 1.0), (3, 0.1, 1.0, 1.0)], "step_id int, q double, noise_stddev double, l2_bound double")
+    assert {r.step_id: round(r.noise_stddev, 6) for r in privacy.combine_noise(steps).collect()} == {1: 2.4, 2: 1.0, 3: 0.0}
