@@ -110,6 +110,28 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, count: str, tot
     return out.select(*[left[c] for c in left.columns], *[got[c].alias(c) for c in names])
 
 
+#: Bits of a screen; at most 16 MiB are broadcast, whatever the input.
+SCREEN_LOG2 = 27
+#: Bits of one row of a screen, as the bitmap functions have it.
+SCREEN_ROW = 32768
+
+
+def screen_of(keys: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits): a bitmap of 2^SCREEN_LOG2 bits, with that of each key's hash set."""
+    at = F.pmod(F.xxhash64(key), F.lit(1 << SCREEN_LOG2))
+    return keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / SCREEN_ROW).cast("int").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("at") % SCREEN_ROW).alias("bits"))
+
+
+def screened(rows: DataFrame, key: str, screen: DataFrame) -> DataFrame:
+    """The rows whose key may be one of the screen's: all that are, and of the others a share that grows with the keys."""
+    at = F.pmod(F.xxhash64(key), F.lit(1 << SCREEN_LOG2))
+    bit = F.col("_at") % SCREEN_ROW
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_at", at).join(F.broadcast(screen), F.floor(F.col("_at") / SCREEN_ROW).cast("int") == F.col("bucket"))
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 # ---- helpers that run inside Arrow tasks -------------------------------------------------
 
 

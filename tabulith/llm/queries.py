@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tabulith.llm.chat import CLOSE, OPEN, format_trees, linear, read_back
 from tabulith.llm.common import Scratch
 from tabulith.llm.decontam import find_leaks, split_item
+from tabulith.llm.exact_dedup import exact_groups
+from tabulith.llm.filter_audit import audit
 from tabulith.llm.html_extract import extract
 from tabulith.llm.jaccard_join import jaccard_groups
 from tabulith.llm.line_dedup import dedup_lines
@@ -17,6 +19,7 @@ from tabulith.llm.mixing import DIMENSIONS, ROUNDS, TOLERANCE, mix
 from tabulith.llm.quality import quality_rules
 from tabulith.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, EXAMPLE_REPOS, scan_secrets, span_text
 from tabulith.llm.substring_dedup import shared_passages
+from tabulith.llm.token_align import align_tokens
 from tabulith.llm.warc import base32, payload_of, read_records, write_archive
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -221,6 +224,49 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of those with an equal text."""
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens by both tokenizers, how they are linked, and what its links score in the corpus."""
+    return align_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each order of them, by language."""
+    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS mask FROM d),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS letter,
+    list_sum(list_transform(string_split(left(filter_order, step - 1), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before,
+    1 << (ascii(substr(filter_order, step, 1)) - 65) AS own FROM p, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER ((mask & own) = 0 AND (mask & before) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((mask & own) > 0 AND (mask & before) = 0), 0) AS removed, coalesce(sum(n) FILTER ((mask & own) > 0 AND (mask & before) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(good) FILTER ((mask & own) > 0 AND (mask & before) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & own) > 0 AND (mask & before) = 0), 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -232,6 +278,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
@@ -240,4 +289,6 @@ ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_chat_format": _op10_sql(),
+    "op11_exact_dedup": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
