@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tabulith.llm.common import Scratch, partitions
 #: Where the vocabularies are, and the files of A (byte-level) and B (pieces with byte fallback).
 FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Links that a task holds before it writes them as postings; texts that it encodes at a time; words that it remembers.
-LINKS_AT_ONCE, TEXTS_AT_ONCE, WORDS_HELD = 2_000_000, 500, 1 << 17
+LINKS_AT_ONCE, TEXTS_AT_ONCE, WORDS_HELD = 2_000_000, 500, 1 << 18
 #: Documents in a block, and the numbers from which a bitmap is smaller than a list.
 BLOCK, DENSE = 1 << 16, 4096
 #: Blocks of one partition have ids that follow each other; this many fit.
@@ -63,6 +64,7 @@ class Pairing:
         code = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := code.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.list_a, self.list_b = self.size_a.tolist(), self.size_b.tolist()
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.known: dict[str, tuple] = {}
 
@@ -72,16 +74,16 @@ class Pairing:
 
     def align(self, words: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, groups, pairs) of each word, which starts with a space; None where the tokens' bytes aren't the word's. pairs are 64-bit codes."""
-        ids_a = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
         ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == (raw := w.encode("utf-8", "surrogatepass")) == b"".join(map(self.bytes_b.__getitem__, y))
-                for w, x, y in zip(words, ids_a, ids_b, strict=True)]
+        good = self._whole(words, ids_a, ids_b)
         out: list[tuple | None] = [None] * len(words)
         at = [i for i, ok in enumerate(good) if ok]
         if not at:
             return out
-        len_a, len_b = (np.array([len(x[i]) for i in at]) for x in (ids_a, ids_b))
-        a, b = (np.concatenate([np.array(x[i], np.int64) for i in at]) for x in (ids_a, ids_b))
+        ids_a, ids_b = ([x[i] for i in at] for x in (ids_a, ids_b))
+        len_a, len_b = (np.fromiter(map(len, x), np.int64, len(at)) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((ids_a, len_a), (ids_b, len_b)))
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         shared = np.intersect1d(end_a, end_b)
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
@@ -91,44 +93,49 @@ class Pairing:
         link_b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         pairs = (np.repeat(a, count).astype(np.uint64) << np.uint64(32)) | b[link_b].astype(np.uint64)
         to_a, to_b = np.cumsum(len_a), np.cumsum(len_b)
-        to_link = np.cumsum(count)[to_a - 1]
-        x, y, ga, gb = a.tolist(), b.tolist(), group_a.tolist(), group_b.tolist()
-        pa_, pb_, pl = 0, 0, 0
-        for k, i in enumerate(at):
-            qa, qb, ql = int(to_a[k]), int(to_b[k]), int(to_link[k])
-            low = ga[pa_]
-            n = ga[qa - 1] - low + 1
-            if n == 1:
-                text = f"{','.join(map(str, x[pa_:qa]))}|{','.join(map(str, y[pb_:qb]))}"
-            else:
-                parts: list[tuple[list[str], list[str]]] = [([], []) for _ in range(n)]
-                for j in range(pa_, qa):
-                    parts[ga[j] - low][0].append(str(x[j]))
-                for j in range(pb_, qb):
-                    parts[gb[j] - low][1].append(str(y[j]))
-                text = ";".join(f"{','.join(s)}|{','.join(t)}" for s, t in parts)
-            out[i] = (qa - pa_, qb - pb_, n, text, pairs[pl:ql].tobytes())
-            pa_, pb_, pl = qa, qb, ql
+        to_group, to_link = group_a[to_a - 1] + 1, np.cumsum(count)[to_a - 1]
+        cut_a, cut_b = (np.searchsorted(g, np.arange(len(shared) + 1)).tolist() for g in (group_a, group_b))
+        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups = [f"{x[i]}|{y[k]}" if j - i == 1 == n - k else f"{','.join(x[i:j])}|{','.join(y[k:n])}" for i, j, k, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
+        codes = pairs.tobytes()
+        g = pl = 0
+        for i, n_a, n_b, h, ql in zip(at, len_a.tolist(), len_b.tolist(), to_group.tolist(), (8 * to_link).tolist(), strict=True):
+            out[i] = (n_a, n_b, h - g, ";".join(groups[g:h]), codes[pl:ql])
+            g, pl = h, ql
         return out
 
+    def _whole(self, words: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of the tokens of both are the word's. Most are: compared all at once, then, where that fails, one by one."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        all_of = lambda table, ids: b"".join(map(table.__getitem__, chain.from_iterable(ids)))
+        if len(words) > 1:
+            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            same_length = all(np.array_equal(np.cumsum(np.fromiter((sum(map(size.__getitem__, x)) for x in ids), np.int64, len(ids))), ends)
+                              for size, ids in ((self.list_a, ids_a), (self.list_b, ids_b)))
+            if same_length and all_of(self.bytes_a, ids_a) == (joined := b"".join(raw)) == all_of(self.bytes_b, ids_b) and joined:
+                return [True] * len(words)
+        return [all_of(self.bytes_a, [i]) == w == all_of(self.bytes_b, [j]) for i, w, j in zip(ids_a, raw, ids_b, strict=True)]
+
     def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
         """What :meth:`align` gives, for whole texts; None for texts that have no tokens."""
         cut = [self.words(t) if t else [] for t in texts]
         if len(self.known) > WORDS_HELD:
             self.known.clear()
-        new = list({w for ws in cut for w in ws if w not in self.known})
-        fresh = dict(zip(new, self.align(new), strict=True)) if new else {}
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self.align(new), strict=True) if new else ())
         out: list[tuple | None] = []
         for text, ws in zip(texts, cut, strict=True):
-            parts = [fresh[w] if w in fresh else self.known[w] for w in ws]
+            parts = list(map(self.known.__getitem__, ws))
             if None in parts:  # the pieces of the whole text decide
                 parts = self.align([" " + text])
             if not parts or None in parts:
                 out.append(None)
                 continue
-            out.append((sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts), ";".join([p[3] for p in parts]),
-                        np.frombuffer(b"".join([p[4] for p in parts]), np.uint64)))
+            n_a, n_b, n_groups, groups, pairs = zip(*parts, strict=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(pairs), np.uint64)))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
         return out
 
 
@@ -141,7 +148,7 @@ def _postings(block: int, pairs: np.ndarray, low: np.ndarray, times: np.ndarray)
     Plane -1 has all documents of the pair, plane j those in which bit j of its further links is set. Documents of a pair come in order.
     """
     order = np.argsort(pairs, kind="stable")
-    pairs, low, more = pairs[order], low[order].astype(np.uint16), times[order] - 1
+    pairs, low, more = pairs[order], low[order], times[order] - 1
     cols: tuple[list, list, list] = ([], [], [])
     for plane in range(-1, int(more.max()).bit_length() if len(more) else -1):
         take = slice(None) if plane < 0 else (more >> plane) & 1 == 1
@@ -204,9 +211,10 @@ def _encoder(files):
                     if k % BLOCK == 0:
                         yield from flush(base + (k - 1) // BLOCK)
                     if x:
-                        pairs, times = np.unique(x[4], return_counts=True)
-                        held.append((pairs, np.full(len(pairs), k % BLOCK), times))
-                        size += len(pairs)
+                        links = np.sort(x[4])
+                        start = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+                        held.append((links[start], np.full(len(start), k % BLOCK, np.uint16), np.diff(start, append=len(links))))
+                        size += len(start)
                         if size > LINKS_AT_ONCE:
                             yield from flush(base + k // BLOCK)
                 at += len(found)

@@ -149,7 +149,7 @@ def test_pairs_count_documents_and_links(spark):
 
 
 def test_postings_hold_lists_and_bitmaps():
-    low = np.concatenate([np.arange(0, 10_000), [5, 9]])
+    low = np.concatenate([np.arange(0, 10_000), [5, 9]]).astype(np.uint16)
     pairs = np.array([7 << 32 | 9] * 10_000 + [1] * 2, np.uint64)
     times = np.concatenate([1 + np.arange(10_000) % 6, [1, 3]])
     batch = token_align._postings(3, pairs, low, times)
