@@ -123,10 +123,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def linear(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, replies) of conversations (conv_id, turn, role, text): each row replies to the one before.
 
-    Rows come by turn, ties by role and then by a hash of the text; null turns come first.
+    Rows come by turn, ties by role and then by a hash of the text; null turns come first. Equal rows are messages each.
     """
     key = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    texts = conversations.select(F.col("conv_id").alias("tree"), key.alias("msg"), "role", "text")
-    ids = texts.select("tree", "msg").distinct()
+    rows = conversations.select(F.col("conv_id").alias("tree"), key.alias("k"), "role", "text")
+    again = F.row_number().over(Window.partitionBy("tree", "k").orderBy("text")) - 1  # of rows that are equal but for a hash's collision
+    texts = rows.withColumn("again", again).select("tree", F.struct("k.turn", "k.role", "k.hash", "again").alias("msg"), "role", "text")
     before = F.lag("msg").over(Window.partitionBy("tree").orderBy("msg"))
-    return texts, ids.select("tree", "msg", before.alias("parent"), F.lit(0.0).alias("score"))
+    return texts, texts.select("tree", "msg", before.alias("parent"), F.lit(0.0).alias("score"))

@@ -41,10 +41,11 @@ HEAD = frozenset("html head base basefont bgsound link meta title style script n
 RAW = frozenset("script style textarea title".split())
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 BLOCK = frozenset("""html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption
- blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup center""".split())
-CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dt dd summary".split())
+ blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup center
+ dialog legend menu search dir optgroup listing plaintext xmp frameset noframes""".split())
+CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dt dd summary legend optgroup frameset noframes".split()) | {"hr"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-LIMITS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
+LIMITS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 GOOD = frozenset("article articlebody content contents post entry main story body text prose".split())
 BAD = frozenset("""ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside side
  footer header masthead cookie consent notice gdpr popup modal newsletter subscribe signup login form comment comments reply replies
@@ -133,17 +134,22 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if m.group(1):
             if count[tag] > 0:
                 pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
+            elif tag == "p":  # stands for an empty paragraph
+                flush()
             continue
         if tag == "body" or (stack[-1][0] == "head" and tag not in HEAD):
             end_head()
         if tag == "br":
             say(" ")
-        if tag in VOID:
+        if tag in VOID and tag != "hr":
             continue
         if tag in CLOSES_P and count["p"] > 0:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "div", "td", "li", "article", "section", "body")), 0)
             if k and stack[k][0] == "p":
                 pop(k)
+        if tag == "hr":
+            flush()
+            continue
         if tag in SAME:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in SAME[tag] or stack[i][0] in LIMITS[tag]), 0)
             if k and stack[k][0] in SAME[tag] and stack[k][0] not in LIMITS[tag]:

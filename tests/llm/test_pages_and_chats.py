@@ -30,6 +30,12 @@ def test_a_head_without_an_end_tag_ends_at_the_first_content(rest):
     assert [t for _, t in runs] == ["a text"]
 
 
+@pytest.mark.parametrize("html, blocks", [("one<hr>two", ["one", "two"]), ("<dialog>d</dialog>e<legend>l</legend>m", ["d", "e", "l", "m"]), ("<p>a<hr/>b</p>c", ["a", "b", "c"]),
+                                          ("<menu><li>x<li>y</menu>z", ["x", "y", "z"]), ("<search>s</search>t<dir>u</dir>v", ["s", "t", "u", "v"])])
+def test_blocks_don_t_fuse(html, blocks):
+    assert [t for _, t in h.parse(html)[1]] == blocks
+
+
 def test_text_of_a_page_without_an_end_of_head(trees):
     page = "<html><head><title>T</title>{}<body><article><h1>Title here</h1><p>Some text, and more of it. And yet more.</p></article></body></html>"
     open_head, closed = h.main_texts([page.format(""), page.format("</head>")], trees)
@@ -91,7 +97,7 @@ def test_conversations_come_back_from_their_format(spark):
     out = read_back(format_trees(*linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
     by = {r.tree: r for r in out}
     assert [tuple(t) for t in by[1].turns] == [(r or "", t or "") for c, _, r, t in rows[:5]] and by[1].learned == ["[INST] &lt; &amp; ]", "é👍\n"]
-    assert [tuple(t) for t in by[2].turns] == [("", "")] and [tuple(t) for t in by[3].turns] == [("as\nsistant", "a"), ("assistant", "b")] and by[3].learned == ["b"]
+    assert [tuple(t) for t in by[2].turns] == [("", "")] and [tuple(t) for t in by[3].turns] == [("as\nsistant", "a"), ("assistant", "b"), ("assistant", "b")] and by[3].learned == ["b", "b"]  # equal rows are turns each
     assert by[None].learned == [] and len(out) == 4
 
 
