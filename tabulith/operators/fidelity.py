@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.columns import or_missing
 from tabulith.operators.encode import bin_by_edges, quantile_edges
-from tabulith.operators.profile import exact_quantiles, metric_summary, value_distribution
+from tabulith.operators.profile import exact_quantiles, metric_summary, numbers, range_bounds, range_of, value_distribution
 
 #: Sets of one grouping-sets query.
 SETS_AT_ONCE = 40
@@ -32,23 +32,23 @@ def jsd(both: DataFrame, columns: list[str]) -> DataFrame:
         F.sqrt(F.greatest(F.lit(0.0), F.sum(half("p_real") + half("p_syn")) / 2)).alias("value"))
 
 
-def wasserstein(both: DataFrame, columns: list[str], parts: int = 64) -> DataFrame:
+def wasserstein(both: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
     """(run, feature, value): the area between both ECDFs, in units of the real range (1 where that is 0).
 
-    Signed counts of real and synthetic values are summed in two passes: inside ranges of the
+    Signed counts of real and synthetic values are summed in two passes: inside balanced ranges of the
     values, and over the ranges before. Null where a side has no values.
     """
-    long = both.select("side", "run", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["side", "run"], columns, "feature", "v").filter("v IS NOT NULL")
-    counts = long.groupBy("side", "run", "feature", "v").agg(F.count("*").alias("n"))
+    long = numbers(both, columns, ["side", "run"])
+    counts = long.groupBy("side", "run", "feature", F.col("value").alias("v")).agg(F.count("*").alias("n"))
     runs = both.filter("side = 'syn'").select("run").distinct()
     real = counts.filter("side = 'real'").drop("run").crossJoin(F.broadcast(runs))  # runs: a row for each synthetic file
     points = real.select("run", "feature", "v", F.col("n").alias("r"), F.lit(0).cast("long").alias("s")).unionByName(
         counts.filter("side = 'syn'").select("run", "feature", "v", F.lit(0).cast("long").alias("r"), F.col("n").alias("s")))
     points = points.groupBy("run", "feature", "v").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    sums = points.groupBy("run", "feature").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+    sums = points.groupBy("run", "feature").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"),
                                                 F.min(F.when(F.col("r") > 0, F.col("v"))).alias("rlo"), F.max(F.when(F.col("r") > 0, F.col("v"))).alias("rhi"))
-    rows = points.join(F.broadcast(sums), ["run", "feature"]).withColumn(
-        "part", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).otherwise(0))
+    rows = points.join(F.broadcast(sums), ["run", "feature"]).join(F.broadcast(range_bounds(long, parts)), "feature")  # a row for each column and run
+    rows = rows.withColumn("part", range_of(F.col("v"), F.col("bounds"))).drop("bounds")
     diff = F.try_divide("r", "nr") - F.try_divide("s", "ns")
     in_order = Window.partitionBy("run", "feature", "part").orderBy("v")
     rows = rows.withColumn("d", F.sum(diff).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("v").over(in_order))

@@ -57,8 +57,10 @@ def value_distribution(df: DataFrame, columns: list[str], by: list[str] | None =
     """(by, feature, category, n, probability); a null is a category."""
     by, kinds = by or [], dict(df.dtypes)
     long = df.select(*by, *(or_missing(canonical(F.col(c), kinds[c])).alias(c) for c in columns)).unpivot(by, columns, "feature", "category")
-    return long.groupBy(*by, "feature", "category").agg(F.count("*").alias("n")).withColumn(
-        "probability", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "feature")))
+    counts = long.groupBy(*by, "feature", "category").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*by, "feature").agg(F.sum("n").alias("_of")).withColumnsRenamed({c: f"_{c}" for c in [*by, "feature"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "feature"]]
+    return counts.join(F.broadcast(totals), same).select(*by, "feature", "category", "n", (F.col("n") / F.col("_of")).alias("probability"))  # a row for each column and group
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
@@ -87,19 +89,44 @@ def rare_class(df: DataFrame, label: str) -> DataFrame:
     return counts.agg(F.min_by(label, F.struct("n", label)).alias("rare_label"), F.min("n").alias("n_rows"), F.count("*").alias("n_classes"))
 
 
-def running_counts(df: DataFrame, columns: list[str], by: list[str] | None = None, parts: int = 64) -> DataFrame:
+#: Ranks of a quantile sketch are right to one in so many.
+SKETCH = 10_000
+#: Half the width of the bracket around a quantile, as a share of the rows: the first that is over the sketch's error and two rows.
+SLACKS = (0.0015, 0.02, 0.3, 1.0)
+
+
+def range_bounds(long: DataFrame, parts: int | None = None) -> DataFrame:
+    """(feature, bounds) of (feature, value): values that cut each feature into ranges of about as many rows, from a mergeable sketch.
+
+    As many ranges as there are shuffle partitions, 64 at least. Equal bounds count once, so a value that fills several ranges is in one.
+    """
+    parts = max(2, parts or max(64, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    inner = F.percentile_approx("value", [i / parts for i in range(1, parts)], SKETCH)
+    return long.groupBy("feature").agg(F.array_distinct(inner).alias("bounds"))
+
+
+def range_of(value: Column, bounds: Column) -> Column:
+    """The number of the value's range: how many bounds are not above it."""
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
+def numbers(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, feature, value): the values of the columns that are no null, one to a row."""
+    by = by or []
+    return df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(by, columns, "feature", "value").filter("value IS NOT NULL")
+
+
+def running_counts(df: DataFrame, columns: list[str], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(by, feature, value, n, upto, total): counts of each value and of values up to it.
 
-    A two-pass prefix sum: distinct values are counted, dealt to ``parts`` ranges of each column,
-    and summed inside the ranges; the totals of the ranges before are added. No column is in one task.
+    A two-pass prefix sum: distinct values are counted, dealt to balanced ranges (:func:`range_bounds`),
+    and summed inside the ranges; the totals of the ranges before are added. No column is in one task, however its values lie.
     """
     by = by or []
-    long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(by, columns, "feature", "value").filter("value IS NOT NULL")
-    span = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    counts = long.groupBy(*by, "feature", "value").agg(F.count("*").alias("n")).join(F.broadcast(span), "feature")
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)).otherwise(0)
-    counts = counts.withColumn("_part", part).drop("_lo", "_hi")
-    ranges = counts.groupBy(*by, "feature", "_part").agg(F.sum("n").alias("_of"))  # at most parts + 1 rows a column
+    long = numbers(df, columns, by)
+    counts = long.groupBy(*by, "feature", "value").agg(F.count("*").alias("n")).join(F.broadcast(range_bounds(long, parts)), "feature")  # a row for each column
+    counts = counts.withColumn("_part", range_of(F.col("value"), F.col("bounds"))).drop("bounds")
+    ranges = counts.groupBy(*by, "feature", "_part").agg(F.sum("n").alias("_of"))  # a row for each range of a column
     before = F.coalesce(F.sum("_of").over(Window.partitionBy(*by, "feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("_before", before).withColumn("total", F.sum("_of").over(Window.partitionBy(*by, "feature"))).drop("_of")
     inside = F.sum("n").over(Window.partitionBy(*by, "feature", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
@@ -110,19 +137,49 @@ def running_counts(df: DataFrame, columns: list[str], by: list[str] | None = Non
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """(feature, quantiles): exact quantiles of each column, interpolated linearly between neighbours; null without values.
 
-    The ranks come from :func:`running_counts`, and only the two values next to each quantile are
-    gathered, so no task holds the distinct values of a column.
+    A selection by brackets, in two scans. Of each quantile a sketch gives bounds that it is surely between; then values in a
+    bracket are gathered, some per mille of all in a large table, and those outside only counted. So no distinct values are shuffled,
+    and one task holds those of one bracket. If a sketch were ten times further off than it says, the query ends with an error.
     """
-    counts = running_counts(df, columns)
+    at = lambda p, d: min(1.0, max(0.0, p + d))
+    order = sorted(range(len(shares)), key=lambda i: shares[i])
+    points = [[[at(shares[i], d) for i in order] for d in (-slack, slack)] for slack in SLACKS]
+    number = {c: F.col(c).cast("double") for c in columns}
+    row = df.agg(*(x for k, c in enumerate(columns) for x in (  # the bounds of the brackets: one row
+        F.percentile_approx(number[c], [p for two in points for side in two for p in side], SKETCH).alias(f"q{k}"), F.count(number[c]).alias(f"n{k}"),
+        F.min(number[c]).alias(f"lo{k}"), F.max(number[c]).alias(f"hi{k}")))).first()
+    spark, k, dealt = df.sparkSession, len(shares), []
+    for j, c in enumerate(columns):
+        if not row[f"n{j}"]:
+            continue
+        use = next(i for i, slack in enumerate(SLACKS) if slack == 1.0 or slack >= 10 / SKETCH + 2 / row[f"n{j}"])
+        found = row[f"q{j}"][2 * k * use:]
+        los = [row[f"lo{j}"] if p == 0.0 else x for p, x in zip(points[use][0], found, strict=False)]
+        his = [row[f"hi{j}"] if p == 1.0 else x for p, x in zip(points[use][1], found[k:], strict=False)]
+        held = None  # the cell of a value is how many brackets begin up to it; in a cell, what is in a bracket comes before what isn't
+        for i in reversed(range(k)):
+            if i == k - 1 or los[i] < los[i + 1]:
+                inside = F.struct(F.lit(i + 1).alias("cell"), F.when(number[c] <= max(his[:i + 1]), number[c]).alias("value"))
+                held = F.when(number[c] >= los[i], inside) if held is None else held.when(number[c] >= los[i], inside)
+        held = held.when(number[c].isNotNull(), F.struct(F.lit(0).alias("cell"), F.lit(None).cast("double").alias("value")))
+        dealt.append(F.struct(F.lit(c).alias("feature"), held.alias("x")))
+    nothing = F.array().cast("array<struct<feature:string,x:struct<cell:int,value:double>>>")
+    rows = df.select(F.inline(F.array(*dealt) if dealt else nothing)).filter("x IS NOT NULL").select("feature", "x.cell", "x.value")
+    counts = rows.groupBy("feature", "cell", "value").agg(F.count("*").alias("n"))
+    cells = counts.groupBy("feature", "cell").agg(F.sum("n").alias("_of"))  # a row for each quantile
+    before = F.coalesce(F.sum("_of").over(Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_before", before).withColumn("total", F.sum("_of").over(Window.partitionBy("feature"))).drop("_of")
+    inside = F.sum("n").over(Window.partitionBy("feature", "cell").orderBy(F.asc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_in", inside).join(F.broadcast(cells), ["feature", "cell"]).withColumn("upto", F.col("_in") + F.col("_before"))
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for i, p in enumerate(shares)))
     here = lambda at: (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))
     near = counts.select("feature", "value", "n", "upto", F.inline(F.filter(wanted, lambda w: here(F.floor(w["at"])) | here(F.ceil(w["at"])))))
-    two = near.groupBy("feature", "i").agg(F.max(F.when(here(F.floor("at")), F.col("value"))).alias("a"), F.max(F.when(here(F.ceil("at")), F.col("value"))).alias("b"),
-                                           F.max(F.col("at") - F.floor("at")).alias("over"))  # two rows at most
+    value = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.lit("a quantile is outside its bracket")).cast("double"))
+    two = near.withColumn("value", value).groupBy("feature", "i").agg(F.max(F.when(here(F.floor("at")), F.col("value"))).alias("a"), F.max(F.when(here(F.ceil("at")), F.col("value"))).alias("b"),
+                                                                      F.max(F.col("at") - F.floor("at")).alias("over"))  # two rows at most
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("over"))
     found = two.select("feature", F.struct("i", value.alias("v")).alias("q")).groupBy("feature").agg(F.array_sort(F.collect_list("q"))["v"].alias("quantiles"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return names.join(found, "feature", "left")
+    return spark.createDataFrame([(c,) for c in columns], "feature string").join(found, "feature", "left")
 
 
 def ecdf(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
