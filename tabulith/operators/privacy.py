@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.operators.encode import one_hot, scale_stats, standardize
+from tabulith.functions.columns import canonical
+from tabulith.operators.neighbours import PivotIndex, nearest_two
+from tabulith.operators.profile import exact_quantiles
 from tabulith.operators.sample import sample_fraction
+from tabulith.sources.tables import scratch_path
 
-#: Rows of the base that one block has, and of the queries that meet it in one task.
-BLOCK, CHUNK = 4096, 16384
-EPSILON = float(np.finfo(float).eps)
+__all__ = ["PivotIndex", "nearest_two"]
+EPSILON = 2.220446049250313e-16
 
 
 def drop_all_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,63 +22,52 @@ def drop_all_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.alias("x").join(once.alias("o"), on, "left_semi")
 
 
-def nearest_two(query: DataFrame, base: DataFrame, *, key: str = "row_key", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
-    """(key, d1, d2): Euclidean distances of each query row to its two nearest base rows.
+def dcr_nndr(nearest: DataFrame, share: float = 0.05) -> DataFrame:
+    """(dcr, nndr, n): the 5th percentiles of the nearest distance, and of its ratio to the second nearest, exact and without one task for all."""
+    rows = nearest.select("d1", (F.col("d1") / F.greatest(F.col("d2"), F.lit(EPSILON))).alias("ratio"))
+    q = exact_quantiles(rows, ["d1", "ratio"], [share]).groupBy().pivot("feature", ["d1", "ratio"]).agg(F.first("quantiles")[0])  # one row
+    return q.crossJoin(F.broadcast(nearest.agg(F.count("*").alias("n")))).select(F.col("d1").alias("dcr"), F.col("ratio").alias("nndr"), "n")
 
-    The base is cut into blocks of BLOCK rows by hash; each block meets each chunk of the query
-    in a task that returns two numbers for each row, and the least two of all blocks are kept. The
-    work is queries times base, so on large tables give fewer queries, against the whole base. With ``exclude_self`` the base row of the same key is left out.
-    """
-    n = base.count()
-    blocks = max(1, -(-n // BLOCK))
-    spark = query.sparkSession
-    left = query.select(F.col(key).alias("key"), F.col(vector).alias("v")).crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block")))
-    right = base.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-
-    def two(_, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q):
-            return pd.DataFrame({"key": [], "d": []}, dtype=object)
-        keep, dist = [], []
-        y = np.stack(b["v"]) if len(b) else np.empty((0, len(q["v"].iloc[0])))
-        yy, keys = (y * y).sum(1), b["key"].to_numpy()
-        for i in range(0, len(q), 1024):
-            x = np.stack(q["v"].iloc[i:i + 1024])
-            d = np.maximum((x * x).sum(1)[:, None] + yy - 2 * x @ y.T, 0.0)
-            near = np.argsort(d, axis=1)[:, :3] if d.shape[1] <= 3 else np.argpartition(d, 2, axis=1)[:, :3]
-            exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(2))
-            if exclude_self:
-                exact[keys[near] == q["key"].iloc[i:i + 1024].to_numpy()[:, None]] = np.nan
-            keep.append(q["key"].iloc[i:i + 1024])
-            dist += [row[~np.isnan(row)][:2] for row in np.sort(exact, axis=1)]  # NaN last
-        return pd.DataFrame({"key": pd.concat(keep), "d": dist})
-
-    chunks = max(1, -(-query.count() // CHUNK))
-    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(chunks))
-    left, right = left.withColumn("chunk", chunk), right.crossJoin(F.broadcast(spark.range(chunks).select(F.col("id").alias("chunk"))))
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(two, f"key {dict(query.dtypes)[key]}, d array<double>")
-    best = found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, 2).alias("d"))  # two numbers a block
-    return best.select(F.col("key").alias(key), F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
 
+def category_weights(real: DataFrame, syn: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, category, slot, weight): every category of either table, with a number and what it adds to a standardized one-hot vector.
 
-def dcr_nndr(nearest: DataFrame, share: float = 0.05) -> DataFrame:
-    """(dcr, nndr): the 5th percentiles of the nearest distance, and of its ratio to the second nearest."""
-    ratio = F.col("d1") / F.greatest(F.col("d2"), F.lit(EPSILON))
-    return nearest.agg(F.percentile("d1", share).alias("dcr"), F.percentile(ratio, share).alias("nndr"), F.count("*").alias("n"))
+    Standardized by the real table, two rows of categories a and b of a column differ in the coordinates of a and b only, by one over
+    the real deviation of each: so a row needs its slot and weight, and no vector is as wide as there are categories. A deviation of 0 counts as 1.
+    The numbers come from the written table, so no task numbers all categories.
+    """
+    kinds = dict(real.dtypes)
+    long = lambda df, side: df.select(*(canonical(F.col(c), kinds[c]).alias(c) for c in columns)).unpivot([], columns, "feature", "category").withColumn("_real", F.lit(side))
+    counts = long(real, 1).unionByName(long(syn, 0)).groupBy("feature", "category").agg(F.sum("_real").alias("n")).filter("category IS NOT NULL")
+    p = F.col("n") / F.greatest(F.col("_all"), F.lit(1))
+    std = F.sqrt(p * (1 - p))
+    out = counts.crossJoin(F.broadcast(real.agg(F.count("*").alias("_all")))).select(  # one row
+        "feature", "category", F.monotonically_increasing_id().cast("double").alias("slot"), F.when(std > 0, 1 / std).otherwise(1.0).alias("weight"))
+    path = scratch_path(real.sparkSession, "categories")
+    out.write.parquet(path)
+    return real.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def privacy_vectors(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], key: str = "row_key") -> tuple[DataFrame, DataFrame]:
-    """Both tables as (key, vector): one-hot over the categories of both, standardized by the real table. Nulls count 0."""
-    encoded = []
-    union = real.select(*categorical).unionByName(syn.select(*categorical))
-    values = {c: sorted(str(r[0]) for r in union.filter(F.col(c).isNotNull()).select(c).distinct().collect()) for c in categorical}
+    """Both tables as (key, vector) for :func:`nearest_two` with as many ``categories``: numbers standardized by the real table, nulls as 0, then slot and weight of each category.
+
+    Distances are those of standardized one-hot vectors over the categories of both tables; a null category has no 1.
+    """
+    weights = category_weights(real, syn, categorical) if categorical else None
+    stats = real.agg(*(f(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{n}_{c}") for c in numeric for n, f in (("mean", F.avg), ("std", F.stddev_pop)))) if numeric else None
+    kinds, encoded = dict(real.dtypes), []
     for df in (real, syn):
-        out = df.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric), *categorical)
-        for c in categorical:
-            out = one_hot(out, c, values[c])
-        encoded.append(out.drop(*categorical))
-    names = [c for c in encoded[0].columns if c != key]
-    stats = scale_stats(encoded[0], names)
-    return tuple(standardize(x, stats, names).select(key, F.array(*names).alias("vector")) for x in encoded)
+        out = df.crossJoin(F.broadcast(stats)) if numeric else df  # one row
+        std = lambda c: F.when(F.col(f"std_{c}") > 0, F.col(f"std_{c}")).otherwise(1.0)
+        scaled = [((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"mean_{c}")) / std(c)).alias(f"_x{i}") for i, c in enumerate(numeric)]
+        out = out.select(key, *scaled, *(canonical(F.col(c), kinds[c]).alias(f"_c{i}") for i, c in enumerate(categorical)))
+        names = [f"_x{i}" for i in range(len(numeric))]
+        for i, c in enumerate(categorical):
+            own = weights.filter(F.col("feature") == c).select(F.col("category").alias(f"_c{i}"), F.col("slot").alias(f"_s{i}"), F.col("weight").alias(f"_w{i}"))
+            out = out.join(own, f"_c{i}", "left").withColumns({f"_s{i}": F.coalesce(f"_s{i}", F.lit(-1.0)), f"_w{i}": F.coalesce(f"_w{i}", F.lit(0.0))})
+            names += [f"_s{i}", f"_w{i}"]
+        encoded.append(out.select(key, F.array(*names).cast("array<double>").alias("vector")))
+    return encoded[0], encoded[1]
 
 
 def privacy_report(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], *, key: str = "row_key", fraction: float | None = None,
@@ -96,13 +83,13 @@ def privacy_report(real: DataFrame, syn: DataFrame, numeric: list[str], categori
     if min(real.limit(3).count(), syn.limit(3).count()) < 3:
         raise ValueError("a side has under three rows")
     r, s = privacy_vectors(real, syn, numeric, categorical, key)
+    of_r, of_s = (PivotIndex.build(x, key=key, categories=len(categorical)) for x in (r, s))
     out = None
-    for name, q, b, same in (("real_syn", r, s, False), ("syn_real", s, r, False), ("real_real", r, r, True), ("syn_syn", s, s, True)):
+    for name, q, index, same in (("real_syn", r, of_s, False), ("syn_real", s, of_r, False), ("real_real", r, of_r, True), ("syn_syn", s, of_s, True)):
         q = q if fraction is None else sample_fraction(q, fraction, seed=seed, key=key)
-        near = nearest_two(q, b, key=key, exclude_self=same)
-        ratio = F.col("d1") / F.greatest(F.col("d2"), F.lit(EPSILON))
-        row = near.agg(F.percentile("d1", 0.05).alias("dcr"), F.percentile(ratio, 0.05).alias("nndr"), F.count("*").alias("n"),
-                       F.sum((F.col("d1") < 1e-9).cast("bigint")).alias("n_copies")).select(F.lit(name).alias("direction"), "*")
+        near = nearest_two(q, index, key=key, exclude_self=same)
+        copies = near.agg(F.coalesce(F.sum((F.col("d1") < 1e-9).cast("bigint")), F.lit(0)).alias("n_copies"))
+        row = dcr_nndr(near).crossJoin(F.broadcast(copies)).select(F.lit(name).alias("direction"), "*")  # one row each
         out = row if out is None else out.unionByName(row)
     return out.withColumn("fraction", F.lit(fraction).cast("double"))
 

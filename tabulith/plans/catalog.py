@@ -565,7 +565,7 @@ def f6(spark, d):
 @query("f7_two_smallest")
 def f7(spark, d):
     real, syn = h_pair(spark, d)
-    return rounded(privacy.nearest_two(asked(real), syn))
+    return rounded(privacy.nearest_two(asked(real), syn, categories=1))
 
 
 @query("f8_weighted_rollup", on_pair("SELECT feature, round(sum(p), 6) AS weight FROM (SELECT feature, count(*) / sum(count(*)) OVER () AS p FROM cat WHERE feature <> 'label' GROUP BY feature, category) GROUP BY feature", cat=LONG_CAT)
@@ -718,13 +718,13 @@ ORACLES["f7_two_smallest"] = _H2
 @query("h2_nearest_two", on_pair("SELECT row_key, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM h2 WHERE sa = 'syn' AND sb = 'real'", **_HV))
 def h2(spark, d):
     real, syn = h_pair(spark, d)
-    return rounded(privacy.nearest_two(asked(syn), real))
+    return rounded(privacy.nearest_two(asked(syn), real, categories=1))
 
 
 @query("h3_h4_dcr_nndr", on_pair("SELECT round(quantile_cont(d1, 0.05), 6) AS dcr, round(quantile_cont(d1 / greatest(d2, 2.220446049250313e-16), 0.05), 6) AS nndr, count(*) AS n FROM h2 WHERE sa = 'real' AND sb = 'syn'", **_HV))
 def h34(spark, d):
     real, syn = h_pair(spark, d)
-    return rounded(privacy.dcr_nndr(privacy.nearest_two(asked(real), syn)))
+    return rounded(privacy.dcr_nndr(privacy.nearest_two(asked(real), syn, categories=1)))
 
 
 @query("h5_privacy_report", on_pair("SELECT sa || '_' || sb AS direction, round(quantile_cont(d1, 0.05), 6) AS dcr, round(quantile_cont(d1 / greatest(d2, 2.220446049250313e-16), 0.05), 6) AS nndr, count(*) AS n, "

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical
-from tabulith.operators import clean, encode, fidelity, privacy, profile, sample, utility
+from tabulith.operators import clean, encode, fidelity, neighbours, privacy, profile, sample, utility
 
 
 def two(spark, real, syn, name="x", kind="double"):
@@ -99,8 +99,7 @@ def test_privacy_sees_exact_copies(spark):
 
 
 def test_nearest_two_has_no_largest_base(spark, monkeypatch):
-    monkeypatch.setattr(privacy, "BLOCK", 8)
-    monkeypatch.setattr(privacy, "MOST_BASE", 10, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
     at = lambda i: (i * 37 % 101) / 10
     df = spark.createDataFrame([(str(i), [at(i), at(3 * i + 1)]) for i in range(40)], "row_key string, vector array<double>")
     got = {r.row_key: (r.d1, r.d2) for r in privacy.nearest_two(df.filter("row_key % 5 = 0"), df, exclude_self=True).collect()}
@@ -110,16 +109,6 @@ def test_nearest_two_has_no_largest_base(spark, monkeypatch):
     assert len(got) == 8
 
 
-def test_privacy_vectors_keep_every_category(spark, monkeypatch):
-    def names(df, column, values):
-        assert len(values) == 1100
-        return df.drop(column).withColumn("one", F.lit(1.0))
-
-    monkeypatch.setattr(privacy, "one_hot", names)
-    df = spark.range(1100).select(F.col("id").cast("string").alias("row_key"), F.col("id").cast("double").alias("a"), F.col("id").cast("string").alias("c"))
-    privacy.privacy_vectors(df, df, ["a"], ["c"])
-
-
 def test_exactly_one_privacy_target(spark):
     with pytest.raises(ValueError, match="exactly one"):
         privacy.privacy_spent(spark.sql("SELECT 2 AS alpha, 1.0D AS rdp"))
@@ -165,7 +154,7 @@ def test_many_categories_and_nearest_two_equal_brute_force(spark):
     rows = [(f"k{i}", float(i % 50), str(i % 300)) for i in range(1500)]
     real = spark.createDataFrame(rows, "row_key string, v double, c string")
     a, _ = privacy.privacy_vectors(real, real.limit(5), ["v"], ["c"])
-    assert len(a.first().vector) == 301
+    assert len(a.first().vector) == 3  # a number, a slot and its weight
     rng = np.random.RandomState(3)
     x = rng.rand(300, 4)
     df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "row_key string, vector array<double>")
