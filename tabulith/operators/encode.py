@@ -5,13 +5,12 @@ What a fit learns is a small table with a row for each column, category or mode.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, let, or_missing, uniform
-from tabulith.operators.profile import exact_quantiles
+from tabulith.operators.profile import exact_quantiles, numbers, running_sums
+from tabulith.sources.tables import scratch_path
 
 
 def column_metadata(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -30,8 +29,8 @@ def category_slots(df: DataFrame, columns: list[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     long = df.select(*(or_missing(canonical(F.col(c), kinds[c])).alias(c) for c in columns)).unpivot([], columns, "feature", "category")
     counts = long.groupBy("feature", "category").agg(F.count("*").alias("n"))
-    rank = Window.partitionBy("feature").orderBy(F.desc("n"), "category")
-    return counts.withColumn("slot", (F.row_number().over(rank) - 1).cast("int"))
+    ranked = running_sums(counts, ["feature"], [F.desc("n"), F.asc("category")], {"slot": F.lit(1)})
+    return ranked.withColumn("slot", (F.col("slot") - 1).cast("int"))
 
 
 def slot_encode(long: DataFrame, slots: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def log_invert(value: Column, least: Column) -> Column:
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     """(category, code): codes from 0 in ascending order of the category as text."""
     values = df.select(or_missing(canonical(F.col(column), dict(df.dtypes)[column])).alias("category")).distinct()
-    return values.withColumn("code", (F.dense_rank().over(Window.orderBy("category")) - 1).cast("int"))
+    return running_sums(values, [], [F.asc("category")], {"code": F.lit(1)}).withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def label_encode(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
@@ -83,10 +82,22 @@ def label_decode(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame
     return df.join(names, f"{column}_code", "left")
 
 
-def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
-    """A 0/1 column for each of the fitted categories; unknown ones give zeros everywhere."""
-    key = or_missing(canonical(F.col(column), dict(df.dtypes)[column]))
-    return df.withColumns({f"{column}_{v}": (key == v).cast("int") for v in categories})
+def one_hot(df: DataFrame, columns: list[str], slots: DataFrame, key: str = "row_key") -> DataFrame:
+    """(key, size, indices): each row's one-hot vector over all ``columns``, as the places of its ones among ``size`` entries.
+
+    ``slots`` is a fitted dictionary (:func:`category_slots`); the slots of a column come after those of the columns before it. A
+    category that wasn't fitted has no 1. Neither plan nor row grows with the number of categories.
+    """
+    kinds = dict(df.dtypes)
+    sizes = slots.groupBy("feature").agg(F.count("*").cast("int").alias("n"))  # a row for each column
+    names = F.array(*(F.lit(c) for c in columns))
+    place = sizes.withColumn("at", F.array_position(names, F.col("feature"))).filter("at > 0")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = place.withColumns({"before": before, "size": F.sum("n").over(Window.partitionBy(F.lit(0)))}).select("feature", "before", "size")
+    long = df.select(key, *(or_missing(canonical(F.col(c), kinds[c])).alias(c) for c in columns)).unpivot([key], columns, "feature", "category")
+    found = long.join(slots.select("feature", "category", "slot"), ["feature", "category"], "left").join(F.broadcast(offsets), "feature", "left")
+    ones = F.array_sort(F.array_compact(F.collect_list(F.col("before") + F.col("slot")))).cast("array<int>")
+    return found.groupBy(key).agg(F.max("size").cast("int").alias("size"), ones.alias("indices"))  # a row for each column
 
 
 def scale_stats(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,42 +155,64 @@ def bin_by_edges(value: Column, edges: Column) -> Column:
 MODES = "feature string, mode int, weight double, mean double, std double"
 
 
-def _em(rows: pd.DataFrame, k: int, rounds: int, least_weight: float) -> pd.DataFrame:
-    """EM for one column over a bounded histogram, from quantile starts; light and unused modes go."""
-    x, n = rows["value"].to_numpy(float), rows["n"].to_numpy(float)
-    order = np.argsort(x)
-    x, n = x[order], n[order]
-    share = np.cumsum(n) / n.sum()
-    mu = np.unique(x[np.searchsorted(share, (np.arange(k) + 0.5) / k).clip(0, len(x) - 1)])
-    mean = np.average(x, weights=n)
-    spread = max(np.sqrt(np.average((x - mean) ** 2, weights=n)), 1e-6)
-    sd, w = np.full(len(mu), spread / max(len(mu), 1) + 1e-6), np.full(len(mu), 1 / len(mu))
-    for _ in range(rounds):
-        logs = np.log(w) - np.log(sd) - 0.5 * ((x[:, None] - mu) / sd) ** 2
-        r = np.exp(logs - logs.max(1, keepdims=True))
-        r = r / r.sum(1, keepdims=True) * n[:, None]
-        mass = r.sum(0) + 1e-12
-        w, mu = mass / mass.sum(), (r * x[:, None]).sum(0) / mass
-        sd = np.sqrt((r * (x[:, None] - mu) ** 2).sum(0) / mass).clip(1e-3 * spread)
-    used = np.isin(np.arange(len(mu)), np.argmax(np.log(w) - np.log(sd) - 0.5 * ((x[:, None] - mu) / sd) ** 2, axis=1))
-    keep = used & (w > least_weight)
-    keep = keep if keep.any() else w == w.max()
-    out = pd.DataFrame({"weight": w[keep] / w[keep].sum(), "mean": mu[keep], "std": sd[keep]}).sort_values("mean")
-    return out.assign(feature=rows["feature"].iloc[0], mode=np.arange(len(out), dtype=np.int32))[["feature", "mode", "weight", "mean", "std"]]
-
-
-def mode_fit(df: DataFrame, columns: list[str], *, k: int = 10, cells: int = 2000, rounds: int = 60, least_weight: float = 0.005) -> DataFrame:
+def mode_cells(df: DataFrame, columns: list[str], cells: int) -> DataFrame:
+    """(feature, cell, value, n): each column in ``cells`` equal-width cells, with the mean of its values in each and their number."""
+    long = numbers(df, columns)
+    span = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
+    return long.join(F.broadcast(span), "feature").groupBy("feature", cell.alias("cell")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+
+
+def responsibilities(hist: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(feature, cell, value, n, mode, off, p, best) by mode arrays (feature, modes): the cell's distance from each mode's mean,
+    the share of the mode in the cell, and the likeliest mode (the first of equals)."""
+    logs = F.transform("modes", lambda x: F.log(x["weight"]) - F.log(x["std"]) - 0.5 * F.pow((F.col("value") - x["mean"]) / x["std"], F.lit(2)))
+    rows = hist.join(F.broadcast(arrays), "feature").withColumn("l", logs).withColumn("top", F.array_max("l"))  # a row for each column
+    rows = rows.withColumn("e", F.transform("l", lambda x: F.exp(x - F.col("top")))).withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    return rows.select("feature", "cell", "value", "n", (F.array_position("l", F.col("top")) - 1).cast("int").alias("best"), "sum", "modes", F.posexplode("e")).select(
+        "feature", "cell", "value", "n", F.col("pos").alias("mode"), (F.col("value") - F.get("modes", F.col("pos"))["mean"]).alias("off"), (F.col("col") / F.col("sum")).alias("p"), "best")
+
+
+def mode_fit(df: DataFrame, columns: list[str], *, k: int = 10, cells: int = 2000, rounds: int = 20, least_weight: float = 0.005) -> DataFrame:
     """(feature, mode, weight, mean, std) of a mixture of up to ``k`` Gaussians for each column.
 
-    Spark reduces each column to ``cells`` equal-width cells (mean and count of each), so that a
-    group in a task has at most so many rows; the columns are fitted in parallel. This is plain EM
-    with pruning, not a fit with a sparse prior: it may keep more modes than that would.
+    Expectation maximization in ``rounds`` rounds of an aggregate each: the modes, k rows a column, are broadcast to the cells of
+    :func:`mode_cells`, and each mode's sums of weights, values and squares are partly summed where the cells are. It starts from exact quantiles. In the end
+    modes of a weight of ``least_weight`` or less go, and those that no cell has as its likeliest; if that leaves none, the heaviest stays. This is
+    plain EM with pruning, not a fit with a sparse prior: it may keep more modes than that would. A column without values has no modes.
     """
-    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "v").filter("v IS NOT NULL")
-    span = long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
-    hist = long.join(F.broadcast(span), "feature").groupBy("feature", cell.alias("cell")).agg(F.avg("v").alias("value"), F.count("*").alias("n"))
-    return hist.select("feature", "value", "n").groupBy("feature").applyInPandas(lambda rows: _em(rows, k, rounds, least_weight), MODES)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cells")
+    made = mode_cells(df, columns, cells)
+    made.write.parquet(path)
+    hist = spark.read.schema(made.schema).parquet(path)
+    spread = numbers(df, columns).groupBy("feature").agg(F.greatest(F.stddev_pop("value"), F.lit(1e-6)).alias("spread"))
+    starts = exact_quantiles(df, columns, [(i + 0.5) / k for i in range(k)]).filter("quantiles IS NOT NULL").select("feature", F.array_distinct("quantiles").alias("q"))
+    starts = starts.join(spread, "feature").select("feature", "spread", F.posexplode("q").alias("mode", "mean"), F.size("q").alias("k"))
+    state = starts.select("feature", "mode", (1 / F.col("k")).alias("weight"), "mean", (F.col("spread") / F.col("k") + 1e-6).alias("std"), "spread").toPandas()  # k rows a column
+    state = {(r.feature, r.mode): (r.weight, r.mean, r.std, r.spread) for r in state.itertuples()}
+
+    def arrays() -> DataFrame:
+        of: dict[str, list] = {}
+        for (feature, mode), (weight, mean, std, _) in sorted(state.items()):
+            of.setdefault(feature, []).append((mode, weight, mean, std))
+        return spark.createDataFrame(list(of.items()), "feature string, modes array<struct<mode:int,weight:double,mean:double,std:double>>")
+
+    r = F.col("p") * F.col("n")
+    for _ in range(rounds):
+        sums = responsibilities(hist, arrays()).groupBy("feature", "mode").agg(
+            F.sum(r).alias("w"), F.sum(r * F.col("off")).alias("x"), F.sum(r * F.col("off") * F.col("off")).alias("xx"), F.sum("n").alias("all"))
+        for s in sums.collect():  # k rows a column; sums around the old mean lose no digits to a large one
+            (_, mean, _, spread), mass = state[s.feature, s.mode], s.w + 1e-12
+            moved = s.x / mass
+            state[s.feature, s.mode] = (mass / s["all"], mean + moved, max(max(s.xx / mass - moved * moved, 0.0) ** 0.5, 1e-3 * spread), spread)
+    now = spark.createDataFrame([(f, m, w, mean, std) for (f, m), (w, mean, std, _) in state.items()], MODES)
+    used = responsibilities(hist, arrays()).select("feature", F.col("best").alias("mode")).distinct().withColumn("used", F.lit(True))
+    rows = now.join(F.broadcast(used), ["feature", "mode"], "left").withColumn("good", F.col("used").isNotNull() & (F.col("weight") > least_weight))
+    own = Window.partitionBy("feature")  # k rows
+    rows = rows.withColumn("any", F.max("good").over(own)).withColumn("heaviest", F.row_number().over(own.orderBy(F.desc("weight"), "mode")) == 1)
+    rows = rows.filter("good OR (NOT any AND heaviest)")
+    return rows.select("feature", (F.row_number().over(own.orderBy("mean", "mode")) - 1).cast("int").alias("mode"), (F.col("weight") / F.sum("weight").over(own)).alias("weight"), "mean", "std")
 
 
 def mode_arrays(modes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, or_missing
+from tabulith.sources.tables import scratch_path
 
 
 def _null(df: DataFrame, c: str) -> Column:
@@ -182,6 +183,27 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> D
     return spark.createDataFrame([(c,) for c in columns], "feature string").join(found, "feature", "left")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the rows up to this one, by ``order`` within each ``by``.
+
+    Rows are dealt to ranges of (by, order) and summed inside them; the totals of the ranges before are added. So a group of any size, or
+    a whole table (no ``by``), is in as many tasks as there are ranges. The order must tell rows apart. The dealt rows are written to the shared folder.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by, *order).withColumn("_p", F.spark_partition_id())
+    path = scratch_path(spark, "ranges")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    whole = [F.lit(0)] if not by else by
+    totals = dealt.groupBy(*by, "_p").agg(*(F.sum(x).alias(f"_of_{c}") for c, x in sums.items()))  # a row for each range of a group
+    earlier = Window.partitionBy(*whole).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(c).alias(f"_{c}") for c in [*by, "_p"]), *(F.coalesce(F.sum(f"_of_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.withColumns({f"_in_{c}": F.sum(x).over(inside) for c, x in sums.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "_p"]]
+    return rows.join(F.broadcast(totals), same).select(*df.columns, *((F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums))
+
+
 def ecdf(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, feature, value, f): the share of values up to each value."""
     return running_counts(df, columns, by).withColumn("f", F.col("upto") / F.col("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, hash_order, or_missing, uniform
+from tabulith.operators.profile import running_sums
 
 
 def stratified_split(df: DataFrame, label: str, ratio: float, *, seed: int, key: str = "row_key") -> DataFrame:
@@ -30,7 +31,25 @@ def random_split(df: DataFrame, ratio: float, *, seed: int, key: str = "row_key"
 
 
 def sample_n(df: DataFrame, n: int, *, seed: int, key: str = "row_key") -> DataFrame:
-    return df.orderBy(hash_order(seed, key), key).limit(n)
+    """``n`` rows, those of least hash (ties by key), or all if there are fewer.
+
+    The hash that n rows are under is searched, not sorted for: a histogram of its first four digits gives the cell where the count passes n, one of
+    the next four that cell's part; rows before are a filter, and only those of this part, one in 4 billion of the table, are put in order.
+    """
+    rows = df.withColumn("_h", hash_order(seed, key))
+    below, prefix = 0, ""
+    for digits in (4, 8):
+        cell = F.substring("_h", 1, digits)
+        counts = rows.filter(F.col("_h").startswith(prefix)).groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))  # 65,536 rows at most
+        upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("upto", upto).filter(F.col("upto") > n - below).agg(F.min(F.struct("cell", F.col("upto") - F.col("c"))).alias("x")).first()["x"]
+        if hit is None:
+            return df
+        prefix, below = hit[0], below + hit[1]
+    sure = rows.filter(F.col("_h") < prefix)
+    rank = F.row_number().over(Window.partitionBy(F.substring("_h", 1, 8)).orderBy("_h", key))
+    edge = rows.filter(F.col("_h").startswith(prefix)).withColumn("_r", rank).filter(F.col("_r") <= n - below).drop("_r")
+    return sure.unionByName(edge).drop("_h")
 
 
 def sample_fraction(df: DataFrame, fraction: float, *, seed: int, key: str = "row_key") -> DataFrame:
@@ -42,36 +61,61 @@ def condition_tables(df: DataFrame, columns: list[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     long = df.select(*(or_missing(canonical(F.col(c), kinds[c])).alias(c) for c in columns)).unpivot([], columns, "feature", "category")
     counts = long.groupBy("feature", "category").agg(F.count("*").alias("n")).withColumn("_log", F.log(F.col("n") + 1))
-    whole, order = Window.partitionBy("feature"), Window.partitionBy("feature").orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("feature", "category", "n", (F.col("n") / F.sum("n").over(whole)).alias("p"), (F.col("_log") / F.sum("_log").over(whole)).alias("p_log"),
-                         (F.sum("n").over(order) / F.sum("n").over(whole)).alias("upto"), (F.sum("_log").over(order) / F.sum("_log").over(whole)).alias("upto_log"))
+    sums = running_sums(counts, ["feature"], [F.asc("category")], {"_upto": F.col("n"), "_upto_log": F.col("_log")})
+    totals = sums.groupBy("feature").agg(F.sum("n").alias("_n"), F.sum("_log").alias("_all"), F.max("_upto_log").alias("_top"))
+    return sums.join(F.broadcast(totals), "feature").select(  # a row for each column
+        "feature", "category", "n", (F.col("n") / F.col("_n")).alias("p"), (F.col("_log") / F.col("_all")).alias("p_log"),
+        (F.col("_upto") / F.col("_n")).alias("upto"), (F.col("_upto_log") / F.col("_top")).alias("upto_log"))
+
+
+def guide(intervals: DataFrame, by: list[str], parts: str) -> DataFrame:
+    """``intervals`` (by, lo, hi, ..) that tile [0, 1) in each ``by``, with ``cell``: one row for each of the ``parts`` equal cells that an interval meets.
+
+    A number u is looked up by an equality on (by, floor(u * parts)) and lo <= u < hi. With as many cells as intervals
+    there are under two rows a cell on average, however uneven the intervals are.
+    """
+    last = F.greatest(F.col("lo") * F.col(parts), F.least(F.ceil(F.col("hi") * F.col(parts)) - 1, F.col(parts) - 1))
+    return intervals.withColumn("cell", F.explode(F.sequence(F.floor(F.least(F.col("lo") * F.col(parts), F.col(parts) - 1)).cast("int"), F.floor(last).cast("int"))))
 
 
-def draw_conditions(spark, n: int, tables: DataFrame, columns: list[str], *, seed: int, weight: str = "upto") -> DataFrame:
-    """(draw, feature, category): a column uniformly, then an option by weight (``upto`` or ``upto_log``)."""
-    draws = spark.range(n).withColumnRenamed("id", "draw")
+def draw_conditions(spark, n: int, tables: DataFrame, columns: list[str], *, seed: int, weight: str = "upto", start: int = 0) -> DataFrame:
+    """(draw, feature, category): a column uniformly, then an option by weight (``upto`` or ``upto_log``). Draws are numbered from ``start``.
+
+    An option is found through a :func:`guide` with as many cells as the column has options, so that a draw costs the same however many there are.
+    """
+    draws = spark.range(start, start + n).withColumnRenamed("id", "draw")
     names = F.array(*(F.lit(c) for c in columns))
     draws = draws.select("draw", F.element_at(names, (F.floor(uniform(seed, "draw") * len(columns)) + 1).cast("int")).alias("feature"),
                          uniform(seed + 1, "draw").alias("u"))
-    options = tables.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct(F.col(weight).alias("upto"), "category"))).alias("o"))
-    joined = draws.join(F.broadcast(options), "feature")  # a row for each column
-    at = F.least(F.size(F.filter("o", lambda x: x["upto"] <= F.col("u"))), F.size("o") - 1) + 1
-    return joined.select("draw", "feature", F.element_at("o", at)["category"].alias("category"))
+    before = {"upto": "p", "upto_log": "p_log"}[weight]
+    sizes = tables.groupBy("feature").agg(F.count("*").cast("int").alias("options"))
+    top = F.when(F.col(weight) >= 1 - 1e-12, 1.0).otherwise(F.col(weight))
+    ranges = tables.select("feature", "category", F.greatest(F.col(weight) - F.col(before), F.lit(0.0)).alias("lo"), top.alias("hi")).join(F.broadcast(sizes), "feature")
+    # sums of shares are off by a rounding: cells reach a little further, and of two options that touch the draw the first above it counts
+    wide = ranges.withColumns({"lo": F.greatest(F.col("lo") - 1e-9, F.lit(0.0))})
+    found = guide(wide, ["feature"], "options").select("feature", "cell", "category", "hi")
+    at = draws.join(F.broadcast(sizes), "feature").withColumn("cell", F.least(F.floor(F.col("u") * F.col("options")), F.col("options") - 1).cast("int"))  # a row for each column
+    hit = at.join(found, ["feature", "cell"]).filter("hi > u")
+    return hit.groupBy("draw", "feature").agg(F.min_by("category", "hi").alias("category"))
 
 
 def conditional_rows(df: DataFrame, drawn: DataFrame, columns: list[str], *, seed: int, key: str = "row_key", parts: int = 64) -> DataFrame:
     """(draw, feature, category, key): for each drawn condition a uniform row that meets it, with replacement.
 
     Rows of an option are numbered in slices by hash; a draw picks a number among all rows of
-    the option and finds its slice by the slices' running counts, so no option is in one task.
+    the option and finds its slice through a :func:`guide`, so no option is in one task and no draw meets all slices.
     """
     kinds = dict(df.dtypes)
     long = df.select(key, *(or_missing(canonical(F.col(c), kinds[c])).alias(c) for c in columns)).unpivot([key], columns, "feature", "category")
     long = long.withColumn("slice", F.floor(uniform(seed + 7, F.col(key)) * parts).cast("int"))
     numbered = long.withColumn("_r", F.row_number().over(Window.partitionBy("feature", "category", "slice").orderBy(key)))
     sizes = long.groupBy("feature", "category", "slice").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("feature", "category").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy("feature", "category")))
-    pick = drawn.join(sizes, ["feature", "category"]).withColumn("_k", F.floor(uniform(seed + 3, "draw") * F.col("total")) + 1)
+    option = Window.partitionBy("feature", "category")  # a row for each slice
+    sizes = sizes.withColumn("upto", F.sum("n").over(option.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(option))
+    tiles = sizes.withColumns({"lo": (F.col("upto") - F.col("n")) / F.col("total"), "hi": F.col("upto") / F.col("total"), "cells": F.lit(parts)})
+    tiles = guide(tiles, ["feature", "category"], "cells").select("feature", "category", "cell", "slice", "upto", "n")
+    totals = sizes.groupBy("feature", "category").agg(F.max("total").alias("total"))
+    pick = drawn.join(totals, ["feature", "category"]).withColumn("_k", F.floor(uniform(seed + 3, "draw") * F.col("total")) + 1)
+    pick = pick.withColumn("cell", F.floor((F.col("_k") - 1) / F.col("total") * parts).cast("int")).join(tiles, ["feature", "category", "cell"])
     pick = pick.filter((F.col("_k") <= F.col("upto")) & (F.col("_k") > F.col("upto") - F.col("n"))).withColumn("_r", (F.col("_k") - F.col("upto") + F.col("n")).cast("int"))
     return pick.join(numbered, ["feature", "category", "slice", "_r"]).select("draw", "feature", "category", key)

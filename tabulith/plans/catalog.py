@@ -288,18 +288,20 @@ def d4(spark, d):
     return pair(spark, d).select("row_key", round_half_even(F.col("qty") / 2).alias("half"))
 
 
-@query("d5_one_hot_fit_on_real", on_pair("SELECT row_key, " + ", ".join(f"CAST(coalesce(flag, '__MISSING__') = '{v}' AS INT) AS \"flag_{v}\"" for v in ("A", "N", "R", "__MISSING__")) + " FROM pair"))
-def d5(spark, d):
-    p = pair(spark, d)
-    known = [r.category for r in encode.category_slots(p.filter("side = 'real'"), ["flag"]).limit(1000).collect()]
-    return encode.one_hot(p.select("row_key", "flag"), "flag", sorted(known)).drop("flag")
+def _one_hot(name: str, where: str) -> None:
+    """Sparse one-hot vectors of flag and status, with slots fitted on some of the rows."""
+    slot = "(SELECT feature, category, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, category) - 1 AS slot FROM cat WHERE feature <> 'label' AND " + where + " GROUP BY feature, category)"
+
+    @query(name, on_pair("SELECT row_key, CAST((SELECT count(*) FROM s) AS INT) AS size, concat_ws(',', a.slot, (SELECT count(*) FROM s WHERE feature = 'flag') + b.slot) AS ones FROM pair "
+                         "LEFT JOIN s a ON a.feature = 'flag' AND a.category = coalesce(flag, '__MISSING__') LEFT JOIN s b ON b.feature = 'status' AND b.category = coalesce(status, '__MISSING__')", cat=LONG_CAT, s="SELECT * FROM " + slot))
+    def d5(spark, d):
+        p = pair(spark, d)
+        slots = encode.category_slots(p.filter(where), ["flag", "status"])
+        return encode.one_hot(p, ["flag", "status"], slots).select("row_key", "size", F.array_join("indices", ",").alias("ones"))
 
 
-@query("d5_one_hot_fit_on_union", on_pair("SELECT row_key, " + ", ".join(f"CAST(coalesce(flag, '__MISSING__') = '{v}' AS INT) AS \"flag_{v}\"" for v in ("A", "N", "R", "X", "__MISSING__")) + " FROM pair"))
-def d5c(spark, d):
-    p = pair(spark, d)
-    known = [r.category for r in encode.category_slots(p, ["flag"]).limit(1000).collect()]
-    return encode.one_hot(p.select("row_key", "flag"), "flag", sorted(known)).drop("flag")
+_one_hot("d5_one_hot_fit_on_real", "side = 'real'")
+_one_hot("d5_one_hot_fit_on_union", "true")
 
 
 def _scaled(name, f, each):
@@ -323,7 +325,30 @@ def d8(spark, d):
     return rounded(pair(spark, d).select("row_key", s.alias("scaled"), encode.range_invert(s, lo, hi).alias("back")))
 
 
-@query("d9_mode_fit")
+def _em_sql(num: str, where: str = "true", k: int = 10, rounds: int = 20) -> str:
+    """EM as a chain of common tables: the cells, the quantiles to start from, and the modes after each round."""
+    ctes = dict(
+        num=num, v=f"SELECT feature, v FROM num WHERE side = 'real' AND {where}",
+        span="SELECT feature, min(v) AS lo, max(v) AS hi, greatest(stddev_pop(v), 1e-6) AS spread FROM v GROUP BY feature",
+        hist="SELECT feature, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 1999) ELSE 0 END AS cell, avg(v) AS x, count(*) AS n FROM v JOIN span USING (feature) GROUP BY ALL",
+        q=f"SELECT feature, list_sort(list_distinct(quantile_cont(v, {[(i + 0.5) / k for i in range(k)]}))) AS q FROM v GROUP BY feature",
+        r0="SELECT feature, unnest(range(len(q))) AS mode, 1.0 / len(q) AS w, unnest(q) AS mu, spread / len(q) + 1e-6 AS sd FROM q JOIN span USING (feature)")
+    logs = lambda r: f"SELECT h.feature, cell, x, n, mode, mu, x - mu AS off, ln(w) - ln(sd) - 0.5 * ((x - mu) / sd) ** 2 AS l FROM hist h JOIN r{r} USING (feature)"
+    for r in range(1, rounds + 1):
+        ctes[f"l{r}"] = logs(r - 1)
+        ctes[f"e{r}"] = f"SELECT *, exp(l - max(l) OVER (PARTITION BY feature, cell)) AS e FROM l{r}"
+        ctes[f"s{r}"] = (f"SELECT feature, mode, sum(p * n) + 1e-12 AS mass, mu, sum(p * n * off) / mass AS moved, sum(p * n * off * off) AS sxx, sum(n) AS total FROM "
+                         f"(SELECT *, e / sum(e) OVER (PARTITION BY feature, cell) AS p FROM e{r}) GROUP BY feature, mode, mu")
+        ctes[f"r{r}"] = f"SELECT feature, mode, mass / total AS w, mu + moved AS mu, greatest(sqrt(greatest(sxx / mass - moved ** 2, 0)), 1e-3 * spread) AS sd FROM s{r} JOIN span USING (feature)"
+    ctes["used"] = f"SELECT DISTINCT feature, arg_max(mode, (l, -mode)) AS mode FROM ({logs(rounds)}) GROUP BY feature, cell"
+    ctes["good"] = f"SELECT *, w > 0.005 AND (feature, mode) IN (SELECT (feature, mode) FROM used) AS good FROM r{rounds}"
+    ctes["kept"] = ("SELECT * FROM (SELECT *, bool_or(good) OVER (PARTITION BY feature) AS kept_any, row_number() OVER (PARTITION BY feature ORDER BY w DESC, mode) AS place FROM good) "
+                    "WHERE good OR (NOT kept_any AND place = 1)")
+    return on_pair("SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY mu, mode) - 1 AS INT) AS mode, round(w / sum(w) OVER (PARTITION BY feature), 6) AS weight, "
+                   "round(mu, 6) AS mean, round(sd, 6) AS std FROM kept", **ctes)
+
+
+@query("d9_mode_fit", _em_sql(LONG_NUM))
 def d9(spark, d):
     return rounded(encode.mode_fit(pair(spark, d).filter("side = 'real'"), NUM))
 
@@ -362,7 +387,7 @@ def d10b(spark, d):
     return hot.select("row_key", "feature", F.array_join("hot", "").alias("hot"))
 
 
-@query("d12_mixed_fit")
+@query("d12_mixed_fit", _em_sql(LONG_NUM, "((feature = 'disc' AND v <> 0) OR (feature = 'capped' AND v <> 40))"))
 def d12(spark, d):
     return rounded(encode.mixed_fit(pair(spark, d).filter("side = 'real'"), {"disc": (0.0,), "capped": (40.0,)}))
 

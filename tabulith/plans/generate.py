@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.columns import uniform
 from tabulith.operators.encode import mode_arrays, mode_fit
-from tabulith.operators.sample import condition_tables, draw_conditions
+from tabulith.operators.sample import condition_tables, draw_conditions, sample_n
+from tabulith.sources.tables import scratch_path
 
 
 #: Stands between a class and a column or a category in a name.
@@ -48,9 +49,9 @@ def fit_sampler(real: DataFrame, label: str, numeric: list[str], categorical: li
                    {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in numeric})
 
 
-def _draw(s: Sampler, n: int, seed: int) -> DataFrame:
+def _draw(s: Sampler, n: int, seed: int, start: int = 0) -> DataFrame:
     spark = s.modes.sparkSession
-    rows = draw_conditions(spark, n, s.classes, [s.label], seed=seed).select("draw", F.col("category").alias(s.label))
+    rows = draw_conditions(spark, n, s.classes, [s.label], seed=seed, start=start).select("draw", F.col("category").alias(s.label))
     for k, c in enumerate(s.numeric):
         base = seed + 10 * (k + 1)
         modes = s.modes.filter(F.substring_index("feature", BETWEEN, -1) == c).select(F.substring_index("feature", BETWEEN, 1).alias(s.label), "modes")
@@ -73,18 +74,29 @@ def _draw(s: Sampler, n: int, seed: int) -> DataFrame:
     return rows
 
 
-def generate_rows(s: Sampler, n: int, *, seed: int, rounds: int = 3) -> DataFrame:
-    """``n`` rows within the fitted ranges; draws outside are rejected and drawn anew, in few, larger and larger rounds.
+def generate_rows(s: Sampler, n: int, *, seed: int) -> DataFrame:
+    """Exactly ``n`` rows within the fitted ranges: draws outside are rejected, and only what lacks is drawn anew.
 
-    An error, with the share accepted, if that isn't enough.
+    Each round draws what the share accepted so far makes likely to be enough, at most 64 times what lacks, and is a table in the shared
+    folder; draws are numbered on, so no round repeats another. Of the last round the draws of least hash fill up to n. An error if a
+    thousand draws for each row gave none.
     """
     ok = F.lit(True)
     for c, (lo, hi) in s.bounds.items():
         ok = ok & F.col(c).between(lo, hi)
-    probe = _draw(s, min(n, 2000), seed).agg(F.avg(ok.cast("double"))).first()[0] or 0.0
-    for k in range(1, rounds + 1):
-        want = int(n / max(probe, 0.01) * 1.2**k) + 10
-        rows = _draw(s, want, seed).filter(ok)
-        if rows.count() >= n:
-            return rows.orderBy("draw").limit(n).drop("draw")
-    raise ValueError(f"only {probe:.3f} of the draws are within the fitted ranges")
+    spark, out, lacking, tried, taken = s.modes.sparkSession, None, n, 0, 0
+    while lacking > 0 or out is None:
+        share = taken / tried if taken else 1.0 if not tried else 1 / 64
+        want = min(int(1.1 * lacking / share), 64 * lacking) + 100
+        rows = _draw(s, want, seed, tried).filter(ok)
+        path = scratch_path(spark, "drawn")
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        got = rows.count()
+        tried, taken = tried + want, taken + got
+        if got > lacking:
+            rows = sample_n(rows, lacking, seed=seed, key="draw")
+        out, lacking = rows if out is None else out.unionByName(rows), lacking - min(got, lacking)
+        if not taken and tried > 1000 * n:
+            raise ValueError(f"none of {tried} draws is within the fitted ranges")
+    return out.drop("draw")
