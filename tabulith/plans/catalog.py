@@ -455,6 +455,43 @@ def d14b(spark, d):
     return encode.mode_restore(permuted, order).select("row_key", "feature", "mode", F.col("kept").alias("slot"))
 
 
+def row_encoder(spark, d):
+    """Fixed modes for quantity and discount; the range of tax and the categories come from the table."""
+    from tabulith.operators.rows import Block, RowEncoder
+
+    p, of = pair(spark, d), {f: tuple((w, mu, sd) for _, w, mu, sd in ms) for f, ms in FIXED_MODES}
+    slots = encode.category_slots(p, ["flag", "status"])
+    sizes = {r.feature: r["count"] for r in slots.groupBy("feature").count().collect()}
+    r = p.agg(F.min("tax").alias("lo"), F.max("tax").alias("hi")).first()
+    return p, RowEncoder((Block("qty", "mode", of["qty"]), Block("disc", "mixed", of["disc"], MODAL["disc"], of["disc"]), Block("tax", "general", lo=r.lo, hi=r.hi),
+                          Block("flag", "category", categories=sizes["flag"]), Block("status", "category", categories=sizes["status"])), slots)
+
+
+_ROWS = dict(_MIXED, cat=LONG_CAT, slots=SLOTS, tr="SELECT min(tax) AS lo, max(tax) AS hi FROM pair")
+
+
+@query("d16_encode_rows", on_pair("SELECT row_key, CAST(i AS INT) AS i, round(v, 6) AS v FROM (SELECT row_key, 0 AS i, u AS v FROM enc WHERE feature = 'qty' UNION ALL SELECT row_key, 1 + mode, 1 FROM enc WHERE feature = 'qty' "
+                                  "UNION ALL SELECT row_key, 3, u FROM mixed WHERE feature = 'disc' UNION ALL SELECT row_key, 4 + slot, 1 FROM mixed WHERE feature = 'disc' "
+                                  "UNION ALL SELECT row_key, 8, 2 * (tax - lo) / (hi - lo) - 1 FROM pair, tr UNION ALL SELECT row_key, 9 + slot + CASE feature WHEN 'flag' THEN 0 ELSE "
+                                  "(SELECT count(*) FROM slots WHERE feature = 'flag') END, 1 FROM cat JOIN slots USING (feature, category) WHERE feature <> 'label')", **_ROWS))
+def d16(spark, d):
+    from tabulith.operators.rows import encode_rows
+
+    p, encoder = row_encoder(spark, d)
+    return rounded(encode_rows(p, encoder, seed=5).select("row_key", F.inline(F.arrays_zip(F.col("indices").alias("i"), F.col("values").alias("v")))))
+
+
+@query("d16_decode_rows", on_pair("SELECT row_key, round(q.u * 4 * q.sd + q.mu, 6) AS qty, round(m.value, 6) AS disc, round(tax, 6) AS tax, coalesce(flag, '__MISSING__') AS flag, status FROM pair "
+                                  "JOIN (SELECT row_key, u, sd, mu FROM enc JOIN modes USING (feature, mode) WHERE feature = 'qty') q USING (row_key) JOIN back m USING (row_key)",
+                                  **_ROWS, back=f"SELECT row_key, CASE WHEN point IS NULL THEN u * 4 * sd + mu ELSE v END AS value FROM mixed LEFT JOIN (SELECT feature, mode + {_FIRST} AS slot, mu AS mu, sd AS sd FROM modes) "
+                                                f"USING (feature, slot) WHERE feature = 'disc'"))
+def d16b(spark, d):
+    from tabulith.operators.rows import decode_rows, encode_rows
+
+    p, encoder = row_encoder(spark, d)
+    return rounded(decode_rows(encode_rows(p, encoder, seed=5), encoder))
+
+
 @query("d15_reject_out_of_range", on_pair("SELECT count(*) AS n_rows, count(*) FILTER (NOT (qty BETWEEN 1 AND 50 AND coalesce(price BETWEEN 0 AND 90000, true))) AS n_rejected FROM pair"))
 def d15(spark, d):
     return encode.reject_out_of_range(pair(spark, d), {"qty": (1.0, 50.0), "price": (0.0, 90000.0)})[1]
