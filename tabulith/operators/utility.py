@@ -97,10 +97,10 @@ def _prepare(df: DataFrame, numeric: list[str], categorical: list[str], values:
 
 
 CLASSIFIERS = {
-    "logistic": lambda n: LogisticRegression(labelCol="y", maxIter=20),
-    "tree": lambda n: DecisionTreeClassifier(labelCol="y", maxDepth=6, seed=0),
-    "forest": lambda n: RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=0),
-    "mlp": lambda n: MultilayerPerceptronClassifier(labelCol="y", layers=[n, 16, 2], maxIter=20, seed=0),
+    "logistic": lambda n, k, trees: LogisticRegression(labelCol="y", maxIter=20),
+    "tree": lambda n, k, trees: DecisionTreeClassifier(labelCol="y", maxDepth=6, seed=0),
+    "forest": lambda n, k, trees: RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=6, seed=0),
+    "mlp": lambda n, k, trees: MultilayerPerceptronClassifier(labelCol="y", layers=[n, 16, k], maxIter=40, seed=0),
 }
 REGRESSORS = {
     "ols": lambda: LinearRegression(labelCol="y"),
@@ -110,19 +110,39 @@ REGRESSORS = {
 
 
 def train_classifier(train: DataFrame, test: DataFrame, label: F.Column, numeric: list[str], categorical: list[str], model: str = "forest",
-                     weight: str | None = None) -> DataFrame:
-    """(row_key, label, prob) of the test rows by a binary model; ``label`` is true or false."""
+                     weight: str | None = None, trees: int = 20) -> DataFrame:
+    """(row_key, label, prob) of the test rows by a binary model; ``label`` is true or false. For more classes see :func:`predict_classes`."""
     values = impute_values(train, numeric, [])
     a, b = (_prepare(x.withColumn("y", label.cast("double")), numeric, categorical, values) for x in (train, test))
     enc = _encoder(a, numeric, categorical)
     ready = enc.transform(a)
-    est = CLASSIFIERS[model](len(ready.select("features").first()[0]))
+    est = CLASSIFIERS[model](len(ready.select("features").first()[0]), 2, trees)
     if weight and model != "mlp":
         est = est.setWeightCol(weight)
     out = est.fit(ready).transform(enc.transform(b))
     return out.select("row_key", F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("prob"))
 
 
+def predict_classes(train: DataFrame, test: DataFrame, label: str, numeric: list[str], categorical: list[str], model: str = "forest", trees: int = 20) -> DataFrame:
+    """(row_key, class, truth, prob): a row for each test row and class of the training rows, by a model of all classes at once.
+
+    Logistic regression is multinomial. Rows without a label are left out; a test label that was not trained on stays as the truth. Medians
+    for missing numbers come from the training rows.
+    """
+    values = impute_values(train, numeric, [])
+    own = lambda df: df.filter(F.col(label).isNotNull()).select("row_key", *numeric, *categorical, F.col(label).cast("string").alias("_label"))
+    named = lambda df: _prepare(own(df), numeric, categorical, values)
+    a, b = named(train), named(test)
+    index = StringIndexer(inputCol="_label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(a)
+    classes = index.labels
+    enc = _encoder(a, numeric, categorical)
+    ready = enc.transform(index.transform(a))
+    fitted = CLASSIFIERS[model](len(ready.select("features").first()[0]), len(classes), trees).fit(ready.select("y", "features"))
+    p = vector_to_array("probability")
+    each = F.array(*(F.struct(F.lit(c).alias("class"), F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias("prob")) for i, c in enumerate(classes)))
+    return fitted.transform(enc.transform(b)).select("row_key", F.col("_label").alias("truth"), F.inline(each)).select("row_key", "class", "truth", "prob")
+
+
 def train_regressor(train: DataFrame, test: DataFrame, target: str, numeric: list[str], categorical: list[str], model: str = "ols") -> DataFrame:
     """(row_key, y, y_hat) of the test rows."""
     values = impute_values(train, numeric, [])
@@ -131,46 +151,76 @@ def train_regressor(train: DataFrame, test: DataFrame, target: str, numeric: lis
     return REGRESSORS[model]().fit(enc.transform(a)).transform(enc.transform(b)).select("row_key", "y", F.col("prediction").alias("y_hat"))
 
 
-def utility_gap(split: DataFrame, syn: DataFrame, label: F.Column, numeric: list[str], categorical: list[str], models: list[str]) -> DataFrame:
-    """(model, run, accuracy, auc, f1, gap_accuracy, gap_auc, gap_f1): trained on real (run 0) and on each synthetic run, all tested on the same held-out real rows.
-
-    ``split`` is the real table with ``part``; its test rows must be unknown to the generator.
-    A gap is what the model trained on real rows has more than this one; 0 for run 0.
-    """
+def _gaps(split: DataFrame, syn: DataFrame, models: list[str], score, metrics: tuple[str, ...]) -> DataFrame:
+    """(model, run, metrics, gaps): ``score(train, test, model)`` for real (run 0) and for each synthetic run, on the same held-out real rows."""
     test, out = split.filter("part = 'test'"), None
     runs = [r.run for r in syn.select("run").distinct().orderBy("run").collect()]  # a row for each file
     for run in [0, *runs]:
         train = split.filter("part = 'train'").drop("part") if run == 0 else syn.filter(F.col("run") == run)
         for m in models:
-            row = classification_metrics(train_classifier(train, test, label, numeric, categorical, m)).select(
-                F.lit(m).alias("model"), F.lit(run).cast("int").alias("run"), "*")
+            row = score(train, test, m).select(F.lit(m).alias("model"), F.lit(run).cast("int").alias("run"), *metrics)
             out = row if out is None else out.unionByName(row)
-    real = F.max_by(F.struct("accuracy", "auc", "f1"), F.when(F.col("run") == 0, 1)).over(Window.partitionBy("model"))  # a row for each run
-    return out.withColumn("_real", real).select("model", "run", "accuracy", "auc", "f1", *((F.col(f"_real.{c}") - F.col(c)).alias(f"gap_{c}") for c in ("accuracy", "auc", "f1")))
+    real = F.max_by(F.struct(*metrics), F.when(F.col("run") == 0, 1)).over(Window.partitionBy("model"))  # a row for each run
+    return out.withColumn("_real", real).select("model", "run", *metrics, *((F.col(f"_real.{c}") - F.col(c)).alias(f"gap_{c}") for c in metrics))
+
+
+def utility_gap(split: DataFrame, syn: DataFrame, label: F.Column, numeric: list[str], categorical: list[str], models: list[str]) -> DataFrame:
+    """(model, run, accuracy, auc, f1, gap_accuracy, gap_auc, gap_f1): trained on real (run 0) and on each synthetic run, all tested on the same held-out real rows.
 
+    ``split`` is the real table with ``part``; its test rows must be unknown to the generator. ``label`` is true or false.
+    A gap is what the model trained on real rows has more than this one; 0 for run 0.
+    """
+    return _gaps(split, syn, models, lambda train, test, m: classification_metrics(train_classifier(train, test, label, numeric, categorical, m)), ("accuracy", "auc", "f1"))
+
+
+def class_gap(split: DataFrame, syn: DataFrame, label: str, numeric: list[str], categorical: list[str], models: list[str]) -> DataFrame:
+    """As :func:`utility_gap` for a label of any number of classes, with AUC and F1 weighted by support."""
+    return _gaps(split, syn, models, lambda train, test, m: multiclass_metrics(predict_classes(train, test, label, numeric, categorical, m), "row_key"), ("accuracy", "auc", "f1"))
+
+
+def regression_gap(split: DataFrame, syn: DataFrame, target: str, numeric: list[str], categorical: list[str], models: list[str]) -> DataFrame:
+    """As :func:`utility_gap` for a number: (model, run, mape, explained_variance, r2) and their gaps."""
+    return _gaps(split, syn, models, lambda train, test, m: regression_metrics(train_regressor(train, test, target, numeric, categorical, m)), ("mape", "explained_variance", "r2"))
+
+
+def mean_gap(gaps: DataFrame) -> DataFrame:
+    """(model, n_runs, gaps): real less the mean of the synthetic runs."""
+    return gaps.filter("run > 0").groupBy("model").agg(F.count("*").alias("n_runs"), *(F.avg(c).alias(c) for c in gaps.columns if c.startswith("gap_")))
 
-def rare_event_recall(split: DataFrame, syn: DataFrame, label: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """(arm, n_rare, n_hit, recall) of the rarest class, for models trained on real and on synthetic rows, tested on the same real rows."""
+
+def rare_event_recall(split: DataFrame, syn: DataFrame, label: str, numeric: list[str], categorical: list[str], trees: int = 200) -> DataFrame:
+    """(arm, rare_label, n_rare, n_hit, recall): how many of the rarest class a forest of all classes finds, trained on real and on synthetic rows.
+
+    Both are tested on the same real rows. A row is found if no class is likelier (ties: the first by name).
+    """
     rare = rare_class(split, label).first()["rare_label"]
     test, out = split.filter("part = 'test'"), None
     for arm, train in (("real", split.filter("part = 'train'")), ("syn", syn)):
-        is_rare = F.col(label) == rare
-        balance = train.agg(F.count("*").alias("n"), F.sum(is_rare.cast("bigint")).alias("r")).first()
-        train = train.withColumn("_w", F.when(is_rare, balance.n / (2.0 * max(balance.r or 0, 1))).otherwise(balance.n / (2.0 * max(balance.n - (balance.r or 0), 1))))
-        pred = train_classifier(train, test, is_rare, numeric, categorical, "forest", "_w")
-        row = pred.filter("label = 1").agg(F.count("*").alias("n_rare"), F.sum((F.col("prob") >= 0.5).cast("bigint")).alias("n_hit")).select(
-            F.lit(arm).alias("arm"), "n_rare", "n_hit", F.try_divide("n_hit", "n_rare").alias("recall"))
+        pred = predict_classes(train, test.filter(F.col(label) == rare), label, numeric, categorical, "forest", trees)
+        guess = pred.groupBy("row_key").agg(F.min_by("class", F.struct(-F.col("prob"), F.col("class"))).alias("guess"))
+        row = guess.agg(F.count("*").alias("n_rare"), F.coalesce(F.sum((F.col("guess") == str(rare)).cast("bigint")), F.lit(0)).alias("n_hit")).select(
+            F.lit(arm).alias("arm"), F.lit(str(rare)).alias("rare_label"), "n_rare", "n_hit", F.try_divide("n_hit", "n_rare").alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def detector(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], *, seed: int = 0, model: str = "forest") -> DataFrame:
-    """(row_key, label, prob): a classifier of synthetic against real rows, on a held-out tenth."""
+def detector(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], *, seed: int = 0, model: str = "forest", trees: int = 300) -> DataFrame:
+    """(row_key, label, prob): a class-balanced classifier of synthetic against real rows, on held-out rows, 77 in 256 by a hash."""
     both = real.withColumn("_syn", F.lit(False)).unionByName(syn.withColumn("_syn", F.lit(True)))
     n = {r["_syn"]: r["count"] for r in both.groupBy("_syn").count().collect()}  # two rows
     both = both.withColumn("_w", F.when(F.col("_syn"), sum(n.values()) / 2.0 / n.get(True, 1)).otherwise(sum(n.values()) / 2.0 / n.get(False, 1)))
     held = F.conv(F.substring(hash_order(seed, "row_key"), 1, 2), 16, 10).cast("int") < 77
-    return train_classifier(both.filter(~held), both.filter(held), F.col("_syn"), numeric, categorical, model, "_w")
+    return train_classifier(both.filter(~held), both.filter(held), F.col("_syn"), numeric, categorical, model, "_w", trees)
+
+
+def detector_report(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], **options) -> DataFrame:
+    """(accuracy, auc, f1, ap, n_real, n_syn, n_features, n_encoded) of a detector: its metrics, the rows of both sides, and its columns before and after encoding."""
+    pred = detector(real, syn, numeric, categorical, **options)
+    both = _prepare(real.unionByName(syn), numeric, categorical, impute_values(real.unionByName(syn), numeric, []))
+    encoded = len(_encoder(both, numeric, categorical).transform(both).select("features").first()[0])
+    sizes = real.agg(F.count("*").alias("n_real")).crossJoin(F.broadcast(syn.agg(F.count("*").alias("n_syn"))))  # one row each, as below
+    return classification_metrics(pred).crossJoin(F.broadcast(average_precision(pred))).crossJoin(F.broadcast(sizes)).withColumns(
+        {"n_features": F.lit(len(numeric) + len(categorical)), "n_encoded": F.lit(encoded)})
 
 
 def detector_importance(real: DataFrame, syn: DataFrame, numeric: list[str], categorical: list[str], *, seed: int = 0) -> DataFrame:
@@ -180,12 +230,12 @@ def detector_importance(real: DataFrame, syn: DataFrame, numeric: list[str], cat
     slices of the rows, is its own by another hash: every row gets one. One model serves all columns.
     """
     both = real.withColumn("_syn", F.lit(False)).unionByName(syn.withColumn("_syn", F.lit(True)))
-    values = impute_values(both, numeric, [])
-    ready = _prepare(both.withColumn("y", F.col("_syn").cast("double")), numeric, categorical, values)
     held = F.conv(F.substring(hash_order(seed, "row_key"), 1, 2), 16, 10).cast("int") < 77
+    values = impute_values(both.filter(~held), numeric, [])  # of the training rows only
+    ready = _prepare(both.withColumn("y", F.col("_syn").cast("double")), numeric, categorical, values)
     train, test = ready.filter(~held), ready.filter(held)
     enc = _encoder(train, numeric, categorical)
-    model = CLASSIFIERS["forest"](0).fit(enc.transform(train))
+    model = CLASSIFIERS["forest"](0, 2, 20).fit(enc.transform(train))
     score = lambda df: _auc_row(model.transform(enc.transform(df)).select(F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("prob")))
     part = F.substring(hash_order(seed + 1, "row_key"), 1, 2)
     slot = lambda s: (part, F.row_number().over(Window.partitionBy(part).orderBy(hash_order(s, "row_key"), "row_key")))

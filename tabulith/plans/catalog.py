@@ -887,6 +887,40 @@ def i1(spark, d):
     return rounded(utility.train_classifier(s.filter("part = 'train'"), s.filter("part = 'test'"), is_rare(), X_NUM, X_CAT, "tree"))
 
 
+def _classes(model: str) -> None:
+    @query(f"i1_{model}_classes")
+    def classes(spark, d):
+        s, _ = split_real(spark, d)
+        return rounded(utility.predict_classes(s.filter("part = 'train'"), s.filter("part = 'test'"), "label", X_NUM, X_CAT, model))
+
+
+for _model in ("logistic", "forest", "mlp"):
+    _classes(_model)
+
+
+def _regressor(model: str) -> None:
+    @query(f"i2_{model}")
+    def regressor(spark, d):
+        s, _ = split_real(spark, d)
+        return rounded(utility.train_regressor(s.filter("part = 'train'"), s.filter("part = 'test'"), "price", ["qty", "disc", "tax"], ["status"], model))
+
+
+for _model in ("ols", "lasso"):
+    _regressor(_model)
+
+
+@query("i6_class_gap")
+def i6b(spark, d):
+    s, syn = split_real(spark, d)
+    return rounded(utility.class_gap(s, syn, "label", X_NUM, X_CAT, ["logistic", "tree"]))
+
+
+@query("i6_regression_mean_gap")
+def i6c(spark, d):
+    s, syn = split_real(spark, d)
+    return rounded(utility.mean_gap(utility.regression_gap(s, syn, "price", ["qty", "disc", "tax"], ["status"], ["ols", "ridge"])))
+
+
 @query("i2_train_regressor")
 def i2(spark, d):
     s, _ = split_real(spark, d)
@@ -907,7 +941,7 @@ def i7(spark, d):
 
 @query("i8_detector")
 def i8(spark, d):
-    return rounded(utility.classification_metrics(utility.detector(*real_syn(spark, d), X_NUM, X_CAT)))
+    return rounded(utility.detector_report(*real_syn(spark, d), X_NUM, X_CAT))
 
 
 @query("i9_detector_importance")
