@@ -148,7 +148,8 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
     """(by, a, b, value) for a < b: Pearson for numbers, Cramer's V (bias-corrected) for categories, correlation ratio for mixed pairs.
 
     Rows with a null in a pair are left out for numbers; a null category is a category. Null where it
-    isn't defined: a column that is constant or empty. Without a pair of columns there are no rows.
+    isn't defined: a column that is constant or empty. Without a pair of columns there are no rows. A scan for each kind
+    of pair, three in all, for any number of columns.
     """
     cats = df.withColumns({c: or_missing(F.col(c).cast("string")) for c in categorical})
     pairs = [(a, b, f"{a}|{b}") for a, b in combinations(sorted(numeric), 2)]
@@ -156,11 +157,9 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
     if pairs:
         pearson = cats.groupBy(*by).agg(*(F.corr(a, b).alias(name) for a, b, name in pairs))
         out = out.unionByName(pearson.unpivot(by, [name for *_, name in pairs], "pair", "value"))
-    tables = None
-    for a, b in combinations(sorted(categorical), 2):  # contingency tables from one reduced table
-        t = cats.groupBy(*by, F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-        tables = t if tables is None else tables.unionByName(t)
-    if tables is not None:
+    if len(categorical) > 1:  # the contingency tables of all pairs, counted in one scan
+        each = F.array(*(F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(sorted(categorical), 2)))
+        tables = cats.select(*by, F.inline(each)).groupBy(*by, "pair", "x", "y").agg(F.count("*").alias("n"))
         w = lambda *c: Window.partitionBy(*by, "pair", *c)
         t = tables.withColumns({"nx": F.sum("n").over(w("x")), "ny": F.sum("n").over(w("y")), "nn": F.sum("n").over(w())})
         g = t.groupBy(*by, "pair").agg((F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))) - 1).alias("phi2"), F.max("nn").alias("nn"),
@@ -169,15 +168,17 @@ def association_matrix(df: DataFrame, numeric: list[str], categorical: list[str]
         rc, cc = (F.col(x) - F.try_divide(F.pow(F.col(x) - 1, F.lit(2)), F.col("nn") - 1) for x in ("r", "c"))
         least = F.least(rc, cc) - 1
         out = out.unionByName(g.select(*by, "pair", F.when(least > 0, F.sqrt(phi / least)).otherwise(0.0).alias("value")))
-    for c in categorical if numeric else []:
-        groups = cats.groupBy(*by, c).agg(*(x for v in numeric for x in (F.count(v).alias(f"n_{v}"), F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q_{v}"))))
-        mean = lambda v: F.try_divide(F.pow(F.sum(f"s_{v}"), F.lit(2)), F.sum(f"n_{v}"))
-        among = lambda v: F.sum(F.try_divide(F.col(f"s_{v}") * F.col(f"s_{v}"), F.col(f"n_{v}"))) - mean(v)
-        share = lambda v: F.try_divide(among(v), F.sum(f"q_{v}") - mean(v))
-        eta = lambda v: F.when(share(v).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), share(v))))
-        names = {v: "|".join(sorted((v, c))) for v in numeric}
-        rows = groups.groupBy(*by).agg(*(eta(v).alias(names[v]) for v in numeric))
-        out = out.unionByName(rows.unpivot(by, list(names.values()), "pair", "value"))
+    if categorical and numeric:  # sums of all numbers for each category of each column, in one scan
+        own = F.inline(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).alias("_x")) for c in categorical)))
+        groups = cats.select(*by, *(F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(numeric)), own).groupBy(*by, "_c", "_x").agg(*(
+            x for i in range(len(numeric)) for x in (F.count(f"_v{i}").alias(f"n{i}"), F.sum(f"_v{i}").alias(f"s{i}"), F.sum(F.col(f"_v{i}") * F.col(f"_v{i}")).alias(f"q{i}"))))
+        mean = lambda i: F.try_divide(F.pow(F.sum(f"s{i}"), F.lit(2)), F.sum(f"n{i}"))
+        among = lambda i: F.sum(F.try_divide(F.col(f"s{i}") * F.col(f"s{i}"), F.col(f"n{i}"))) - mean(i)
+        share = lambda i: F.try_divide(among(i), F.sum(f"q{i}") - mean(i))
+        eta = lambda i: F.when(share(i).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), share(i))))
+        rows = groups.groupBy(*by, "_c").agg(*(eta(i).alias(f"e{i}") for i in range(len(numeric))))
+        long = rows.select(*by, "_c", F.inline(F.array(*(F.struct(F.lit(v).alias("_n"), F.col(f"e{i}").alias("value")) for i, v in enumerate(numeric)))))
+        out = out.unionByName(long.select(*by, F.array_join(F.array_sort(F.array("_c", "_n")), "|").alias("pair"), "value"))
     return out.select(*by, F.substring_index("pair", "|", 1).alias("a"), F.substring_index("pair", "|", -1).alias("b"), "value")
 
 
