@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with token-combination prefixes, and the groups that its links make.
 
 Tokens are the distinct five-word shingles of a text. They get one global order: first those
-whose counter in a fixed-size table of counts is low, then by hash. A set of n tokens and one
+whose counter in a table of counts, of bounded size, is low, then by hash. A set of n tokens and one
 similar to it (Jaccard >= 3/4) share t = ceil(3n/4) tokens at least, so the first k of those
 they share are among the first n - t + k of each. Each set is posted under these, its extended
 prefix, with k = 2 + n/16, and with the place of each token in it.
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import Scratch, WordHash, partitions, shingles
+from tabulith.llm.common import Scratch, WordHash, join_dealt, partitions, shingles
 from tabulith.llm.components import components
 
-#: Counters in the table of token counts; it is broadcast, 4 bytes for each.
-COUNTERS_LOG2 = 18
+#: Counters in the table of token counts, least and most; it is broadcast, 4 bytes for each.
+COUNTERS_LOG2 = (18, 22)
+#: Between these, there is a counter for so many bytes of text.
+BYTES_A_COUNTER = 3000
 #: A posting list of more nodes than this is that of a frequent token.
 FREQUENT = 128
 #: Frequent tokens are combined with those at most so many places further in a prefix.
@@ -40,37 +42,47 @@ NEAR = 6
 POST_BATCH = 1000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond, by a shuffle.
 BROADCAST_IDS = 200_000
-#: Rows of one posting list that one task may take before the list is split.
+#: Rows of one posting list, or pairs of one node, that one task may take before they are dealt to several.
 LIST_SPLIT = 20_000
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, fp), then this task's counts of tokens as (slot, cnt)."""
-    cache, counts = WordHash(), np.zeros(1 << COUNTERS_LOG2, np.int64)
-    for batch in batches:
-        n, fp, held, size = [], [], [], 0
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, cache)
-            n.append(len(s))
-            fp.append(_fp(s))
-            held.append(_slots(s))
-            size += len(s)
-            if size > 1 << 20:
+def _fingerprints(log2: int):
+    """The function from (doc_id, text) to (doc_id, n, fp), then its task's counts of tokens as (slot, cnt), of 2^log2 slots."""
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, counts = WordHash(), np.zeros(1 << log2, np.int64)
+        for batch in batches:
+            n, fp, held, size = [], [], [], 0
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, cache)
+                n.append(len(s))
+                fp.append(_fp(s))
+                held.append(_slots(s, log2))
+                size += len(s)
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                    held, size = [], 0
+            if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        k = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
-                                          pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], ["doc_id", "n", "fp", "slot", "cnt"])
-    slots = np.flatnonzero(counts)
-    k = len(slots)
-    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                      pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["doc_id", "n", "fp", "slot", "cnt"])
+            k = len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
+                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], ["doc_id", "n", "fp", "slot", "cnt"])
+        slots = np.flatnonzero(counts)
+        k = len(slots)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                                          pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["doc_id", "n", "fp", "slot", "cnt"])
+
+    return fingerprints
 
 
-def _slots(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
+def _slots(s: np.ndarray, log2: int) -> np.ndarray:
+    return (s >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def _counters(size: int) -> int:
+    """log2 of the counters for texts of so many bytes."""
+    low, high = COUNTERS_LOG2
+    return min(high, max(low, (size // BYTES_A_COUNTER).bit_length()))
 
 
 def _fp(s: np.ndarray) -> int:
@@ -80,11 +92,16 @@ def _fp(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s) & 0xFFFF)).view(np.int64))
 
 
-def _poster(counts):
-    """The function that posts each set under its first tokens; ``counts`` is a broadcast array."""
+def _poster(counts, split: int):
+    """The function that posts each set under its first tokens; ``counts`` is a broadcast array, a power of two long.
+
+    A token has a salt if its counter is over twice the mean of all by ``split`` or more, so that
+    the counts of many rare tokens in one counter split no list.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table = WordHash(), counts.value
+        log2, usual = len(table).bit_length() - 1, 2 * int(table.mean())
         low = np.uint64((1 << 32) - 1)
         for texts in (b.column(0).slice(i, POST_BATCH).to_pylist() for b in batches for i in range(0, b.num_rows, POST_BATCH)):
             toks, fps, places, salts, seen = [], [], [], [], set()
@@ -93,14 +110,14 @@ def _poster(counts):
                 if not len(s) or (fp := _fp(s)) in seen:
                     continue
                 seen.add(fp)
-                c = table[_slots(s)]
+                c = table[_slots(s, log2)]
                 take = min(len(s), len(s) - -(-3 * len(s) // 4) + 2 + len(s) // 16)
                 rank = (c.astype(np.uint64) << np.uint64(32)) | (s & low)  # ties in order of the whole hash: s is sorted
                 first = np.argsort(rank, kind="stable")[:take]
                 toks.append(s[first])
                 fps.append(np.full(take, fp, np.int64))
                 places.append(np.arange(take, dtype=np.int32))
-                parts = 1 + c[first] // LIST_SPLIT
+                parts = 1 + np.maximum(c[first].astype(np.int64) - usual, 0) // split
                 salts.append(np.where(parts > 1, abs(fp) % parts, -1).astype(np.int32))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(salts)), pa.array(np.concatenate(toks).view(np.int64)),
@@ -143,10 +160,32 @@ def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratc
     return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary").repartition(n, "fp").dropDuplicates(["fp"]), "sets", "fp", n)
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, tokens of a, tokens of b). Only the set of ``a`` is moved."""
-    left = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
-    return left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+def _posted(docs: DataFrame, counts, scratch: Scratch, split: int) -> tuple[DataFrame, DataFrame]:
+    """(token, fp, pos): the posting lists with two nodes at least, each node once; long ones are put in order in parts. And the table it reads."""
+    posted = docs.select("text").mapInArrow(_poster(counts, split), "salt int, token long, fp long, pos int")
+    order = Window.partitionBy("token", "salt").orderBy("fp")
+    once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
+    ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("after", F.lead("fp").over(order)))
+    alone = (F.col("leader") == F.col("fp")) & F.col("after").isNull()
+    # Of a list in parts, a node that is alone in its part may have others in the next.
+    parts = scratch.table(ranked.withColumn("alone", alone).filter("salt >= 0 OR NOT alone")
+                          .select("token", "fp", "pos", (F.col("salt") >= 0).alias("split"), "alone"), "parts")
+    several = parts.filter("split").groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("token")
+    lone = parts.filter("alone").join(several, "token", "left_semi")
+    return parts.filter("NOT alone").unionByName(lone).select("token", "fp", "pos"), parts
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, tokens of a, tokens of b). Only the set of ``a`` is moved, but for nodes of over LIST_SPLIT pairs: these are dealt, each part with a copy of the set."""
+    out = pairs.select("a", "b")
+    for node, other, held in (("a", "b", "x"), ("b", "a", "y")):
+        hot = pairs.groupBy(node).agg(F.count("*").alias("c")).filter(F.col("c") > LIST_SPLIT)
+        hot = scratch.table(hot.select(node, F.ceil(F.col("c") / LIST_SPLIT).cast("int").alias("parts")), "hot")
+        n = hot.count()  # a row for LIST_SPLIT pairs at most
+        right = sets.select(F.col("fp").alias(node), F.col("tokens").alias(held))
+        out = join_dealt(out, right, node, F.broadcast(hot) if n <= BROADCAST_IDS else hot, F.xxhash64(other)) if n else out.join(right, node)
+    return out.select("a", "b", "x", "y")
 
 
 def _prune(lists: DataFrame, members: DataFrame) -> DataFrame:
@@ -272,29 +311,24 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = scratch.table(docs.mapInArrow(_fingerprints, "doc_id long, n long, fp long, slot int, cnt long"), "fingerprints")
+    log2 = _counters(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    first = scratch.table(docs.mapInArrow(_fingerprints(log2), "doc_id long, n long, fp long, slot int, cnt long"), "fingerprints")
     members = first.filter(F.col("slot").isNull()).select("doc_id", "n", "fp")
-    counts = np.zeros(1 << COUNTERS_LOG2, np.int64)  # a fixed size, whatever the input
+    counts = np.zeros(1 << log2, np.int64)  # of at most 2^22
     for slot, c in first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("cnt")).toPandas().itertuples(index=False):
         counts[slot] = c
     table = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1))
 
-    # Posting lists with two nodes at least; lists of very frequent tokens are split by salt.
-    posted = docs.select("text").mapInArrow(_poster(table), "salt int, token long, fp long, pos int")
-    order = Window.partitionBy("token", "salt").orderBy("fp")
-    once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
-    ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("after", F.lead("fp").over(order)))
-    found = scratch.table(ranked.filter("salt >= 0 OR leader != fp OR after IS NOT NULL").select("token", "fp", "pos"), "found")
+    found, parts = _posted(docs, table, scratch, LIST_SPLIT)
     lists = scratch.table(_prune(found, members), "lists")
-    scratch.drop(found)
+    scratch.drop(parts)
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
 
     tries = scratch.table(_tries(lists), "tries")
-    links = scratch.table(_with_sets(tries, sets).mapInArrow(_linked, "a long, b long"), "links")
+    links = scratch.table(_with_sets(tries, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links, scratch)
     pairs = scratch.table(_crossing(scratch.table(_mixed(lists, comps), "mixed"), scratch), "pairs")
-    more = scratch.table(_with_sets(pairs, sets).mapInArrow(_linked, "a long, b long"), "links")
+    more = scratch.table(_with_sets(pairs, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links.unionByName(more), scratch)
 
     named = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left")

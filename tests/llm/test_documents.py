@@ -125,6 +125,65 @@ def test_jaccard_groups_of_small_sets_with_long_lists(spark):
             assert sorted((tuple(r) for r in jaccard_groups(frame(spark, rows)).collect()), key=str) == brute_groups_fast(rows)
 
 
+def test_posting_lists_in_parts_are_those_of_whole_lists(spark):
+    from tabulith.llm import jaccard_join
+    from tabulith.llm.common import Scratch
+
+    passage = text_of(75, 40)
+    rows = [(i, f"{text_of(3000 + i, 6)} {passage}" if i % 3 else text_of(4000 + i % 7, 25)) for i in range(150)]
+    docs, log2 = frame(spark, rows).select("doc_id", "text"), 12
+    counts = np.zeros(1 << log2, np.int64)
+    cache = WordHash()
+    for _, text in rows:
+        np.add.at(counts, jaccard_join._slots(shingles(text, cache), log2), 1)
+    table, scratch = spark.sparkContext.broadcast(counts), Scratch(spark, "parts")
+    whole, dealt = (jaccard_join._posted(docs, table, scratch, split) for split in (1 << 40, 1))
+    assert sorted(whole[0].collect()) == sorted(dealt[0].collect())
+    assert not whole[1].filter("split").count() and 0 < dealt[1].filter("split").count() < dealt[1].count()
+    scratch.close()
+
+
+def test_many_rare_tokens_in_one_counter_split_no_list(spark):
+    from tabulith.llm import jaccard_join
+    from tabulith.llm.common import Scratch
+
+    docs = frame(spark, [(i, text_of(5000 + i, 60)) for i in range(40)])
+    table, scratch = spark.sparkContext.broadcast(np.full(4, 1_000_000)), Scratch(spark, "parts")
+    found, parts = jaccard_join._posted(docs.select("doc_id", "text"), table, scratch, 10)
+    assert found.count() == parts.count() == 0
+    scratch.close()
+
+
+def test_counters_grow_with_the_texts_up_to_a_bound():
+    from tabulith.llm.jaccard_join import _counters
+
+    assert [_counters(n) for n in (0, 500 << 20, 5 << 30, 100 << 40)] == [18, 18, 21, 22]
+
+
+def test_jaccard_groups_with_hot_nodes_dealt(spark):
+    from tabulith.llm import jaccard_join
+
+    rng, base = random.Random(21), text_of(76, 60).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, text_of(6000 + i // 2, 30)) for i in range(10)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "LIST_SPLIT", 3)
+        assert sorted((tuple(r) for r in jaccard_groups(frame(spark, rows)).collect()), key=str) == brute_groups_fast(rows)
+
+
+def test_join_dealt_equals_the_plain_join(spark):
+    from tabulith.llm.common import join_dealt
+
+    left = spark.range(200).select(F.when(F.col("id") < 150, 1).otherwise(F.col("id") % 5).alias("k"), "id")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(4)], "k long, v string")
+    hot = spark.createDataFrame([(1, 7)], "k long, parts int")
+    assert sorted(join_dealt(left, right, "k", hot, F.xxhash64("id")).collect()) == sorted(left.join(right, "k").collect())
+
+
 def test_jaccard_groups_of_nothing(spark):
     assert jaccard_groups(frame(spark, {})).count() == 0
 
