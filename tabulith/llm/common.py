@@ -110,17 +110,17 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, count: str, tot
     return out.select(*[left[c] for c in left.columns], *[got[c].alias(c) for c in names])
 
 
-def join_dealt(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """Inner join of ``left`` to ``right``, which has one row for each ``key``, where keys have very many rows in ``left``.
+def join_dealt(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """Join of ``left`` to ``right``, which has one row for each ``key``, where keys have very many rows in ``left``.
 
     ``hot`` has these keys and in ``parts`` into how many parts to deal their rows, by ``spread`` (a
     column of ``left``). Each part gets a copy of the row of ``right``. The rest is joined as it is.
     """
     names = [c for c in right.columns if c != key]
-    cold = left.join(hot.select(key), key, "left_anti").join(right, key)
+    cold = left.join(hot.select(key), key, "left_anti").join(right, key, how)
     dealt = left.withColumn("_spread", spread).join(hot, key).withColumn("_part", F.pmod("_spread", "parts").cast("int"))
     copies = right.join(hot, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return cold.unionByName(dealt.drop("parts", "_spread").join(copies, [key, "_part"]).select(*cold.columns)).select(*left.columns, *names)
+    return cold.unionByName(dealt.drop("parts", "_spread").join(copies, [key, "_part"], how).select(*cold.columns)).select(*left.columns, *names)
 
 
 #: Bits of a screen; at most 16 MiB are broadcast, whatever the input.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import Scratch, join_on_hot_key
+from tabulith.llm.common import HOT_KEYS, Scratch, join_dealt, join_on_hot_key
 
 #: The alphabet of base32 and the line end of header blocks: fixed values of the formats.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -83,20 +83,26 @@ def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> Dat
 
     Returns page_id, url, record_type, payload_digest, content_length, refers_to, payload_bytes,
     verified (the stored payload has the digests and the length that the header block and the
-    archive give), header_bytes and, unless ``payload`` is False, record: the bytes of the whole record.
-    Payloads are digested where they are stored, once each, before the join.
+    archive give; false where the archive has lost it), header_bytes and, unless ``payload`` is False, record: the bytes of the whole record.
+    Payloads are digested where they are stored, once each, before the join. They are never broadcast: those
+    that over one record in HOT_KEYS has are joined in parts, each with a copy of the payload.
     """
     heads = spark.read.parquet(f"{path}/headers")
     stored = spark.read.parquet(f"{path}/payloads")
     checked = stored.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("stored_digest"),
                             (F.sha2("payload", 256) == F.col("sha256")).alias("intact"), *(["payload"] if payload else []))
-    n = heads.groupBy("sha256").agg(F.count("*").alias("n"))
-    joined = join_on_hot_key(heads, checked.join(n, "sha256"), "sha256", "n", heads.count())
+    parts = F.least("n", F.ceil(F.col("n") * HOT_KEYS / F.lit(max(heads.count(), 1)))).cast("int")
+    hot = heads.groupBy("sha256").agg(F.count("*").alias("n")).select("sha256", parts.alias("parts")).filter("parts > 1").collect()  # HOT_KEYS at most
+    if hot:
+        hot = F.broadcast(spark.createDataFrame(hot, "sha256 string, parts int"))
+        joined = join_dealt(heads, checked, "sha256", hot, F.monotonically_increasing_id(), "left")
+    else:
+        joined = heads.join(checked, "sha256", "left")
     digest = F.substring_index(_header("WARC-Payload-Digest"), ":", -1)
     length = _header("Content-Length").cast("long")
     return joined.select(
         "page_id", _header("WARC-Target-URI").alias("url"), _header("WARC-Type").alias("record_type"), digest.alias("payload_digest"),
         length.alias("content_length"), _header("X-Refers-To-Page").cast("long").alias("refers_to"), "payload_bytes",
-        (F.col("intact") & (F.col("stored_digest") == digest) & (F.col("payload_bytes") == length)).alias("verified"),
+        F.coalesce(F.col("intact") & (F.col("stored_digest") == digest) & (F.col("payload_bytes") == length), F.lit(False)).alias("verified"),
         F.octet_length("header").alias("header_bytes"),
         *([F.concat(F.col("header").cast("binary"), F.col("payload"), F.lit(END + END).cast("binary")).alias("record")] if payload else []))

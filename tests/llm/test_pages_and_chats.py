@@ -89,6 +89,20 @@ def test_archive_round_trip(spark, tmp_path):
         assert r.payload_digest == base64.b32encode(hashlib.sha1(html).digest()).decode() and r.payload_bytes == len(html)
         assert bytes(r.record).startswith(b"WARC/1.1\r\n") and bytes(r.record).endswith(b"\r\n\r\n" + html + b"\r\n\r\n")
     assert spark.read.parquet(f"{path}/payloads").count() == 3
+    lost = str(tmp_path / "lost")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{lost}/headers")
+    spark.read.parquet(f"{path}/payloads").filter("octet_length(payload) != 4").write.parquet(f"{lost}/payloads")
+    assert sorted((r.page_id or 0, r.verified) for r in read_records(spark, lost).collect()) == [
+        (0, False), (3, False), (4, True), (5, False), (7, True), (8, True), (8, True), (9, False)]
+
+
+def test_hot_payloads_are_dealt_and_not_broadcast(spark, tmp_path):
+    rows = [(i, f"u{i}", "hot " * 50 if i % 3 == 0 else f"page {i}") for i in range(1500)]
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    records = read_records(spark, str(tmp_path / "a"))
+    assert sorted((r.page_id, bytes(r.body).decode()) for r in records.select("page_id", payload_of(F.col("record"), F.col("header_bytes")).alias("body")).collect()) == [
+        (i, h) for i, _, h in rows]
+    assert "_part" in records._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_conversations_come_back_from_their_format(spark):
