@@ -42,6 +42,8 @@ NEAR = 6
 POST_BATCH = 1000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond, by a shuffle.
 BROADCAST_IDS = 200_000
+#: Bits of a token in postings; of a key's other bits, 0 is that of a list in one part and others are one more than the salt.
+TOKEN_BITS = 48
 #: Rows of one posting list, or pairs of one node, that one task may take before they are dealt to several.
 LIST_SPLIT = 20_000
 
@@ -96,15 +98,16 @@ def _poster(counts, split: int):
     """The function that posts each set under its first tokens; ``counts`` is a broadcast array, a power of two long.
 
     A token has a salt if its counter is over twice the mean of all by ``split`` or more, so that
-    the counts of many rare tokens in one counter split no list.
+    the counts of many rare tokens in one counter split no list. A key is the token's first TOKEN_BITS
+    bits and the salt: tokens that agree in these share a list, which only adds candidates.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table = WordHash(), counts.value
         log2, usual = len(table).bit_length() - 1, 2 * int(table.mean())
-        low = np.uint64((1 << 32) - 1)
+        low, rest = np.uint64((1 << 32) - 1), 64 - TOKEN_BITS
         for texts in (b.column(0).slice(i, POST_BATCH).to_pylist() for b in batches for i in range(0, b.num_rows, POST_BATCH)):
-            toks, fps, places, salts, seen = [], [], [], [], set()
+            keys, fps, places, seen = [], [], [], set()
             for text in texts:
                 s = shingles(text, cache)
                 if not len(s) or (fp := _fp(s)) in seen:
@@ -114,14 +117,14 @@ def _poster(counts, split: int):
                 take = min(len(s), len(s) - -(-3 * len(s) // 4) + 2 + len(s) // 16)
                 rank = (c.astype(np.uint64) << np.uint64(32)) | (s & low)  # ties in order of the whole hash: s is sorted
                 first = np.argsort(rank, kind="stable")[:take]
-                toks.append(s[first])
                 fps.append(np.full(take, fp, np.int64))
                 places.append(np.arange(take, dtype=np.int32))
-                parts = 1 + np.maximum(c[first].astype(np.int64) - usual, 0) // split
-                salts.append(np.where(parts > 1, abs(fp) % parts, -1).astype(np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(salts)), pa.array(np.concatenate(toks).view(np.int64)),
-                                                  pa.array(np.concatenate(fps)), pa.array(np.concatenate(places))], ["salt", "token", "fp", "pos"])
+                parts = np.minimum(1 + np.maximum(c[first].astype(np.int64) - usual, 0) // split, (1 << rest) - 1)
+                salt = np.where(parts > 1, 1 + abs(fp) % parts, 0).astype(np.uint64)
+                keys.append((s[first] >> np.uint64(rest) << np.uint64(rest)) | salt)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)),
+                                                  pa.array(np.concatenate(places))], ["key", "fp", "pos"])
 
     return post
 
@@ -162,15 +165,17 @@ def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratc
 
 def _posted(docs: DataFrame, counts, scratch: Scratch, split: int) -> tuple[DataFrame, DataFrame]:
     """(token, fp, pos): the posting lists with two nodes at least, each node once; long ones are put in order in parts. And the table it reads."""
-    posted = docs.select("text").mapInArrow(_poster(counts, split), "salt int, token long, fp long, pos int")
-    order = Window.partitionBy("token", "salt").orderBy("fp")
+    posted = docs.select("text").mapInArrow(_poster(counts, split), "key long, fp long, pos int")
+    order = Window.partitionBy("key").orderBy("fp")
     once = posted.withColumn("before", F.lag("fp").over(order)).filter("before IS NULL OR before != fp")
     ranked = (once.withColumn("leader", F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("after", F.lead("fp").over(order)))
     alone = (F.col("leader") == F.col("fp")) & F.col("after").isNull()
     # Of a list in parts, a node that is alone in its part may have others in the next.
-    parts = scratch.table(ranked.withColumn("alone", alone).filter("salt >= 0 OR NOT alone")
-                          .select("token", "fp", "pos", (F.col("salt") >= 0).alias("split"), "alone"), "parts")
+    rest = 64 - TOKEN_BITS
+    parts = ranked.select(F.shiftrightunsigned("key", rest).alias("token"), "fp", "pos", (F.col("key").bitwiseAND((1 << rest) - 1) > 0).alias("split"),
+                          alone.alias("alone"))
+    parts = scratch.table(parts.filter("split OR NOT alone"), "parts")
     several = parts.filter("split").groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("token")
     lone = parts.filter("alone").join(several, "token", "left_semi")
     return parts.filter("NOT alone").unionByName(lone).select("token", "fp", "pos"), parts
@@ -289,7 +294,7 @@ def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
     some = sized.filter("often").groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "rare"))).alias("t"))  # of one text
     near = lambda x, i: F.filter(F.slice("t", i + 2, F.lit(NEAR)), lambda y: y["pos"] - x["pos"] <= NEAR)
     combined = F.flatten(F.transform("t", lambda x, i: F.transform(near(x, i), lambda y: F.struct(
-        F.xxhash64(x["token"], y["token"]).alias("token"), y["pos"].alias("pos"), y["rare"].alias("rare")))))
+        F.shiftrightunsigned(F.xxhash64(x["token"], y["token"]), 64 - TOKEN_BITS).alias("token"), y["pos"].alias("pos"), y["rare"].alias("rare")))))
     combos = some.select("fp", "comp", "n", F.explode(combined).alias("c")).select("c.token", "fp", "comp", "n", "c.rare", "c.pos")
     combos = combos.withColumn("most", _largest(F.col("rare"), F.col("pos"))).filter(open_).drop("pos")
     many = _in_crowds(combos, scratch).filter(f"seen >= 1 + div(least(n_a, n_b), 16) - div(n_a + n_b, {7 * NEAR})")
