@@ -4,7 +4,7 @@ The index holds the test items. Postings are grouped in blocks of items, each te
 largest weight in a block. A passage can reach an item's threshold only with enough of the
 item's essential terms: the rest of its terms, its least weighted, are together worth less
 than SLACK of it. So the sums of block maxima of essential terms over a sliding window, found
-for a whole batch of texts at once, bound what any passage scores in a block; blocks whose
+for many texts at once, in slices of bounded size, bound what any passage scores in a block; blocks whose
 bound stays under their lowest threshold are skipped, and the items of the others are scored
 in full. Hits are verified by the overlap of five-word shingles of question and answer.
 """
@@ -30,6 +30,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and share that its non-essential terms may hold.
 REACH, SLACK = 0.6, 0.25
 BLOCK_ITEMS = 16
+#: Entries (a word in a block that has it) whose windows are summed at a time, and characters of text that are searched at a time.
+ENTRIES, TEXT_CHARS = 1 << 20, 1 << 20
 #: Bytes of item text in one index; larger benchmarks are searched index by index.
 INDEX_BYTES = 16 << 20
 #: Share of an item's shingles that a text must hold; each of question and answer needs HALF of that of its own.
@@ -93,19 +95,40 @@ class Index:
         hit = np.flatnonzero(term >= 0)
         term, place = term[hit], place[hit]
         n = self.start[term + 1] - self.start[term]
-        at = np.repeat(self.start[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        ends, i = np.cumsum(n), 0
+        while i < len(term):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + ENTRIES, side="right")))
+            begin = int(np.searchsorted(place, place[i] - PASSAGE + 1))  # a window that ends in the slice may begin before it
+            block, at = self._reached(term[begin:j], place[begin:j], n[begin:j], int(base[-1]) + gap)
+            block, at = block[at >= place[i]], at[at >= place[i]]
+            doc = np.searchsorted(base, at, side="right") - 1
+            for d, b, p in zip(doc.tolist(), block.tolist(), (at - base[doc]).tolist(), strict=True):
+                found.setdefault(d, {}).setdefault(b, set()).add(p)
+            i = j
+        return found
+
+    def _reached(self, term: np.ndarray, place: np.ndarray, n: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, place) where the window that ends there reaches the block's threshold; places are under ``span``."""
+        at = np.repeat(self.start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
         block, place, score = self.blocks[at], np.repeat(place, n), self.maxima[at]
-        span = int(base[-1]) + gap
         key = block * span + place
         order = np.argsort(key, kind="stable")
         key, block, place, score = key[order], block[order], place[order], score[order]
         total = np.concatenate([[0.0], np.cumsum(score)])
         first = np.maximum(np.searchsorted(key, key - PASSAGE + 1), np.searchsorted(key, block * span))
         reached = np.flatnonzero(total[1:] - total[first] >= self.bound[block] - 1e-6)
-        doc = np.searchsorted(base, place[reached], side="right") - 1
-        for d, b, p in zip(doc.tolist(), block[reached].tolist(), (place[reached] - base[doc]).tolist(), strict=True):
-            found.setdefault(d, {}).setdefault(b, set()).add(p)
-        return found
+        return block[reached], place[reached]
+
+    def search_column(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float, float]]:
+        """As :meth:`search`, for texts of any number and length: TEXT_CHARS of them, or one text, at a time."""
+        begin, held, size = 0, [], 0
+        for k, t in enumerate(texts):
+            held.append(t.as_py())
+            size += len(held[-1] or "")
+            if size >= TEXT_CHARS or k + 1 == len(texts):
+                for d, *hit in self.search([_words(x) for x in held]):
+                    yield begin + d, *hit
+                begin, held, size = k + 1, [], 0
 
     def search(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlap, question's overlap, answer's overlap) of the verified hits."""
@@ -185,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = cloudpickle.loads(shared.value)
             for batch in batches:
-                rows = list(held.search([_words(t) for t in batch.column(1).to_pylist()]))
+                rows = list(held.search_column(batch.column(1)))
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()),
@@ -203,7 +226,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text") ->
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             held = cloudpickle.loads(shared.value)
             for batch in batches:
-                bad = {r[0] for r in held.search([_words(t) for t in batch.column(at).to_pylist()])}
+                bad = {r[0] for r in held.search_column(batch.column(at))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

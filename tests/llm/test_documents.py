@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabulith.llm import substring_dedup
+from tabulith.llm import decontam, substring_dedup
 from tabulith.llm.common import Scratch, WordHash, shingles
 from tabulith.llm.decontam import Index, drop_leaks, find_leaks, split_item
 from tabulith.llm.jaccard_join import jaccard_groups
@@ -327,6 +328,28 @@ def test_bounds_skip_no_passage_that_reaches_an_item():
                 assert any(s <= p < s + 96 for p in opened.get(k // 16, ())), (s, k)
 
 
+@pytest.mark.parametrize("entries", [1, 7, 200, 5000])
+def test_windows_summed_in_slices_open_the_same_blocks(monkeypatch, entries):
+    rng = random.Random(5)
+    items = [(i, text_of(i, 25), text_of(i + 100, 6)) for i in range(80)]
+    df = {}
+    for _, q, a in items:
+        for w in set(words(q + " " + a)):
+            df[w] = df.get(w, 0) + 1
+    index = Index(items, len(items), 31.0, df)
+    texts = [" ".join(" ".join(rng.choice(items)[1:]) if rng.random() < 0.3 else text_of(2000 + 50 * n + k, 40) for k in range(n)) for n in (0, 1, 12, 3)] + [None, ""]
+    whole, hits = index.open_blocks([words(t or "") for t in texts]), sorted(index.search([words(t or "") for t in texts]))
+    assert hits
+    monkeypatch.setattr(decontam, "ENTRIES", entries)
+    monkeypatch.setattr(decontam, "TEXT_CHARS", entries)
+    sizes, reached = [], index._reached
+    monkeypatch.setattr(index, "_reached", lambda term, place, n, span: sizes.append(int(n.sum())) or reached(term, place, n, span))
+    assert index.open_blocks([words(t or "") for t in texts]) == whole
+    assert sorted(index.search_column(pa.array(texts))) == hits
+    widest = max(np.diff(index.start))
+    assert max(sizes) <= max(entries, widest) + decontam.PASSAGE * widest
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, text_of(i, 20 + i % 30), ("en", "de")[i % 5 == 0], ("big", "big", "small")[i % 3], 0, 1, True) for i in range(600)] + [(None, None, None, None, 0, 1, True)]
     docs = spark.createDataFrame(rows, SCHEMA)
