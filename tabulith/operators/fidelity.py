@@ -105,19 +105,23 @@ def support_subsets(columns: list[str], k: int, most: int = 100) -> list[tuple[s
 
 
 def support_coverage(both: DataFrame, numeric: list[str], categorical: list[str], *, k: int = 2, bins: int = 10, rare: float = 0.05,
-                     min_rare_count: int = 1, most: int = 100) -> DataFrame:
+                     min_rare_count: int = 1, max_rare_count: int | None = None, most: int = 100) -> DataFrame:
     """(run, subset, n_real, n_rare, n_covered, value): the share of rare real combinations that a synthetic run has.
 
     Numbers are binned by real quantiles, and combinations of ``k`` columns counted; a combination is
-    rare if its share of real rows is ``rare`` at most and its count ``min_rare_count`` at least.
+    rare if its share of real rows is ``rare`` at most, its count ``min_rare_count`` at least and, if
+    given, ``max_rare_count`` at most.
     Rows are first reduced to distinct binned rows with counts; subsets go through in batches of
     grouping sets. value is null where no combination is rare.
     """
     names = [*numeric, *categorical]
-    edges = quantile_edges(both.filter("side = 'real'"), numeric, bins)
-    one = edges.groupBy().pivot("feature", numeric).agg(F.first("edges"))  # one row
-    binned = both.crossJoin(F.broadcast(one.select(*(F.col(c).alias(f"_e_{c}") for c in numeric)))).select(
-        "side", "run", *(bin_by_edges(F.col(c), F.col(f"_e_{c}")).alias(c) for c in numeric), *(or_missing(F.col(c).cast("string")).alias(c) for c in categorical))
+    binned = both
+    if numeric:
+        edges = quantile_edges(both.filter("side = 'real'"), numeric, bins)
+        one = edges.groupBy().pivot("feature", numeric).agg(F.first("edges"))  # one row
+        binned = both.crossJoin(F.broadcast(one.select(*(F.col(c).alias(f"_e_{c}") for c in numeric))))
+    binned = binned.select("side", "run", *(bin_by_edges(F.col(c), F.col(f"_e_{c}")).alias(c) for c in numeric),
+                           *(or_missing(F.col(c).cast("string")).alias(c) for c in categorical))
     distinct = binned.groupBy("side", "run", *names).agg(F.count("*").alias("n"))
     subsets, out = support_subsets(names, k, most), None
     for i in range(0, len(subsets), SETS_AT_ONCE):
@@ -128,7 +132,8 @@ def support_coverage(both: DataFrame, numeric: list[str], categorical: list[str]
             "side", "run", "subset", combo.alias("combo"), "n")
         out = sets if out is None else out.unionByName(sets)
     real = out.filter("side = 'real'").withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("subset")))
-    real = real.select("subset", "combo", ((F.col("share") <= rare) & (F.col("n") >= min_rare_count)).alias("is_rare"))
+    is_rare = (F.col("share") <= rare) & F.col("n").between(min_rare_count, max_rare_count or (1 << 62))
+    real = real.select("subset", "combo", is_rare.alias("is_rare"))
     runs = both.filter("side = 'syn'").select("run").distinct()
     syn = out.filter("side = 'syn'").select("run", "subset", "combo", F.lit(True).alias("has"))
     hit = real.crossJoin(F.broadcast(runs)).join(syn, ["run", "subset", "combo"], "left")

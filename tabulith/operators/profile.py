@@ -220,6 +220,12 @@ def average_over_runs(long: DataFrame) -> DataFrame:
                                       F.count_distinct("value").alias("n_distinct"))
 
 
+def equal_runs(long: DataFrame) -> DataFrame:
+    """(run, same_as): the least run that equals this one in every metric, itself if there is none; nulls equal nulls."""
+    runs = long.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("metrics"))  # the metrics of one run
+    return runs.select("run", F.min("run").over(Window.partitionBy("metrics")).alias("same_as"))
+
+
 def weighted_rollup(importance: DataFrame, layout: DataFrame, label: str | None = None) -> DataFrame:
     """Importance of encoded columns (role, weight) summed to source columns by ``layout`` (role, feature)."""
     out = importance.join(layout, "role").groupBy("feature").agg(F.sum("weight").alias("weight"))

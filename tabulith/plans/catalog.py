@@ -109,6 +109,12 @@ def a6(spark, d):
     return rounded(profile.average_over_runs(per_run(spark, d).filter("run > 0")))
 
 
+@query("a6_equal_runs", on_pair(f"SELECT run, min(run) OVER (PARTITION BY metrics) AS same_as FROM (SELECT run, list(struct_pack(m := metric, v := value) ORDER BY metric) AS metrics "
+                                f"FROM ({PER_RUN}) WHERE run > 0 GROUP BY run)"))
+def a6_equal(spark, d):
+    return profile.equal_runs(per_run(spark, d).filter("run > 0"))
+
+
 # ---- B: schema work ------------------------------------------------------------------------
 
 
