@@ -76,3 +76,17 @@ def test_fifty_thousand_categories(spark):
         far = np.sqrt((v - v[i]) ** 2 + (c != c[i]) * (w**2 + w[i] ** 2))
         assert np.allclose(d, np.sort(np.delete(far, i))[:2]), key
     assert len(got) == 6 and nearest_two(b, a, categories=1).filter("d1 < 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_copies_are_met_once(spark, monkeypatch, same):
+    """Six thousand rows of 60 vectors, and single ones, twins and triplets: no block holds more than three rows of a vector, and each row gets its own answer."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.RandomState(4)
+    x = np.concatenate([rng.randn(60, 3)[np.arange(6000) % 60], np.repeat(rng.randn(12, 3) * 5, [1, 2, 3] * 4, axis=0)])
+    df = table(spark, x)
+    index = PivotIndex.build(df)
+    assert index.size.sum() == 60 * 3 + 24
+    got = {r.row_key: (r.d1, r.d2) for r in nearest_two(df, index, exclude_self=same).collect()}
+    assert len(got) == len(x)
+    check(got, x, x, [*range(0, 6000, 97), *range(6000, 6024)], same)
