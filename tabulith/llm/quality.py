@@ -18,8 +18,6 @@ from tabulith.llm.common import Scratch, let, words
 
 #: Buckets that n-grams are hashed to; the table of weights, of this size, is broadcast.
 BUCKETS = 1 << 16
-#: Trusted documents to fit the target on, at most: those of least hash. Their ids are broadcast.
-TRUSTED_ROWS = 20_000
 #: One in so many trusted documents is held out. The threshold is MARGIN times the score that all of these but a share of LOWEST reach.
 HELD_OUT, LOWEST, MARGIN = 5, 0.001, 1.25
 #: N-grams of the corpus that the target is smoothed with.
@@ -75,10 +73,10 @@ def _grams(docs: DataFrame, *keep: str) -> DataFrame:
 def fit_weights(docs: DataFrame, fitted: DataFrame) -> DataFrame:
     """(bucket, weight): the log ratio of target to corpus for each bucket, in millionths of a nat.
 
-    ``docs`` has d and body; the corpus counts are over all of it. ``fitted`` has the ids d, TRUSTED_ROWS at most,
-    of the documents that make the target.
+    ``docs`` has d and body; the corpus counts are over all of it. ``fitted`` has the ids d of the documents that make the target, any number of
+    them: Spark broadcasts the ids while they are few and shuffles the texts to them when they are not.
     """
-    marked = docs.join(F.broadcast(fitted.withColumn("good", F.lit(1))), "d", "left")
+    marked = docs.join(fitted.withColumn("good", F.lit(1)), "d", "left")
     counts = _grams(marked, "good").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     all_buckets = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"))
@@ -92,9 +90,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id"
                   threshold: int | None = None) -> DataFrame:
     """Every document with the base counts, ``score`` (long) and the verdict ``kept``.
 
-    ``trusted`` has the ids (``id_col``) of the trusted documents, of which the TRUSTED_ROWS of least
-    hash are used; one in HELD_OUT of them is not fitted but gives the threshold, unless ``threshold`` is
-    given. Where none is held out the base rules alone decide. ``score`` is the mean weight of a document's n-grams, rounded down, in millionths of a
+    ``trusted`` has the ids (``id_col``) of the trusted documents, and all are used: one in HELD_OUT of them, by a hash, is not
+    fitted but gives the threshold, unless ``threshold`` is given; the others are the target. Where none is held out the base rules alone decide. ``score`` is the mean weight of a document's n-grams, rounded down, in millionths of a
     nat; null without words. A document is kept unless base_failed or its score is under the
     threshold. Without trusted documents all scores are 0. Null texts count as empty and fail; repeated rows get the same verdict each; other columns are passed
     on, except that those with the names of results are replaced. An empty table gives an empty result.
@@ -102,14 +99,14 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "quality")
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = docs.select(F.col(id_col).alias("d"), text.alias("body"))
-    some = trusted.select(F.col(id_col).alias("d")).filter("d IS NOT NULL").distinct().orderBy(F.xxhash64("d"), "d").limit(TRUSTED_ROWS)
+    some = trusted.select(F.col(id_col).alias("d")).filter("d IS NOT NULL").distinct()
     some = scratch.table(some.withColumn("held", F.pmod(F.xxhash64("d", F.lit(1)), F.lit(HELD_OUT)) == 0), "trusted")
     weights = scratch.table(fit_weights(body, some.filter("NOT held").select("d")), "weights")
     keyed = body.select(F.xxhash64("d", "body").alias("_key"), "d", "body")
     scored = scratch.table(_grams(keyed, "_key", "d").join(F.broadcast(weights), "bucket")  # BUCKETS rows
                            .groupBy("_key").agg(F.floor(F.sum("weight") / F.count("*")).cast("long").alias("score"), F.first("d").alias("d")), "scored")
     if threshold is None:
-        held = scored.join(F.broadcast(some.filter("held").select("d")), "d", "left_semi")
+        held = scored.join(some.filter("held").select("d"), "d", "left_semi")
         low = held.agg(F.percentile_approx("score", LOWEST, 100_000)).first()[0]
         threshold = -(1 << 62) if low is None else math.floor(min(0, low) * MARGIN)
     scratch.close(scored)

@@ -284,6 +284,18 @@ def test_quality_counts_and_scores_equal_brute_force(spark):
     assert quality_rules(frame(spark, {}), spark.sql("SELECT 1L AS doc_id")).count() == 0
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """The scores of 40 trusted documents change with the last of them, whatever their number."""
+    from tabulith.llm import quality
+
+    monkeypatch.setattr(quality, "TRUSTED_ROWS", 2, raising=False)
+    rows = {i: f"word{i} " * 3 + "common text " * 5 for i in range(60)}
+    ids = spark.range(40).select(F.col("id").alias("doc_id"))
+    fitted = [r.doc_id for r in ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.HELD_OUT)) != 0).collect()]
+    got = {r.doc_id: r.score for r in quality_rules(frame(spark, rows), ids).collect()}
+    assert len(fitted) > 25 and min(got[i] for i in fitted) > max(got[i] for i in range(40, 60))
+
+
 def test_few_trusted_documents_reject_no_clean_one(spark):
     rng, usual = random.Random(6), text_of(3000, 300).split()
     rows = [(i, " ".join(rng.choice(usual[:rng.choice((20, 300))]) for _ in range(150))) for i in range(80)] + [(500 + i, " ".join(f"zq{(i * 7 + k * k) % 97}x" for k in range(150))) for i in range(5)]
