@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import Scratch, let, words
+from tabulith.llm.common import Scratch, let, screen_of, screened, words
 
 #: Buckets that n-grams are hashed to; the table of weights, of this size, is broadcast.
 BUCKETS = 1 << 16
@@ -73,11 +73,13 @@ def _grams(docs: DataFrame, *keep: str) -> DataFrame:
 def fit_weights(docs: DataFrame, fitted: DataFrame) -> DataFrame:
     """(bucket, weight): the log ratio of target to corpus for each bucket, in millionths of a nat.
 
-    ``docs`` has d and body; the corpus counts are over all of it. ``fitted`` has the ids d of the documents that make the target, any number of
-    them: Spark broadcasts the ids while they are few and shuffles the texts to them when they are not.
+    ``docs`` has d and body; the corpus counts are over all of it. ``fitted`` has the ids d, each once and of the type of ``docs``, of the documents that make
+    the target, any number of them: a bitmap of fixed size screens out the texts of others, and only those that pass are shuffled to the ids.
     """
-    marked = docs.join(fitted.withColumn("good", F.lit(1)), "d", "left")
-    counts = _grams(marked, "good").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    counts = _grams(docs).groupBy("bucket").agg(F.count("*").alias("raw"))
+    good = screened(docs, "d", screen_of(fitted, "d")).join(fitted, "d")  # Spark would move a semi join below the screen
+    target = _grams(good).groupBy("bucket").agg(F.count("*").alias("target"))
+    counts = counts.join(target, "bucket", "left").na.fill(0)
     all_buckets = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"))
     corpus = (F.col("raw") + 1) / (F.col("r") + BUCKETS)
@@ -99,7 +101,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "quality")
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = docs.select(F.col(id_col).alias("d"), text.alias("body"))
-    some = trusted.select(F.col(id_col).alias("d")).filter("d IS NOT NULL").distinct()
+    some = trusted.select(F.col(id_col).try_cast(body.schema["d"].dataType).alias("d")).filter("d IS NOT NULL").distinct()
     some = scratch.table(some.withColumn("held", F.pmod(F.xxhash64("d", F.lit(1)), F.lit(HELD_OUT)) == 0), "trusted")
     weights = scratch.table(fit_weights(body, some.filter("NOT held").select("d")), "weights")
     keyed = body.select(F.xxhash64("d", "body").alias("_key"), "d", "body")

@@ -237,6 +237,13 @@ def test_line_runs_of_many_batches_are_compacted_and_not_shuffled(spark):
     assert dedup_lines(frame(spark, {}), batches=3).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    jvm, gate = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def brute_quality(rows, trusted):
     def grams(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
@@ -296,6 +303,20 @@ def test_all_trusted_documents_count(spark, monkeypatch):
     assert len(fitted) > 25 and min(got[i] for i in fitted) > max(got[i] for i in range(40, 60))
 
 
+def test_texts_of_untrusted_documents_are_not_shuffled(spark, tmp_path):
+    """However many trusted ids there are, only their texts go to them."""
+    spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 400), i -> md5(cast(id * 1000 + i AS string)))) AS text").write.parquet(f"{tmp_path}/d")
+    spark.range(100).selectExpr("id * 40 AS doc_id").write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        out = quality_rules(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/t"))
+        assert out.select("doc_id", "kept").count() == 4000
+        assert shuffled(spark) - before < 20e6  # of 53 MB of texts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_few_trusted_documents_reject_no_clean_one(spark):
     rng, usual = random.Random(6), text_of(3000, 300).split()
     rows = [(i, " ".join(rng.choice(usual[:rng.choice((20, 300))]) for _ in range(150))) for i in range(80)] + [(500 + i, " ".join(f"zq{(i * 7 + k * k) % 97}x" for k in range(150))) for i in range(5)]
