@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import canonical, or_missing, uniform
-from tabulith.operators.encode import category_slots, mixed_fit, mode_fit, range_invert, range_scale
+from tabulith.operators.encode import category_slots, join_dictionary, mixed_fit, mode_fit, range_invert, range_scale
 
 #: (weight, mean, std) of a mode.
 Mode = tuple[float, float, float]
@@ -136,7 +136,7 @@ def encode_rows(df: DataFrame, encoder: RowEncoder, *, key: str = "row_key", see
         at = starts[b.column]
         if b.kind == "category":
             own = encoder.slots.filter(F.col("feature") == b.column).select(F.col("category").alias(f"_x{i}"), F.col("slot").alias(f"_s{i}"))
-            out = out.join(own, f"_x{i}", "left")
+            out = join_dictionary(out, own, [f"_x{i}"], f"_s{i}", b.categories)
             entries.append(entry(F.col(f"_s{i}") + at, F.lit(1.0)))
         elif b.kind == "general":
             entries.append(entry(F.when(F.col(f"_x{i}").isNotNull(), at), range_scale(F.col(f"_x{i}"), F.lit(b.lo), F.lit(b.hi))))
@@ -159,7 +159,7 @@ def decode_rows(encoded: DataFrame, encoder: RowEncoder, *, key: str = "row_key"
         u = F.try_element_at("m", F.lit(at))
         if b.kind == "category":
             own = encoder.slots.filter(F.col("feature") == b.column).select(F.col("slot").alias(f"_s{i}"), F.col("category").alias(f"_c{i}"))
-            out = out.withColumn(f"_s{i}", slot).join(own, f"_s{i}", "left")
+            out = join_dictionary(out.withColumn(f"_s{i}", slot), own, [f"_s{i}"], f"_s{i}", b.categories)
             columns.append(F.col(f"_c{i}").alias(b.column))
         elif b.kind == "general":
             columns.append(range_invert(u, F.lit(b.lo), F.lit(b.hi)).alias(b.column))

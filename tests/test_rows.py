@@ -31,3 +31,27 @@ def test_new_rows_have_what_was_fitted(spark):
     assert got == {"1": ([0, 1, 2, 4, 6], [0.125, 1.0, 0.25, 1.0, 1.0]), "2": ([0, 1, 2, 3], [0.99, 1.0, -0.25, 1.0]), "3": ([], []), "4": ([0, 1, 5], [-0.25, 1.0, 1.0])}
     back = {r.row_key: (r.a, r.b, r.c) for r in decode_rows(encode_rows(spark.createDataFrame(rows, "row_key string, a double, b double, c string"), enc), enc).collect()}
     assert back["1"] == (10.5, 7.0, "y") and back["3"] == (None, None, None) and back["4"] == (9.0, None, "x") and back["2"] == (pytest.approx(13.96), 5.0, None)
+
+
+def test_rows_of_a_frequent_category_are_not_shuffled_and_rare_ones_found(spark, monkeypatch):
+    from tabulith.operators import encode
+
+    df = spark.range(3000).selectExpr("cast(id AS string) AS row_key", "CASE WHEN id % 50 > 0 THEN 'often' WHEN id % 100 = 0 THEN NULL ELSE concat('c', id % 1000) END AS c", "cast(id % 2 AS string) AS d")
+    slots = encode.category_slots(df, ["c", "d"])
+    names = {(r.feature, r.slot): r.category for r in slots.collect()}
+    first = sum(f == "c" for f, _ in names)
+    want = {r.row_key: (r.c or "__MISSING__", r.d) for r in df.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frequent in (10_000, 2):
+            monkeypatch.setattr(encode, "FREQUENT", frequent, raising=False)
+            out = encode.one_hot(df, ["c", "d"], slots)
+            assert {r.row_key: (names["c", r.indices[0]], names["d", r.indices[1] - first]) for r in out.collect()} == want
+            encoder = RowEncoder((Block("c", "category", categories=first), Block("d", "category", categories=2)), slots)
+            back = decode_rows(encode_rows(df, encoder), encoder)
+            assert {r.row_key: (r.c, r.d) for r in back.collect()} == want
+            plan = back._jdf.queryExecution().optimizedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+            assert len(joins) >= 4 and (frequent == 2 or all("strategy=broadcast" in line for line in joins))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
