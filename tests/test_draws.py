@@ -94,3 +94,20 @@ def test_rows_are_drawn_until_there_are_enough(spark):
     with pytest.raises(ValueError, match="none of"):
         generate_rows(replace(s, bounds={"x": (1e6, 2e6)}), 2, seed=1)
     assert generate_rows(s, 0, seed=1).count() == 0
+
+
+def test_ranges_are_searched_in_time_that_hardly_grows_with_their_number(spark):
+    import time
+
+    def search(n, rows):
+        bounds = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (2 * i).cast("double")).alias("bounds"))
+        return spark.range(rows).select((F.col("id") % (2 * n + 5)).cast("double").alias("v")).crossJoin(F.broadcast(bounds)).withColumn("part", profile.range_of(F.col("v"), F.col("bounds")))
+
+    assert all(r.part == min(int(r.v // 2), n) for n in (1, 2, 63, 64, 1000) for r in search(n, 2 * n + 5).select("v", "part").collect())
+    assert spark.range(1).select(profile.range_of(F.lit(1.0), F.array().cast("array<double>")).alias("p")).first().p == 0
+    took = []
+    for n in (60, 60, 6000):
+        began = time.time()
+        search(n, 40_000).agg(F.sum("part")).collect()
+        took.append(time.time() - began)
+    assert took[2] < 5 * took[1] + 1
