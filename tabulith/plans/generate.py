@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.columns import uniform
+from tabulith.functions.columns import let, uniform
 from tabulith.operators.encode import mode_arrays, mode_fit
 from tabulith.operators.sample import condition_tables, draw_conditions, sample_n
 from tabulith.sources.tables import scratch_path
@@ -55,22 +55,19 @@ def _draw(s: Sampler, n: int, seed: int, start: int = 0) -> DataFrame:
     for k, c in enumerate(s.numeric):
         base = seed + 10 * (k + 1)
         modes = s.modes.filter(F.substring_index("feature", BETWEEN, -1) == c).select(F.substring_index("feature", BETWEEN, 1).alias(s.label), "modes")
+        modes = modes.withColumn("upto", F.transform("modes", lambda m: F.aggregate(F.filter("modes", lambda x: x["mode"] <= m["mode"]), F.lit(0.0), lambda a, x: a + x["weight"])))
         rows = rows.join(F.broadcast(modes), s.label)  # a row for each class
-        upto = F.transform("modes", lambda m: F.aggregate(F.filter("modes", lambda x: x["mode"] <= m["mode"]), F.lit(0.0), lambda a, x: a + x["weight"]))
         u0, u1, u2 = (uniform(base + i, "draw") for i in range(3))
-        below = F.size(F.array_compact(F.transform(upto, lambda w: F.when(w <= F.col("_u0"), w))))
-        rows = rows.withColumn("_u0", u0)
-        at = F.least(below, F.size("modes") - 1)
         normal = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * 3.141592653589793 * u2)
-        m = F.element_at("modes", at + 1)
-        rows = rows.withColumn(c, m["mean"] + m["std"] * normal).drop("modes", "_u0")
+        below = let(u0, lambda u: F.size(F.filter("upto", lambda w: w <= u)))
+        m = F.element_at("modes", F.least(below, F.size("modes") - 1) + 1)
+        rows = rows.withColumn(c, let(m, lambda x: x["mean"] + x["std"] * normal)).drop("modes", "upto")
     for k, c in enumerate(s.categorical):
         options = s.options.filter(F.col("feature") == c).groupBy(F.col("class").alias(s.label)).agg(F.array_sort(F.collect_list(F.struct("category", "n"))).alias("o"))
+        options = options.withColumn("upto", F.transform("o", lambda x: F.aggregate(F.filter("o", lambda y: y["category"] <= x["category"]), F.lit(0).cast("long"), lambda a, y: a + y["n"])))
         rows = rows.join(F.broadcast(options), s.label)
-        total = F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        upto = F.transform("o", lambda x: F.aggregate(F.filter("o", lambda y: y["category"] <= x["category"]), F.lit(0).cast("long"), lambda a, y: a + y["n"]))
-        rows = rows.withColumn("_u", uniform(seed + 1000 + k, "draw") * total)
-        rows = rows.withColumn(c, F.element_at("o", F.least(F.size(F.filter(upto, lambda w: w <= F.col("_u"))), F.size("o") - 1) + 1)["category"]).drop("o", "_u")
+        below = let(uniform(seed + 1000 + k, "draw") * F.element_at("upto", -1), lambda u: F.size(F.filter("upto", lambda w: w <= u)))
+        rows = rows.withColumn(c, F.element_at("o", F.least(below, F.size("o") - 1) + 1)["category"]).drop("o", "upto")
     return rows
 
 
@@ -88,10 +85,10 @@ def generate_rows(s: Sampler, n: int, *, seed: int) -> DataFrame:
     while lacking > 0 or out is None:
         share = taken / tried if taken else 1.0 if not tried else 1 / 64
         want = min(int(1.1 * lacking / share), 64 * lacking) + 100
-        rows = _draw(s, want, seed, tried).filter(ok)
+        rows = _draw(s, want, seed, tried)
         path = scratch_path(spark, "drawn")
         rows.write.parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path).filter(ok)  # not before: each bound would draw its column again
         got = rows.count()
         tried, taken = tried + want, taken + got
         if got > lacking:
