@@ -172,18 +172,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Bytes of a text whose words are hashed at a time, LONG_WORD at least.
+BLOCK = 1 << 16
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: 64 bits for each byte, A-Z as a-z; powers of an odd number and of its inverse modulo 2^64.
+_BYTE = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8) * _MULT[0] + _MULT[1])
+_POWER, _INVERSE = (np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, x, np.uint64)]) for x in (int(_MULT[2]), pow(int(_MULT[2]), -1, 1 << 64)))
+
+
+def word_hashes(text: bytes, cache: WordHash) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` in order, with A-Z as a-z.
+
+    A word's hash is a polynomial of its bytes: the difference of two running sums over the text, divided by the power at its start.
+    Words of more than LONG_WORD bytes are looked up in ``cache``.
+    """
+    a = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(a) + 2, bool)
+    inside[1:-1] = ~_IS_SPACE[a]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
+        part = a[at:min(ends[j - 1], at + BLOCK)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _POWER[:len(part)], out=sums[1:])
+        s, e = starts[i:j] - at, np.minimum(ends[i:j] - at, len(part))
+        out[i:j] = mix((sums[e] - sums[s]) * _INVERSE[s] + (e - s).astype(np.uint64))
+        i = j
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = cache[text[starts[k]:ends[k]].lower()]
+    return out
+
+
 def shingles(text: str | None, cache: WordHash, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles of a text.
 
     With fewer words the whole sequence is the one shingle; without words there is none.
-    bytes.lower and bytes.split handle ASCII only, which is what is asked for.
     """
-    w = text.encode().lower().split() if text else []
-    if not w:
+    h = word_hashes(text.encode(), cache) if text else ()
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-    k = min(width, len(w))
-    s = np.full(len(w) - k + 1, k, np.uint64)
+    k = min(width, len(h))
+    s = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        s += h[i:len(w) - k + 1 + i] * _MULT[i]
-    return np.unique(mix(s))
+        s += h[i:len(h) - k + 1 + i] * _MULT[i]
+    s = np.sort(mix(s))
+    new = np.empty(len(s), bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s if new.all() else s[new]

@@ -32,6 +32,8 @@ from tabulith.llm.components import components
 
 #: Counters in the table of token counts, least and most; it is broadcast, 4 bytes for each.
 COUNTERS_LOG2 = (18, 22)
+#: Counters in one row, while they are summed.
+SLOTS_A_ROW = 1 << 14
 #: Between these, there is a counter for so many bytes of text.
 BYTES_A_COUNTER = 3000
 #: A posting list of more nodes than this is that of a frequent token.
@@ -49,7 +51,7 @@ LIST_SPLIT = 20_000
 
 
 def _fingerprints(log2: int):
-    """The function from (doc_id, text) to (doc_id, n, fp), then its task's counts of tokens as (slot, cnt), of 2^log2 slots."""
+    """The function from (doc_id, text) to (doc_id, n, fp), then its task's counts of tokens in 2^log2 slots, as (part, counts): parts of SLOTS_A_ROW slots."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHash(), np.zeros(1 << log2, np.int64)
@@ -68,15 +70,35 @@ def _fingerprints(log2: int):
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
             k = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
-                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], ["doc_id", "n", "fp", "slot", "cnt"])
-        slots = np.flatnonzero(counts)
-        k = len(slots)
+                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "fp", "part", "counts"])
+        parts = [(i, c.tobytes()) for i, c in enumerate(np.minimum(counts, (1 << 31) - 1).astype(np.int32).reshape(-1, min(len(counts), SLOTS_A_ROW))) if c.any()]
+        k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                          pa.array(slots.astype(np.int32)), pa.array(counts[slots])], ["doc_id", "n", "fp", "slot", "cnt"])
+                                          pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
+                                         ["doc_id", "n", "fp", "part", "counts"])
 
     return fingerprints
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, counts) to one row for each part, its counts summed: a task holds the table of all counters at most."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            c = np.frombuffer(held.as_buffer(), np.int32)
+            sums[part] = np.minimum(sums[part] + c if part in sums else c.astype(np.int64), (1 << 31) - 1)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.astype(np.int32).tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
+
+
+def _table(first: DataFrame, log2: int) -> np.ndarray:
+    """The 2^log2 counters, 4 bytes each, of what :func:`_fingerprints` gives; the driver takes one row for SLOTS_A_ROW of them."""
+    table = np.zeros(1 << log2, np.int32)
+    rows = first.filter(F.col("part").isNotNull()).select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
+    for part, held in rows.toLocalIterator():
+        table[part * SLOTS_A_ROW:(part + 1) * SLOTS_A_ROW] = np.frombuffer(held, np.int32)
+    return table
+
+
 def _slots(s: np.ndarray, log2: int) -> np.ndarray:
     return (s >> np.uint64(64 - log2)).astype(np.int64)
 
@@ -251,6 +273,25 @@ def _in_lists(rows: DataFrame) -> DataFrame:
         "comp != comp_b AND (fp < fp_b OR most_b < n_b) AND n_b <= most AND n <= most_b"))
 
 
+def _partnered(rows: DataFrame) -> DataFrame:
+    """Rows (token, fp, comp, n, most, ...) that may link with one of another component in their list, with in_top: is theirs the one with most nodes there.
+
+    For that the list must have a set, of another component, that is no larger than ``most`` and may link with one of n tokens. For rows of the
+    top component the least size and greatest ``most`` of the others are looked at, for others those of the whole list. So of a large group of
+    copies only those stay that are as close to the others as a link asks, and no pair is lost.
+    """
+    sums = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("most").alias("open"))
+    top = sums.groupBy("token").agg(F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("token", "top")
+    bounds = sums.join(top, "token").groupBy("token", "top").agg(
+        F.min("least").alias("least"), F.max("open").alias("open"),
+        F.min(F.when(F.col("comp") != F.col("top"), F.col("least"))).alias("others_least"),
+        F.max(F.when(F.col("comp") != F.col("top"), F.col("open"))).alias("others_open"))
+    in_top = F.col("comp") == F.col("top")
+    may = (F.when(in_top, F.col("others_least")).otherwise(F.col("least")) <= F.col("most")) & (
+        F.when(in_top, F.col("others_open")).otherwise(F.col("open")) >= F.col("n"))
+    return rows.join(bounds, "token").filter(may).select(*rows.columns, in_top.alias("in_top"))
+
+
 def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """As _in_lists, for lists of any length: a set asks for others by classes of size that grow by a quarter.
 
@@ -259,10 +300,7 @@ def _in_crowds(rows: DataFrame, scratch: Scratch) -> DataFrame:
     looked up, by nodes that are not in it, and copies that have too many tokens of
     their own meet none of its size.
     """
-    rows = scratch.table(rows, "combos")
-    top = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("token", "top")
-    rows = rows.join(top, "token").withColumn("in_top", F.col("comp") == F.col("top")).drop("top")
+    rows = _partnered(scratch.table(rows, "combos"))
     size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.25)).cast("int")
     least, own, any_ = F.ceil(0.75 * F.col("n")), F.least("n", "most"), F.least(F.floor(4 * F.col("n") / 3), F.col("most"))
     classes = lambda upto, of_top: F.transform(F.sequence(size(least), size(upto)), lambda c: F.struct(c.alias("size"), F.lit(of_top).alias("in_top")))
@@ -291,7 +329,9 @@ def _crossing(lists: DataFrame, scratch: Scratch) -> DataFrame:
     open_ = 4 * F.col("most") >= 3 * F.col("n")
     few = _in_lists(sized.filter("NOT often").withColumn("most", _largest(F.col("own"), F.col("pos"))).filter(open_).drop("pos", "own", "size", "often"))
     few = few.filter(" AND ".join(f"7L * (n_{z} - rare_{z} + seen - 1) >= 3L * (n_a + n_b)" for z in "ab"))
-    some = sized.filter("often").groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "rare"))).alias("t"))  # of one text
+    # A combination is as open as the later token, and the earlier one is no less open: what may link has both tokens left.
+    often = _partnered(sized.filter("often").withColumn("most", _largest(F.col("rare"), F.col("pos"))).filter(open_))
+    some = often.groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "rare"))).alias("t"))  # of one text
     near = lambda x, i: F.filter(F.slice("t", i + 2, F.lit(NEAR)), lambda y: y["pos"] - x["pos"] <= NEAR)
     combined = F.flatten(F.transform("t", lambda x, i: F.transform(near(x, i), lambda y: F.struct(
         F.shiftrightunsigned(F.xxhash64(x["token"], y["token"]), 64 - TOKEN_BITS).alias("token"), y["pos"].alias("pos"), y["rare"].alias("rare")))))
@@ -317,12 +357,9 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     log2 = _counters(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    first = scratch.table(docs.mapInArrow(_fingerprints(log2), "doc_id long, n long, fp long, slot int, cnt long"), "fingerprints")
-    members = first.filter(F.col("slot").isNull()).select("doc_id", "n", "fp")
-    counts = np.zeros(1 << log2, np.int64)  # of at most 2^22
-    for slot, c in first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("cnt")).toPandas().itertuples(index=False):
-        counts[slot] = c
-    table = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1))
+    first = scratch.table(docs.mapInArrow(_fingerprints(log2), "doc_id long, n long, fp long, part int, counts binary"), "fingerprints")
+    members = first.filter(F.col("part").isNull()).select("doc_id", "n", "fp")
+    table = spark.sparkContext.broadcast(_table(first, log2))
 
     found, parts = _posted(docs, table, scratch, LIST_SPLIT)
     lists = scratch.table(_prune(found, members), "lists")

@@ -155,6 +155,50 @@ def test_many_rare_tokens_in_one_counter_split_no_list(spark):
     scratch.close()
 
 
+def test_rows_without_a_partner_in_another_component_leave_a_list(spark):
+    from tabulith.llm.jaccard_join import _partnered
+
+    rng, rows = random.Random(21), []
+    for token in range(6):  # in the list of token 0, the large group is too far from all others
+        for fp in range(60):
+            comp = 0 if fp < 40 else rng.randrange(1, 9)
+            n = 100 + rng.randrange(20) if token else (140 if comp == 0 else 100)
+            rows.append((token, fp, comp, n, n + rng.randrange(-20, 20) if token else (180 if comp == 0 else 120)))
+    rows += [(7, fp, 3, 100, 130) for fp in range(5)]  # one component only
+    got = {tuple(r) for r in _partnered(spark.createDataFrame(rows, "token long, fp long, comp long, n int, most long")).collect()}
+    meets = {r for r in rows for q in rows if q[0] == r[0] and q[2] != r[2] and q[3] <= r[4] and r[3] <= q[4]}
+    assert meets <= {r[:5] for r in got} <= set(rows) and all(top == (r[2] == 0) for *r, top in got)
+    assert not [r for r in got if r[0] == 7 or (r[0] == 0 and r[2] == 0)] and len(got) < len(rows)
+
+
+def test_counters_reach_the_driver_in_rows_of_many(spark):
+    from tabulith.llm import jaccard_join
+
+    rows, log2 = [(i, text_of(6000 + i, 300)) for i in range(30)], 15
+    first = frame(spark, rows).select("doc_id", "text").repartition(3).mapInArrow(
+        jaccard_join._fingerprints(log2), "doc_id long, n long, fp long, part int, counts binary").cache()
+    counts, cache = np.zeros(1 << log2, np.int64), WordHash()
+    for _, text in rows:
+        np.add.at(counts, jaccard_join._slots(shingles(text, cache), log2), 1)
+    assert (jaccard_join._table(first, log2) == counts).all() and counts.max() > 1
+    assert first.filter("part IS NULL").count() == 30 and first.filter("part IS NOT NULL").count() == 3 * (1 << log2) // jaccard_join.SLOTS_A_ROW
+
+
+def test_word_hashes_tell_words_apart_wherever_a_text_is_cut():
+    from tabulith.llm import common
+
+    rng, cache, seen = random.Random(22), WordHash(), {}
+    texts = ["".join(rng.choice("abAB \t\n\x0b\x0c\r\x1c\x85 \u00e9\u3000") for _ in range(rng.randrange(60))) + " " + "X" * rng.choice((0, 256, 257, 900)) for _ in range(300)]
+    texts += [" ".join(texts[i:i + 9]) for i in range(0, 90, 9)]
+    for block in (1 << 16, 300):  # LONG_WORD or more
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "BLOCK", block)
+            for t in texts:
+                w, h = t.encode().lower().split(), common.word_hashes(t.encode(), cache).tolist()
+                assert len(w) == len(h) and all(seen.setdefault(a, b) == b for a, b in zip(w, h, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_counters_grow_with_the_texts_up_to_a_bound():
     from tabulith.llm.jaccard_join import _counters
 
