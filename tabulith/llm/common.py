@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -77,6 +78,11 @@ class Scratch:
             delete(self.spark, path)
             del self.held[path]
 
+    def release(self) -> None:
+        """Collect the driver's garbage: until it is, Spark keeps the shuffle files of ended queries, and the driver what it had for them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self, *keep: DataFrame) -> None:
         """Drop all tables but those that a result still reads."""
         self.drop(*(x for x in self.held.values() if not any(x is k for k in keep)))

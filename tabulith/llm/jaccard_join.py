@@ -362,14 +362,18 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = spark.sparkContext.broadcast(_table(first, log2))
 
     found, parts = _posted(docs, table, scratch, LIST_SPLIT)
+    scratch.release()
     lists = scratch.table(_prune(found, members), "lists")
     scratch.drop(parts)
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
+    scratch.release()
 
     tries = scratch.table(_tries(lists), "tries")
     links = scratch.table(_with_sets(tries, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links, scratch)
+    scratch.release()
     pairs = scratch.table(_crossing(scratch.table(_mixed(lists, comps), "mixed"), scratch), "pairs")
+    scratch.release()
     more = scratch.table(_with_sets(pairs, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
     comps = components(links.unionByName(more), scratch)
 
