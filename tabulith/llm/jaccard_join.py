@@ -71,7 +71,7 @@ def _fingerprints(log2: int):
             k = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
                                               pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "fp", "part", "counts"])
-        parts = [(i, c.tobytes()) for i, c in enumerate(np.minimum(counts, (1 << 31) - 1).astype(np.int32).reshape(-1, min(len(counts), SLOTS_A_ROW))) if c.any()]
+        parts = [(i, _narrow(c)) for i, c in enumerate(np.minimum(counts, (1 << 31) - 1).reshape(-1, min(len(counts), SLOTS_A_ROW))) if c.any()]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                                           pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
@@ -80,13 +80,20 @@ def _fingerprints(log2: int):
     return fingerprints
 
 
+def _narrow(c: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs, then that number: most tasks meet no slot 256 times, and there is a table for each task."""
+    width = 1 if c.max() < 1 << 8 else 2 if c.max() < 1 << 16 else 4
+    return c.astype(f"<u{width}").tobytes() + bytes([width])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, counts) to one row for each part, its counts summed: a task holds the table of all counters at most."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            c = np.frombuffer(held.as_buffer(), np.int32)
-            sums[part] = np.minimum(sums[part] + c if part in sums else c.astype(np.int64), (1 << 31) - 1)
+            raw = held.as_py()
+            c = np.frombuffer(raw, f"<u{raw[-1]}", (len(raw) - 1) // raw[-1]).astype(np.int64)
+            sums[part] = np.minimum(sums[part] + c if part in sums else c, (1 << 31) - 1)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.astype(np.int32).tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
 
 
@@ -151,14 +158,38 @@ def _poster(counts, split: int):
     return post
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many of the sorted tokens start with each of the first 2^k bit patterns, a byte for each: there are about two tokens for one."""
+    k = max(len(s) - 1, 1).bit_length() - 1
+    return np.minimum(np.bincount(_slots(s, k) if k else np.zeros(len(s), np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sketch of a, sketch of b): the pairs whose sketches leave room for 100 * intersection >= 75 * union.
+
+    Sets share no more tokens that start alike than the one with fewer has. The longer sketch is folded to the length of the other;
+    a byte that is full bounds nothing, so its pairs stay.
+    """
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            s, t = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+            k = min(len(s), len(t))
+            p, q = (v.reshape(k, -1).sum(axis=1, dtype=np.int64) for v in (s, t))
+            both = int(np.minimum(p, q).sum())
+            keep.append(bool(max(s.max(), t.max()) == 255 or 100 * both >= 75 * (p.sum() + q.sum() - both)))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, text) to (fp, tokens), the sorted tokens as bytes, of the texts that have this fp."""
+    """(fp, text) to (fp, tokens, sketch), the sorted tokens as bytes, of the texts that have this fp."""
     cache = WordHash()
     for batch in batches:
         sets = [(fp, s) for fp, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                 if _fp(s := shingles(t, cache)) == fp]
         yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in sets], pa.int64()),
-                                          pa.array([s.tobytes() for _, s in sets], pa.binary())], ["fp", "tokens"])
+                                          pa.array([s.tobytes() for _, s in sets], pa.binary()), pa.array([_sketch(s) for _, s in sets], pa.binary())],
+                                         ["fp", "tokens", "sketch"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +208,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, tokens), in buckets of fp: the whole sets of the nodes, made again from the text of one member each."""
+    """(fp, tokens, sketch), in buckets of fp: the whole sets of the nodes, made again from the text of one member each."""
     rep = scratch.table(members.filter("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "rep")
     rep = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
     texts = docs.join(rep, docs.doc_id.eqNullSafe(rep.doc_id)).select("fp", "text")
     n = partitions(docs.sparkSession)
-    return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary").repartition(n, "fp").dropDuplicates(["fp"]), "sets", "fp", n)
+    return scratch.bucketed(texts.mapInArrow(_pack, "fp long, tokens binary, sketch binary").repartition(n, "fp").dropDuplicates(["fp"]), "sets", "fp", n)
 
 
 def _posted(docs: DataFrame, counts, scratch: Scratch, split: int) -> tuple[DataFrame, DataFrame]:
@@ -203,28 +234,33 @@ def _posted(docs: DataFrame, counts, scratch: Scratch, split: int) -> tuple[Data
     return parts.filter("NOT alone").unionByName(lone).select("token", "fp", "pos"), parts
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, tokens of a, tokens of b). Only the set of ``a`` is moved, but for nodes of over LIST_SPLIT pairs: these are dealt, each part with a copy of the set."""
+def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link. Their sketches meet first, an eighth of the sets at most, so that few sets are moved for pairs that don't."""
+    near = _with_sets(pairs, sets, "sketch", scratch).mapInArrow(_may_link, "a long, b long")
+    return scratch.table(_with_sets(scratch.table(near, "near"), sets, "tokens", scratch).mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, what: str, scratch: Scratch) -> DataFrame:
+    """(a, b, ``what`` of a, ``what`` of b). Only that of ``a`` is moved, but for nodes of over LIST_SPLIT pairs: these are dealt, each part with a copy of it."""
     out = pairs.select("a", "b")
     for node, other, held in (("a", "b", "x"), ("b", "a", "y")):
         hot = pairs.groupBy(node).agg(F.count("*").alias("c")).filter(F.col("c") > LIST_SPLIT)
         hot = scratch.table(hot.select(node, F.ceil(F.col("c") / LIST_SPLIT).cast("int").alias("parts")), "hot")
         n = hot.count()  # a row for LIST_SPLIT pairs at most
-        right = sets.select(F.col("fp").alias(node), F.col("tokens").alias(held))
+        right = sets.select(F.col("fp").alias(node), F.col(what).alias(held))
         out = join_dealt(out, right, node, F.broadcast(hot) if n <= BROADCAST_IDS else hot, F.xxhash64(other)) if n else out.join(right, node)
     return out.select("a", "b", "x", "y")
 
 
 def _prune(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """``lists`` (token, fp, pos) with n, without nodes in too few lists to link with any, and lists of one node.
+    """``lists`` (token, fp, pos) with n, without nodes in too few lists to link with any; dealt by fp. Lists may have one node left.
 
     A node shares 2 + n'/16 posted tokens with any similar one, of n' >= 3n/4 tokens. Adds ``central``: the share of
     a node's tokens that others have. It is highest for a text that others are edited copies of.
     """
     sizes = members.groupBy("fp").agg(F.max("n").cast("int").alias("n"))
     counted = lists.withColumn("listed", F.count("*").over(Window.partitionBy("fp"))).join(sizes, "fp")  # posted tokens of one text
-    some = counted.filter("listed >= 2 + floor(ceil(0.75 * n) / 16)").select("token", "fp", "pos", "n", (F.col("listed") / F.col("n")).alias("central"))
-    return some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "token", "left_semi")
+    return counted.filter("listed >= 2 + floor(ceil(0.75 * n) / 16)").select("token", "fp", "pos", "n", (F.col("listed") / F.col("n")).alias("central"))
 
 
 def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -363,18 +399,18 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     found, parts = _posted(docs, table, scratch, LIST_SPLIT)
     scratch.release()
-    lists = scratch.table(_prune(found, members), "lists")
+    lists = scratch.bucketed(_prune(found, members), "lists", "fp", partitions(spark))
     scratch.drop(parts)
     sets = _sets(lists.select("fp").distinct(), docs, members, scratch)
     scratch.release()
 
     tries = scratch.table(_tries(lists), "tries")
-    links = scratch.table(_with_sets(tries, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
+    links = _links(tries, sets, scratch)
     comps = components(links, scratch)
     scratch.release()
     pairs = scratch.table(_crossing(scratch.table(_mixed(lists, comps), "mixed"), scratch), "pairs")
     scratch.release()
-    more = scratch.table(_with_sets(pairs, sets, scratch).mapInArrow(_linked, "a long, b long"), "links")
+    more = _links(pairs, sets, scratch)
     comps = components(links.unionByName(more), scratch)
 
     named = members.join(comps.withColumnRenamed("node", "fp"), "fp", "left")

@@ -184,6 +184,56 @@ def test_counters_reach_the_driver_in_rows_of_many(spark):
     assert first.filter("part IS NULL").count() == 30 and first.filter("part IS NOT NULL").count() == 3 * (1 << log2) // jaccard_join.SLOTS_A_ROW
 
 
+def test_sketches_rule_out_unlike_pairs_and_no_link():
+    from tabulith.llm import jaccard_join
+
+    rng, pairs = np.random.default_rng(5), []
+    for n in (1, 2, 3, 4, 7, 60, 63, 64, 65, 600, 5000):
+        for share in (1, 0.95, 0.86, 0.7, 0.4, 0):
+            for m in {n, max(1, n * 3 // 4), max(1, n * 9 // 10)}:
+                s = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+                t = np.r_[s[:int(m * share)], rng.integers(0, 1 << 64, m - int(m * share), dtype=np.uint64)]
+                pairs.append((np.unique(s), np.unique(t)))
+    same_start = np.unique(rng.integers(0, 1 << 40, 900, dtype=np.uint64))  # more in one place than a byte counts
+    pairs.append((same_start, np.r_[same_start, np.uint64(1 << 63)]))
+    batch = lambda f: pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(range(len(pairs))), *(pa.array([f(p[i]) for p in pairs], pa.binary()) for i in (0, 1))], ["a", "b", "x", "y"])
+    may, link = (next(f(iter([batch(g)]))).column("a").to_pylist() for f, g in ((jaccard_join._may_link, jaccard_join._sketch), (jaccard_join._linked, np.ndarray.tobytes)))
+    assert set(link) <= set(may) and len(pairs) - 1 in link
+    shared = [len(np.intersect1d(s, t)) / max(len(s), len(t)) for s, t in pairs]
+    assert not [i for i in may if len(pairs[i][0]) >= 600 and shared[i] < 0.3]
+    assert all(len(jaccard_join._sketch(s)) <= max(1, len(s.tobytes()) // 8) for s, _ in pairs)
+
+
+def test_lists_are_dealt_by_node_once(spark):
+    from tabulith.llm import jaccard_join
+
+    found = spark.range(3000).selectExpr("id % 300 AS token", "id % 70 AS fp", "cast(id % 5 AS int) AS pos").distinct()
+    members = spark.range(70).selectExpr("id AS doc_id", "20L AS n", "id AS fp")
+    comps = spark.range(35).selectExpr("id AS node", "id % 3 AS component")
+    scratch = Scratch(spark, "dealt")
+    lists = scratch.bucketed(jaccard_join._prune(found, members), "lists", "fp", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard_join._mixed(lists, comps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert dealt.count("fp") + dealt.count("node") <= 2 and dealt.count("token") == 2, plan  # of fp, only the components
+    scratch.close()
+
+
+def test_counts_of_a_task_take_as_few_bytes_as_they_need():
+    from tabulith.llm import jaccard_join
+
+    counts = [np.array(x, np.int64) for x in ([0, 255], [256, 3], [65535, 0], [65536, 1], [(1 << 31) - 1, 7])]
+    held = [jaccard_join._narrow(c) for c in counts]
+    assert [len(h) for h in held] == [3, 5, 5, 9, 9]
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4, 0, 4], pa.int32()), pa.array([*held, held[3], held[4]], pa.binary())], ["part", "counts"])
+    (out,) = jaccard_join._summed(iter([rows]))
+    got = {p: np.frombuffer(c, np.int32).tolist() for p, c in zip(*(x.to_pylist() for x in out.columns), strict=True)}
+    assert got == {0: [65536, 256], 1: [256, 3], 2: [65535, 0], 3: [65536, 1], 4: [(1 << 31) - 1, 14]}
+
+
 def test_word_hashes_tell_words_apart_wherever_a_text_is_cut():
     from tabulith.llm import common
 
