@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ LONG_WORD = 200
 
 #: Between a printable character and another, a single space starts a token for both tokenizers.
 _CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+#: Words that are cut from each other in any order, and how many of them are encoded as one text.
+_PLAIN, TOGETHER = re.compile(r" [\w!-~](?s:.*[\w!-~])?").fullmatch, 256
 
 
 class Pairing:
@@ -65,6 +67,7 @@ class Pairing:
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := code.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.list_a, self.list_b = self.size_a.tolist(), self.size_b.tolist()
+        self.names = [f"{i}{c}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for c in ",|;"]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.known: dict[str, tuple] = {}
 
@@ -72,48 +75,71 @@ class Pairing:
         """Space and text, cut where both tokenizers cut."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def align(self, words: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, groups, pairs) of each word, which starts with a space; None where the tokens' bytes aren't the word's. pairs are 64-bit codes."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
-        good = self._whole(words, ids_a, ids_b)
+    def align(self, words: list[str], together: int = 1) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, groups, pairs) of each word, which starts with a space; None where the tokens' bytes aren't the word's. pairs are 64-bit codes.
+
+        So many words ``together`` are encoded as one text, which must be cut between any two of them (_PLAIN). Where the tokens don't give the
+        bytes of each of its words, its words are encoded one by one.
+        """
         out: list[tuple | None] = [None] * len(words)
-        at = [i for i, ok in enumerate(good) if ok]
-        if not at:
-            return out
-        ids_a, ids_b = ([x[i] for i in at] for x in (ids_a, ids_b))
-        len_a, len_b = (np.fromiter(map(len, x), np.int64, len(at)) for x in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((ids_a, len_a), (ids_b, len_b)))
+        texts = ["".join(words[i:i + together]) for i in range(0, len(words), together)] if together > 1 else words
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        good = self._whole(raw if together == 1 else [b"".join(raw[i:i + together]) for i in range(0, len(raw), together)], ids_a, ids_b)
+        at = [i for k, ok in enumerate(good) if ok for i in range(k * together, min((k + 1) * together, len(words)))]
+        if at:
+            ids_a, ids_b = ([x for x, ok in zip(ids, good, strict=True) if ok] for ids in (ids_a, ids_b))
+            found = self._aligned(*(np.array(list(chain.from_iterable(x)), np.int64) for x in (ids_a, ids_b)), np.cumsum([len(raw[i]) for i in at]))
+            if found is None:  # a token over two words: none is known, but then they are encoded one by one
+                good = [False] * len(good)
+            else:
+                for i, x in zip(at, found, strict=True):
+                    out[i] = x
+        if together > 1 and not all(good):
+            rest = [i for k, ok in enumerate(good) if not ok for i in range(k * together, min((k + 1) * together, len(words)))]
+            for i, x in zip(rest, self.align([words[i] for i in rest]), strict=True):
+                out[i] = x
+        return out
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> list[tuple] | None:
+        """What :meth:`align` gives, for tokens of the same bytes, cut where words end; None if a word ends inside a token."""
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        shared = np.intersect1d(end_a, end_b)
-        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        to_a, to_b = np.searchsorted(end_a, ends, "right"), np.searchsorted(end_b, ends, "right")
+        if not (np.array_equal(end_a[to_a - 1], ends) and np.array_equal(end_b[to_b - 1], ends)):
+            return None
+        ended_a, ended_b = (np.zeros(ends[-1] + 1, bool) for _ in "ab")
+        ended_a[end_a] = ended_b[end_b] = True
+        shared_a, shared_b = ended_b[end_a], ended_a[end_b]  # where a group ends
+        group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
         first = np.searchsorted(end_b, end_a - self.size_a[a], "right")  # of B's tokens, those over an A token
         last = np.searchsorted(end_b - self.size_b[b], end_a)
         count = last - first
-        link_b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        pairs = (np.repeat(a, count).astype(np.uint64) << np.uint64(32)) | b[link_b].astype(np.uint64)
-        to_a, to_b = np.cumsum(len_a), np.cumsum(len_b)
-        to_group, to_link = group_a[to_a - 1] + 1, np.cumsum(count)[to_a - 1]
-        cut_a, cut_b = (np.searchsorted(g, np.arange(len(shared) + 1)).tolist() for g in (group_a, group_b))
-        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [f"{x[i]}|{y[k]}" if j - i == 1 == n - k else f"{','.join(x[i:j])}|{','.join(y[k:n])}" for i, j, k, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-        codes = pairs.tobytes()
-        g = pl = 0
-        for i, n_a, n_b, h, ql in zip(at, len_a.tolist(), len_b.tolist(), to_group.tolist(), (8 * to_link).tolist(), strict=True):
-            out[i] = (n_a, n_b, h - g, ";".join(groups[g:h]), codes[pl:ql])
-            g, pl = h, ql
+        links = np.cumsum(count)
+        link_b = np.arange(links[-1]) - np.repeat(links - count - first, count)
+        codes = ((np.repeat(a, count).astype(np.uint64) << np.uint64(32)) | b[link_b].astype(np.uint64)).tobytes()
+        to_group, to_link = group_a[to_a - 1] + 1, links[to_a - 1]
+        # In each group the tokens of A come first; a token's name has what follows it: "," in its side, "|" after A's, ";" after B's.
+        name = np.concatenate([3 * a + shared_a, 3 * b + 2 * shared_b])
+        place = np.concatenate([np.arange(len(a)) + np.searchsorted(group_b, group_a), np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")])
+        order = np.empty_like(name)
+        order[place] = name
+        names = list(map(self.names.__getitem__, order.tolist()))
+        out, i, g, p = [], 0, 0, 0
+        for x, y, h, q in zip(to_a.tolist(), to_b.tolist(), to_group.tolist(), (8 * to_link).tolist(), strict=True):
+            out.append((x - (i and last_a), y - (i and last_b), h - g, "".join(names[i:x + y])[:-1], codes[p:q]))
+            i, last_a, last_b, g, p = x + y, x, y, h, q
         return out
 
-    def _whole(self, words: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
-        """Whether the bytes of the tokens of both are the word's. Most are: compared all at once, then, where that fails, one by one."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def _whole(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of the tokens of both are the text's. Most are: compared all at once, then, where that fails, one by one."""
         all_of = lambda table, ids: b"".join(map(table.__getitem__, chain.from_iterable(ids)))
-        if len(words) > 1:
+        if len(raw) > 1:
             ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
             same_length = all(np.array_equal(np.cumsum(np.fromiter((sum(map(size.__getitem__, x)) for x in ids), np.int64, len(ids))), ends)
                               for size, ids in ((self.list_a, ids_a), (self.list_b, ids_b)))
             if same_length and all_of(self.bytes_a, ids_a) == (joined := b"".join(raw)) == all_of(self.bytes_b, ids_b) and joined:
-                return [True] * len(words)
+                return [True] * len(raw)
         return [all_of(self.bytes_a, [i]) == w == all_of(self.bytes_b, [j]) for i, w, j in zip(ids_a, raw, ids_b, strict=True)]
 
     def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
@@ -122,7 +148,8 @@ class Pairing:
         if len(self.known) > WORDS_HELD:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self.align(new), strict=True) if new else ())
+        for some, together in ((list(filter(_PLAIN, new)), TOGETHER if self.cuts else 1), (list(filterfalse(_PLAIN, new)), 1)):
+            self.known.update(zip(some, self.align(some, together), strict=True) if some else ())
         out: list[tuple | None] = []
         for text, ws in zip(texts, cut, strict=True):
             parts = list(map(self.known.__getitem__, ws))

@@ -162,6 +162,25 @@ def test_postings_hold_lists_and_bitmaps():
     assert {len(x) for x in batch.column("docs").to_pylist()} >= {8192, 4}
 
 
+def test_new_words_are_encoded_together():
+    folder = Path(token_align.FOLDER)
+    pairing = token_align.Pairing((folder / token_align.FILE_A).read_text(), (folder / token_align.FILE_B).read_bytes())
+    rng, seen, encode = random.Random(8), [], pairing.b.encode
+    pairing.b.encode = lambda texts, **k: seen.append(len(texts)) or encode(texts, **k)
+    word = lambda: "".join(rng.choice("abcdeéß東_.,'#1-\n") for _ in range(rng.randint(1, 12)))
+    words = [" " + w for w in {word() for _ in range(3000)} if token_align._PLAIN(" " + w)]
+    alone = pairing.align(words)
+    assert seen == [len(words)] and None not in alone
+    seen.clear()
+    assert pairing.align(words, token_align.TOGETHER) == alone and sum(seen) <= len(words) // 200 + 1
+    words[700] = " fi▁ne"  # B doesn't give its bytes back: what was encoded with it is encoded one by one
+    seen.clear()
+    got = pairing.align(words, token_align.TOGETHER)
+    assert got[700] is None and got[:700] + got[701:] == alone[:700] + alone[701:] and sum(seen) <= len(words) // 200 + 1 + token_align.TOGETHER
+    seen.clear()
+    assert None not in pairing.texts(["".join(words[:700])[1:]]) and sum(seen) < 10
+
+
 def test_no_texts_no_tokens(spark):
     assert align_tokens(frame(spark, []).select("doc_id", "text")).count() == 0
     zeros = align_tokens(frame(spark, [(1, None), (2, "▁")])).collect()
