@@ -36,3 +36,7 @@ def every_row(got, near, odd):
 def test_two_smallest_of_every_real_row(spark, table, monkeypatch, few):
     monkeypatch.setattr(neighbours, "FEW", few)
     every_row(catalog.QUERIES["f7_two_smallest"](spark, table[0]), table[1], 0)
+
+
+def test_nearest_two_of_every_synthetic_row(spark, table):
+    every_row(catalog.QUERIES["h2_nearest_two"](spark, table[0]), table[1], 1)
