@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabulith.operators import neighbours
+from tabulith.operators import neighbours, privacy
 from tabulith.plans import catalog
 
 
@@ -40,3 +40,10 @@ def test_two_smallest_of_every_real_row(spark, table, monkeypatch, few):
 
 def test_nearest_two_of_every_synthetic_row(spark, table):
     every_row(catalog.QUERIES["h2_nearest_two"](spark, table[0]), table[1], 1)
+
+
+def test_thresholds_are_those_of_every_real_row(spark, table):
+    d1, d2 = np.array([table[1][i] for i in range(0, 300, 2)]).T
+    r = catalog.QUERIES["h3_h4_dcr_nndr"](spark, table[0]).first()
+    assert r.n == 150 and r.dcr == pytest.approx(np.quantile(d1, 0.05), abs=2e-6) and r.dcr > 0.1
+    assert r.nndr == pytest.approx(np.quantile(d1 / np.maximum(d2, privacy.EPSILON), 0.05), abs=2e-6)
